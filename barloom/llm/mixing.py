@@ -98,9 +98,9 @@ def mix_sources(
     A document is wanted target / source_size times on average. The whole part of that is taken as copies; the rest
     is a probability that pivotal rounding turns into 0 or 1. Rounding runs in groups of about ``per_group``
     documents of one source, so a hot source is many groups. Each group leaves at most one probability open, and
-    these residuals meet in groups again, level by level, until a source has one group; its last residual is drawn
-    by itself. As duels keep size * p, a source's words miss its target by one document at most; and as they go from
-    long documents to short ones, the one that is left is mostly short.
+    these residuals meet in groups again, level by level, until a source has one group; its last residual is rounded
+    to the nearer side. As duels keep size * p, a source's words miss its target by half a document at most; and as
+    they go from long documents to short ones, the one that is left is mostly short.
 
     Groups, order and draws come from hashes of the ids and ``seed``, so a rerun agrees on any cluster. Null texts
     and texts without words have size 0 and are taken 0 words (their copies follow the whole part); null sources
@@ -136,8 +136,7 @@ def mix_sources(
         is_open = (F.col("p") > 0) & (F.col("p") < 1)
         last = level == len(levels) - 1
         if last:
-            draw = F.shiftrightunsigned(F.xxhash64(F.col("hash"), F.lit("last")), 32).cast("double") / 2.0**32
-            rounded = rounded.withColumn("p", F.when(is_open, (draw < F.col("p")).cast("double")).otherwise(F.col("p")))
+            rounded = rounded.withColumn("p", F.when(is_open, F.round("p")).otherwise(F.col("p")))
             done.append(rounded)
         else:
             done.append(rounded.where(~is_open))
