@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, packing, simhash
+from . import exact_dedup, langid, licenses, mixing, packing, simhash, token_counts, topk, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,16 +18,50 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary() -> str:
+    """Path of the byte-level vocabulary that the token counts use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over 3-word shingles and components of links at up to 3 bits."""
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), words=3, distance=3)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and labels of licence phrases and notices in every document."""
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its personal data are replaced by marks."""
+    state = token_counts.count_tokens(_read(spark, sf_dir, "documents"), byte_vocabulary())
+    return token_counts.recount(token_counts.find_redactions(state), byte_vocabulary())
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of five nested rules on the url of every page."""
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"), url_filter.RULES)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"), word_tokenizer(), capacity=2048, end_id=0)
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for each vector whose id 20 divides, against all others."""
+    rows = _read(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.where("vec_id % 20 = 0"), rows, k=20, scale=64.0)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of each document in a mix of 150 % of all words, sources weighing 5, 2, 1 in turn."""
     mix = mixing.mix_sources(_read(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, most=2.0)
@@ -48,10 +82,19 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_toxicity,
+        op3_license_scan,
+        op4_token_counts,
+        op5_url_filter,
         op6_best_fit_packing,
+        op7_exact_top_k,
         op8_mix_sources,
         op9_exact_dedup,
         op10_language_id,
     )
 }
-ORACLE_SQL = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {
+    "op5_url_filter": url_filter.ORACLE,
+    "op7_exact_top_k": topk.ORACLE,
+    "op9_exact_dedup": exact_dedup.ORACLE,
+}
