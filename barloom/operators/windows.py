@@ -75,16 +75,12 @@ def as_of(
     """
     carried = [c for c in right.columns if c not in by]
     if not by:
-        times = left.select(left_on).distinct()
-        compare = {
-            (False, False): right[right_on] <= times[left_on],
-            (True, False): right[right_on] < times[left_on],
-            (False, True): right[right_on] >= times[left_on],
-            (True, True): right[right_on] > times[left_on],
-        }[(strict, forward)]
+        times = left.select(F.col(left_on).alias("_time")).distinct()
+        at, time = F.col(right_on), F.col("_time")
+        near = (at > time if strict else at >= time) if forward else (at < time if strict else at <= time)
         pick = F.min_by if forward else F.max_by
-        found = times.join(right, compare).groupBy(left_on).agg(pick(F.struct(*carried), right_on).alias("_r"))
-        return left.join(found, left_on, "left").select(left["*"], "_r.*")
+        found = times.join(right, near).groupBy("_time").agg(pick(F.struct(*carried), right_on).alias("_r"))
+        return left.join(found, F.col(left_on) == F.col("_time"), "left").select(*left.columns, "_r.*")
     right_first = not strict
     l = left.withColumns({"_t": F.col(left_on), "_r": F.lit(None).cast(right.select(F.struct(*carried).alias("s")).schema["s"].dataType)})  # noqa: E741
     l = l.withColumn("_side", F.lit(1))  # noqa: E741
