@@ -194,7 +194,8 @@ def _stat(f, digits=6):
     return lambda spark, sf_dir: rounded(f(B.returns(series(spark, sf_dir)).where("ret IS NOT NULL").groupBy("series")), digits)
 
 
-R = F.col("ret")
+def ret():
+    return F.col("ret")
 
 
 def q05_max_drawdown(spark, sf_dir):
@@ -215,7 +216,7 @@ def q07_p_value(spark, sf_dir):
 
 def q08_information_ratio(spark, sf_dir):
     p = Q.against(series(spark, sf_dir), "mean").where("series = 'index' AND ret IS NOT NULL")
-    return rounded(p.groupBy("series").agg(Q.information_ratio(R, F.col("bench")).alias("information_ratio")))
+    return rounded(p.groupBy("series").agg(Q.information_ratio(ret(), F.col("bench")).alias("information_ratio")))
 
 
 def q09_bundle(spark, sf_dir):
@@ -313,10 +314,10 @@ QUERIES = {
 } | {
     "b06_costs": _costs(0.0),
     "b07_flat_brokerage": _costs(20.0),
-    "q01_growth": _stat(lambda g: g.agg((Q.growth(R) - 1).alias("total_return"), Q.cagr(R).alias("cagr"))),
-    "q02_volatility": _stat(lambda g: g.agg(Q.volatility(R).alias("volatility"))),
-    "q03_sharpe": _stat(lambda g: g.agg(Q.sharpe(R).alias("sharpe"))),
-    "q04_sortino": _stat(lambda g: g.agg(Q.sortino(R).alias("sortino"))),
+    "q01_growth": _stat(lambda g: g.agg((Q.growth(ret()) - 1).alias("total_return"), Q.cagr(ret()).alias("cagr"))),
+    "q02_volatility": _stat(lambda g: g.agg(Q.volatility(ret()).alias("volatility"))),
+    "q03_sharpe": _stat(lambda g: g.agg(Q.sharpe(ret()).alias("sharpe"))),
+    "q04_sortino": _stat(lambda g: g.agg(Q.sortino(ret()).alias("sortino"))),
 }
 
 SCHEDULE = f"""
