@@ -15,8 +15,8 @@ from .common import buckets, materialise
 
 PER_GROUP = 16_384
 CACHE = 400_000
-#: Lower-case words of Latin letters, with at most one point or comma: what the shared word table handles.
-SIMPLE = r"^([a-zß-öø-ÿ]+)[.,]?$"
+#: Words of Latin letters, lower-cased in A-Z, with at most one point or comma: what the shared word table handles.
+SIMPLE = r"^([a-zÀ-ÖØ-öø-ÿ]+)[.,]?$"
 
 
 class WordTable:
@@ -68,18 +68,18 @@ class WordTable:
         split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         chunks = split.flatten().dictionary_encode()
         # a text that is blank on either side gives empty chunks there, which have no ids
-        distinct = pc.utf8_lower(chunks.dictionary)
+        distinct = chunks.dictionary
         simple = pc.match_substring_regex(distinct, SIMPLE)
         is_simple = simple.to_numpy(zero_copy_only=False).astype(bool)
-        base = pc.replace_substring_regex(distinct.filter(simple), SIMPLE, r"\1").dictionary_encode()
+        words = pc.utf8_lower(distinct.filter(simple))  # each of these letters has one lower-case form
+        base = pc.replace_substring_regex(words, SIMPLE, r"\1").dictionary_encode()
         known = self._lookup(base.dictionary.to_pylist())
         table: list = [None] * len(distinct)
-        words = distinct.filter(simple)
         marked = [w[-1] if w[-1] in ".," else "" for w in words.to_pylist()]
         for at, i, mark in zip(np.flatnonzero(is_simple).tolist(), base.indices.to_pylist(), marked, strict=True):
             table[at] = np.concatenate([known[i], self.marks[mark]]) if mark else known[i]
         odd = np.flatnonzero(~is_simple)
-        for at, ids in zip(odd.tolist(), self._encode(chunks.dictionary.take(pa.array(odd)).to_pylist()), strict=True):
+        for at, ids in zip(odd.tolist(), self._encode(distinct.take(pa.array(odd)).to_pylist()), strict=True):
             table[at] = ids
         size = np.fromiter(map(len, table), np.int64, len(table))
         start = np.concatenate([[0], np.cumsum(size)])
