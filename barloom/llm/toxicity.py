@@ -40,8 +40,8 @@ def _swaps(groups: Sequence[Sequence[str]]) -> dict[str, str]:
     return {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
 
 
-def selected_features(rows: DataFrame, most: int, always: Sequence[str]) -> list[str]:
-    """The ``most`` features of ``rows`` (tokens, toxic) that tell the labels apart best, by chi-square.
+def selected_features(rows: DataFrame, most: int, always: Sequence[str], least: float) -> list[str]:
+    """The ``most`` features of ``rows`` (tokens, toxic) that tell the labels apart best, by a chi-square of at least ``least``.
 
     Counts of documents are aggregated by Spark over the whole sample; only the selected features come back.
     """
@@ -55,7 +55,7 @@ def selected_features(rows: DataFrame, most: int, always: Sequence[str]) -> list
     c, a = F.col("c").cast("double"), F.col("a").cast("double")
     gap = a * n - c * t
     chi = gap * gap / (c * (n - c + 0.5) * (t * (n - t) / n))
-    best = counts.where("c >= 3").orderBy(chi.desc(), "token").limit(most).select("token").collect()
+    best = counts.where((F.col("c") >= 3) & (chi >= least)).orderBy(chi.desc(), "token").limit(most).select("token").collect()
     return sorted({r["token"] for r in best} | set(always))
 
 
@@ -156,6 +156,7 @@ def train(
     label_col: str = "toxic",
     sample_rows: int = 20_000,
     n_features: int = 4096,
+    least_chi: float = 20.0,
     penalty: float = 1.0,
     decay: float = 1e-4,
     iterations: int = 60,
@@ -165,7 +166,8 @@ def train(
 
     At most about ``sample_rows`` labelled documents, drawn by a hash of the id, are the bounded training sample.
     Each step sums gradients over the partitions of the sample: those of the log loss, and of ``penalty`` times the
-    squared change of the score when the identity terms of a labelled text are swapped within their groups.
+    squared change of the score when the identity terms of a labelled text are swapped within their groups. Features
+    whose chi-square is under ``least_chi`` are as likely chance, among so many, and are left out.
     """
     known = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("toxic"))
@@ -179,7 +181,7 @@ def train(
     labelled = texts.join(F.broadcast(known), "id").select("toxic", "text")
     swap = _swaps(identity)
     rows = materialise(labelled.mapInArrow(_tokens(swap), "toxic int, tokens array<string>, swapped array<string>"))
-    names = selected_features(rows, n_features, sorted(swap))
+    names = selected_features(rows, n_features, sorted(swap), least_chi)
     if not names:
         return None
     place = {name: i for i, name in enumerate(names)}
