@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import buckets, materialise
 
 PER_GROUP = 16_384
-CACHE = 400_000
+CACHE = 300_000
 #: Words of Latin letters, lower-cased in A-Z, with at most one point or comma: what the shared word table handles.
 SIMPLE = r"^([a-zÀ-ÖØ-öø-ÿ]+)[.,]?$"
 
@@ -41,21 +41,22 @@ class WordTable:
         end = self.whole.model.end_of_word_suffix
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         self.ends[[i for token, i in self.whole.get_vocab().items() if end and token.endswith(end)]] = True
-        self.cache: dict[str, np.ndarray] = {}
-        self.marks = {m: self._encode([m])[0] for m in ".,"}
+        self.cache: dict[str, bytes] = {}
+        self.marks = {"": b""} | {m: self._encode([m])[0] for m in ".,"}
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 512):
             some = words[at : at + 512]
-            ids = np.array(self.words.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            parts = np.split(ids, cuts[:-1]) if len(cuts) == len(some) else self._encode(some)
+            ids = np.array(self.words.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            line = ids.tobytes()
+            parts = [line[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(some) else self._encode(some)
             self.cache.update(zip(some, parts, strict=True))
 
-    def _lookup(self, words: list[str]) -> list[np.ndarray]:
+    def _lookup(self, words: list[str]) -> list[bytes]:
         if len(self.cache) + len(words) > CACHE:
             self.cache = {}
         self._learn([w for w in words if w not in self.cache])
@@ -74,27 +75,30 @@ class WordTable:
         words = pc.utf8_lower(distinct.filter(simple))  # each of these letters has one lower-case form
         base = pc.replace_substring_regex(words, SIMPLE, r"\1").dictionary_encode()
         known = self._lookup(base.dictionary.to_pylist())
-        table: list = [None] * len(distinct)
-        marked = [w[-1] if w[-1] in ".," else "" for w in words.to_pylist()]
-        for at, i, mark in zip(np.flatnonzero(is_simple).tolist(), base.indices.to_pylist(), marked, strict=True):
-            table[at] = np.concatenate([known[i], self.marks[mark]]) if mark else known[i]
+        table = [b""] * len(distinct)
+        marks = [w[-1] if w[-1] in ".," else "" for w in words.to_pylist()]
+        for at, i, mark in zip(np.flatnonzero(is_simple).tolist(), base.indices.to_pylist(), marks, strict=True):
+            table[at] = known[i] + self.marks[mark]
         odd = np.flatnonzero(~is_simple)
-        for at, ids in zip(odd.tolist(), self._encode(distinct.take(pa.array(odd)).to_pylist()), strict=True):
-            table[at] = ids
-        size = np.fromiter(map(len, table), np.int64, len(table))
-        start = np.concatenate([[0], np.cumsum(size)])
-        flat = np.concatenate(table) if table else np.zeros(0, np.uint32)
-        code = chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for at, own in zip(odd.tolist(), self._encode(distinct.take(pa.array(odd)).to_pylist()), strict=True):
+            table[at] = own
+        # the ids of a batch are far fewer than 2**31, so that 32-bit places do
+        size = np.fromiter(map(len, table), np.int32, len(table)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
+        flat = np.frombuffer(b"".join(table), "<u4")
+        del table, known, words, base, distinct
+        code = chunks.indices.to_numpy(zero_copy_only=False)
         n = size[code]
         total = np.concatenate([[0], np.cumsum(n)])
-        where = np.arange(total[-1]) + np.repeat(start[code] - total[:-1], n)
+        where = np.repeat(start[code] - total[:-1].astype(np.int32), n)
+        where += np.arange(len(where), dtype=np.int32)
         ids = flat[where]
         of_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
         bounds = total[of_text]
         if any_whole := np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
             parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             for i, own in zip(any_whole, self._encode(texts.take(pa.array(any_whole)).to_pylist()), strict=True):
-                parts[i] = own
+                parts[i] = np.frombuffer(own, "<u4")
             ids = np.concatenate(parts)
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, bounds
@@ -115,7 +119,7 @@ def pieces(
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
             size = pc.binary_length(text).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // 16_000_000)) + 1).tolist(), len(text)]
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // 8_000_000)) + 1).tolist(), len(text)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue

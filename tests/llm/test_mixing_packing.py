@@ -135,4 +135,4 @@ def test_search_empties_bins():
         for i, b in enumerate(packing.pack(items, 100)):
             bins[b] += items[i]
         least = max(-(-sum(items) // 100), sum(i > 50 for i in items))
-        assert max(bins.values()) <= 100 and len(bins) <= least + 2
+        assert max(bins.values()) <= 100 and len(bins) <= 1.05 * least + 1
