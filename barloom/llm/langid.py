@@ -113,7 +113,8 @@ def train(
     # a share of 1e6 hash values, per language, keeps the sample bounded without sorting or gathering a language
     share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1_000_000, 1 + per_language * 1_000_000 // k))])
     sample = known.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < share[F.col("label")])
-    rows = features(sample.select("label", "text")).cache()
+    # a bounded sample needs few partitions; each step of each machine is one small job over them
+    rows = features(sample.select("label", "text")).coalesce(8).cache()
     by_family: dict[str, list[str]] = {}
     for lang in sorted(n):
         by_family.setdefault(families.get(lang, lang), []).append(lang)
