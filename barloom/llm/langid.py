@@ -8,12 +8,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise
+from .common import buckets, held_out, materialise
 
 #: Families of languages; a language in none is a family of its own.
 FAMILIES: Mapping[str, str] = {
@@ -23,6 +21,7 @@ FAMILIES: Mapping[str, str] = {
 }
 UNKNOWN = "und"
 DIMENSIONS = 1 << 14
+SCALE = 32.0
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -36,24 +35,72 @@ def grams(data: bytes, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 def features(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``label`` and ``features`` of the rows of ``docs`` (label, text): the share of each gram bucket."""
-    vector = F.udf(lambda i, v: SparseVector(dimensions, i, v), VectorUDT())
+    """``label``, ``draw``, ``at`` and ``share`` of the rows of ``docs`` (label, draw, text): the share of each gram bucket."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, share = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 bucket, n = np.unique(grams(text, dimensions), return_counts=True)
                 at.append(bucket.astype(np.int32))
-                share.append(n / n.sum())
+                share.append((n / n.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float64()))],
-                ["label", "at", "share"],
+                [batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))],
+                ["label", "draw", "at", "share"],
             )
 
-    rows = docs.select("label", F.col("text").cast("binary").alias("text"))
-    rows = materialise(rows.mapInArrow(each, "label string, at array<int>, share array<double>"))
-    return rows.select("label", vector("at", "share").alias("features"))
+    rows = docs.select("label", "draw", F.col("text").cast("binary").alias("text"))
+    return materialise(rows.mapInArrow(each, "label string, draw long, at array<int>, share array<float>"))
+
+
+def fit_machine(
+    at: list[np.ndarray], share: list[np.ndarray], positive: np.ndarray, cost: float, epochs: int, dimensions: int = DIMENSIONS
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept of one linear SVM of squared hinge loss, by dual coordinate descent (Hsieh et al., 2008).
+
+    Shares are small numbers, so they are scaled by ``SCALE``; the intercept is the weight of a constant feature.
+    """
+    y = np.where(positive, 1.0, -1.0)
+    x = [SCALE * s.astype(np.float64) for s in share]
+    ridge = 0.5 / cost
+    curve = np.array([float(v @ v) for v in x]) + 1.0 + ridge
+    weights, intercept, alpha = np.zeros(dimensions), 0.0, np.zeros(len(y))
+    order = np.random.default_rng(0)
+    for _ in range(epochs):
+        most = 0.0
+        for i in order.permutation(len(y)).tolist():
+            slope = y[i] * (float(weights[at[i]] @ x[i]) + intercept) - 1.0 + ridge * alpha[i]
+            new = max(0.0, alpha[i] - slope / curve[i])
+            step = (new - alpha[i]) * y[i]
+            if step:
+                weights[at[i]] += step * x[i]
+                intercept += step
+                most = max(most, abs(slope))
+                alpha[i] = new
+        if most < 0.01:
+            break
+    return SCALE * weights, intercept
+
+
+def _fit_shard(cost: float, epochs: int):
+    """One machine on one shard of its rows."""
+
+    def each(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("draw", "ascending"), ("positive", "ascending")])
+        lists = [rows[c].combine_chunks() for c in ("at", "share")]
+        at, share = ([v.values.to_numpy() for v in column] for column in lists)
+        positive = rows["positive"].to_numpy()
+        weights, intercept = fit_machine(at, share, positive, cost, epochs)
+        return pa.table(
+            {
+                "machine": rows["machine"][:1].combine_chunks().cast(pa.int32()),
+                "both": [bool(positive.any() and not positive.all())],
+                "intercept": [intercept],
+                "weights": pa.array([weights], pa.list_(pa.float64())),
+            }
+        )
+
+    return each
 
 
 class Hierarchy:
@@ -99,11 +146,15 @@ def train(
     lang_col: str = "lang",
     families: Mapping[str, str] = FAMILIES,
     per_language: int = 1500,
-    iterations: int = 30,
+    per_shard: int = 1000,
+    cost: float = 1.0,
+    epochs: int = 30,
 ) -> Hierarchy | None:
     """A hierarchy learnt from the labelled rows of ``docs`` that are not held out; None if there are none.
 
     About ``per_language`` documents of each language, drawn by a hash of the id, are the bounded training sample.
+    Each machine's rows are dealt to shards of about ``per_shard``; one job fits all machines on all shards, each
+    shard in one task, and a machine is the mean of its shards (of those that hold both its classes, if any does).
     """
     known = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
@@ -113,21 +164,38 @@ def train(
     # a share of 1e6 hash values, per language, keeps the sample bounded without sorting or gathering a language
     share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1_000_000, 1 + per_language * 1_000_000 // k))])
     sample = known.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < share[F.col("label")])
-    # a bounded sample needs few partitions; each step of each machine is one small job over them
-    rows = features(sample.select("label", "text")).coalesce(8).cache()
+    rows = features(sample.select("label", F.xxhash64("id", "text").alias("draw"), "text"))
     by_family: dict[str, list[str]] = {}
     for lang in sorted(n):
         by_family.setdefault(families.get(lang, lang), []).append(lang)
     duels = [(a, b, by_family[a], by_family[b]) for a, b in combinations(sorted(by_family), 2)]
     duels += [(a, b, [a], [b]) for langs in by_family.values() for a, b in combinations(langs, 2)]
-    machines, weights = [], []
-    for a, b, low, high in duels:
-        two = rows.where(F.col("label").isin(low + high)).withColumn("label", F.col("label").isin(high).cast("double"))
-        fitted = LinearSVC(maxIter=iterations, regParam=0.001, aggregationDepth=2).fit(two)
-        machines.append((a, b, float(fitted.intercept)))
-        weights.append(fitted.coefficients.toArray())
-    rows.unpersist()
-    return Hierarchy(by_family, machines, np.array(weights).reshape(len(machines), DIMENSIONS))
+    part_in = {
+        lang: [
+            (i, lang in high, buckets(sum(min(n[x], per_language) for x in low + high), per_shard))
+            for i, (_, _, low, high) in enumerate(duels)
+            if lang in low + high
+        ]
+        for lang in n
+    }
+    if not duels:
+        return Hierarchy(by_family, [], np.zeros((0, DIMENSIONS)))
+    # a row goes to each machine that its language has a part in: bounded by the number of languages
+    parts = rows.sparkSession.createDataFrame(
+        [(lang, *part) for lang, own in part_in.items() for part in own], "label string, machine int, positive boolean, shards int"
+    )
+    dealt = rows.join(F.broadcast(parts), "label").withColumn("shard", F.pmod("draw", "shards"))
+    fitted = dealt.select("machine", "shard", "positive", "draw", "at", "share").groupBy("machine", "shard")
+    fitted = materialise(fitted.applyInArrow(_fit_shard(cost, epochs), "machine int, both boolean, intercept double, weights array<double>"))
+    weight = F.posexplode(F.concat("weights", F.array("intercept"))).alias("at", "weight")
+    mean = F.coalesce(F.avg(F.when(F.col("both"), F.col("weight"))), F.avg("weight")).alias("weight")
+    means = fitted.select("machine", "both", weight).groupBy("machine", "at").agg(mean)
+    means = means.groupBy("machine").agg(F.sort_array(F.collect_list(F.struct("at", "weight")))["weight"].alias("weights"))
+    weights, intercept = np.zeros((len(duels), DIMENSIONS)), np.zeros(len(duels))
+    for r in means.collect():  # one row of weights per machine
+        weights[r["machine"]], intercept[r["machine"]] = r["weights"][:-1], r["weights"][-1]
+    machines = [(a, b, float(intercept[i])) for i, (a, b, _, _) in enumerate(duels)]
+    return Hierarchy(by_family, machines, weights)
 
 
 def _predict(model: Hierarchy | None):
