@@ -11,9 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, materialise
+from .common import arrow_batches, buckets, materialise
 
 PER_GROUP = 16_384
+BATCH_BYTES = 6_000_000
 CACHE = 300_000
 #: Words of Latin letters, lower-cased in A-Z, with at most one point or comma: what the shared word table handles.
 SIMPLE = r"^([a-zÀ-ÖØ-öø-ÿ]+)[.,]?$"
@@ -67,7 +68,9 @@ class WordTable:
         whole = pc.match_substring(texts, "<|")
         plain = pc.if_else(whole, "", texts)
         split = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        of_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
         chunks = split.flatten().dictionary_encode()
+        del plain, split
         # a text that is blank on either side gives empty chunks there, which have no ids
         distinct = chunks.dictionary
         simple = pc.match_substring_regex(distinct, SIMPLE)
@@ -88,12 +91,12 @@ class WordTable:
         flat = np.frombuffer(b"".join(table), "<u4")
         del table, known, words, base, distinct
         code = chunks.indices.to_numpy(zero_copy_only=False)
+        del chunks
         n = size[code]
         total = np.concatenate([[0], np.cumsum(n)])
         where = np.repeat(start[code] - total[:-1].astype(np.int32), n)
         where += np.arange(len(where), dtype=np.int32)
         ids = flat[where]
-        of_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
         bounds = total[of_text]
         if any_whole := np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
             parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -119,7 +122,7 @@ def pieces(
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
             size = pc.binary_length(text).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // 8_000_000)) + 1).tolist(), len(text)]
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // BATCH_BYTES)) + 1).tolist(), len(text)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
@@ -145,6 +148,8 @@ def pieces(
                     ],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
+                del ids, bounds
+                pa.default_memory_pool().release_unused()  # else each worker keeps its highest need to itself
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(each, f"id {id_type}, piece int, start long, length long, ids_crc32 long")
@@ -309,7 +314,8 @@ def pack_documents(
     agrees. A null or empty text is the end id alone. Rows that repeat an id are packed as documents of their own.
     An empty table gives an empty result; extra columns are ignored.
     """
-    found = materialise(pieces(docs, tokenizer, capacity, end_id, id_col, text_col))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        found = materialise(pieces(docs, tokenizer, capacity, end_id, id_col, text_col))
     names = "piece int, start long, length long, ids_crc32 long, hash long, group long, seq long, offset long, fill long"
     shape = f"id {found.schema['id'].dataType.simpleString()}, {names}"
     zero = F.lit(0).cast("long")
