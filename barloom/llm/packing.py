@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,7 @@ class WordTable:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own each hold memory
         from tokenizers import Tokenizer
         from tokenizers import pre_tokenizers as pre
 
