@@ -17,11 +17,11 @@ SEED = 42
 HOT_BUCKET = 256
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """The 64-bit SimHash of a text, as a signed integer, over its shingles of ``words`` words, repeats included."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each shingle of ``words`` words, repeats included; a shorter text is one shingle, a blank one has none."""
     parts = text.lower().split()  # bytes: lower-cases A-Z only and splits at the six ASCII blanks
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(parts)
     if len(parts) <= words:
         hashes = [xxhash.xxh64_intdigest(line, SEED)]
@@ -31,7 +31,14 @@ def fingerprint(text: bytes, words: int) -> int:
         first = (end - length)[: len(parts) - words + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], SEED) for a, b in zip(first, end[words - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """The 64-bit SimHash of a text, as a signed integer, over its shingles of ``words`` words, repeats included."""
+    h = shingle_hashes(text, words)
+    if not len(h):
+        return 0
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):  # a very long text is unpacked piece by piece
         block = h[at : at + 65_536].view(np.uint8).reshape(-1, 8)

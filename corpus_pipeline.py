@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact_dedup, langid, mixing, packing, simhash
+from barloom.llm import exact_dedup, langid, mixing, near_texts, packing
 from barloom.llm.common import materialise
 from barloom.llm.queries import word_tokenizer
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near fingerprints over 5-word shingles, that of the smallest id."""
-    return simhash.drop_near_copies(docs, words=5, distance=3)
+    """Keeps one document of each component of texts whose 5-word shingle sets are 0.8 similar, that of the smallest id."""
+    return near_texts.drop_near_copies(docs, words=5, similar=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
