@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import os
 import zlib
 from collections.abc import Iterator
@@ -158,116 +159,166 @@ def pieces(
 
 
 class Bins:
-    """Bins of one group: item lengths by bin, and the bins of each free space, found by the bits of one integer."""
+    """Bins of one group: items by bin, and, of the bins in play, those of each free space and of each item length.
+
+    ``gap[n]`` is the largest free space of a bin in play that holds an item of length n, and ``gap[0]`` that of any
+    bin; -1 where there is none. Free spaces are found by the bits of one integer for each length.
+    """
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.items: list[list[int]] = []  # indices of items
+        self.items: list[list[tuple[int, int]]] = []  # (length, item)
         self.free: list[int] = []
-        self.at: list[set[int]] = [set() for _ in range(capacity + 1)]
-        self.mask = 0
-
-    def _enter(self, b: int) -> None:
-        gap = self.free[b]
-        self.at[gap].add(b)
-        self.mask |= 1 << gap
-
-    def _leave(self, b: int) -> None:
-        gap = self.free[b]
-        self.at[gap].discard(b)
-        if not self.at[gap]:
-            self.mask &= ~(1 << gap)
-
-    def change(self, b: int, items: list[int], free: int) -> None:
-        self._leave(b)
-        self.items[b], self.free[b] = items, free
-        if items:
-            self._enter(b)
-
-    def tightest(self, need: int, other_than: int = -1) -> int:
-        """The bin of least free space that still holds ``need``, or -1."""
-        rest = self.mask >> need
-        while rest:
-            gap = need + (rest & -rest).bit_length() - 1
-            own = self.at[gap]
-            if len(own) > 1 or other_than not in own:
-                return next(b for b in sorted(own)[:2] if b != other_than) if len(own) <= 64 else next(b for b in own if b != other_than)
-            rest = self.mask >> (gap + 1) << (gap + 1 - need)
-        return -1
+        self.at: dict[tuple[int, int], set[int]] = {}  # by length, or 0 for all bins, and free space
+        self.mask = [0] * (capacity + 1)
+        self.gap = np.full(capacity + 1, -1, np.int64)
+
+    def enter(self, b: int) -> None:
+        free = self.free[b]
+        for n in {0, *(n for n, _ in self.items[b])}:
+            own = self.at.setdefault((n, free), set())
+            if not own:
+                self.mask[n] |= 1 << free
+                self.gap[n] = self.mask[n].bit_length() - 1
+            own.add(b)
+
+    def leave(self, b: int) -> None:
+        free = self.free[b]
+        for n in {0, *(n for n, _ in self.items[b])}:
+            own = self.at[n, free]
+            own.discard(b)
+            if not own:
+                del self.at[n, free]
+                self.mask[n] &= ~(1 << free)
+                self.gap[n] = self.mask[n].bit_length() - 1
+
+    def holder(self, n: int, free: int) -> int:
+        """A bin in play of that free space that holds an item of length ``n``."""
+        own = self.at[n, free]
+        return min(own) if len(own) <= 64 else next(iter(own))
+
+    def tightest(self, need: int) -> int:
+        """The bin in play of least free space that still holds ``need``, or -1."""
+        rest = self.mask[0] >> need
+        return self.holder(0, need + (rest & -rest).bit_length() - 1) if rest else -1
+
+    def replace(self, b: int, without: list[tuple[int, int]], plus: list[tuple[int, int]]) -> None:
+        """Change a bin that is in play."""
+        self.leave(b)
+        for x in without:
+            self.items[b].remove(x)
+        self.items[b] += plus
+        self.free[b] += sum(n for n, _ in without) - sum(n for n, _ in plus)
+        self.enter(b)
 
     def add(self, item: int, length: int) -> None:
         b = self.tightest(length)
         if b < 0:
-            self.items.append([item])
-            self.free.append(self.capacity - length)
-            self._enter(len(self.items) - 1)
-        else:
-            self.change(b, [*self.items[b], item], self.free[b] - length)
+            self.items.append([])
+            self.free.append(self.capacity)
+            b = len(self.items) - 1
+            self.enter(b)
+        self.replace(b, [], [(length, item)])
 
 
-def _exchange(bins: Bins, length: list[int], low: int, tries: int) -> bool:
-    """One move that fills another bin from bin ``low``, the emptier of the two: the squared fill increases.
+def _best_swap(bins: Bins, mine: list[tuple[int, int]]) -> tuple[int, int, tuple[tuple[int, int], ...]] | None:
+    """The swap of one or two of ``mine`` for a shorter item that fills a bin in play most: that bin, length, what it gets.
 
-    In turn: move one document over; swap one for a shorter one; swap two for one that is shorter than both. The
-    fullest of the bins that ``tries`` allows gains, as far as its free space goes.
+    All bins in play, all their items and all pairs of ``mine`` take part. Of equal lengths two count at most, and a
+    full bin has few different lengths, so the pairs are few.
+    """
+    by_length: dict[int, list[tuple[int, int]]] = {}
+    for x in mine:
+        by_length.setdefault(x[0], []).append(x)
+    length = np.array(sorted(by_length), np.int64)
+    sums = length[:, None] + length[None, :]
+    twice = np.array([len(by_length[n]) > 1 for n in length.tolist()])
+    pairs = sums[np.triu(np.ones(sums.shape, bool), 1) | np.diag(twice)]
+    most = np.zeros(2 * bins.capacity + 1, np.int64)  # the greatest length to give that is not above x
+    most[pairs] = pairs
+    most[length] = length
+    most = np.maximum.accumulate(most)
+    gain = np.where(bins.gap > 0, most[np.arange(len(bins.gap)) + np.maximum(bins.gap, 0)] - np.arange(len(bins.gap)), 0)
+    gain[0] = 0  # moves are not swaps
+    take = int(gain.argmax())
+    if gain[take] <= 0:
+        return None
+    give = take + int(gain[take])
+    if give in by_length:
+        return bins.holder(take, int(bins.gap[take])), take, (by_length[give][0],)
+    one = next(n for n in by_length if give - n in by_length and (give != 2 * n or len(by_length[n]) > 1))
+    return bins.holder(take, int(bins.gap[take])), take, (by_length[one][0], by_length[give - one][-1])
+
+
+def _exchange(bins: Bins, low: int) -> bool:
+    """One move that fills another bin from bin ``low``, which is out of play and the emptier: the squared fill increases.
+
+    In turn: move one item over, the longest that fits; swap one or two for one that is shorter.
     """
-    mine = sorted(bins.items[low], key=lambda i: -length[i])
-    for i in mine:
-        to = bins.tightest(length[i], low)
+    mine = sorted(bins.items[low], key=lambda x: (-x[0], x[1]))
+    for x in mine:
+        to = bins.tightest(x[0])
         if to >= 0:
-            bins.change(to, [*bins.items[to], i], bins.free[to] - length[i])
-            bins.change(low, [j for j in bins.items[low] if j != i], bins.free[low] + length[i])
+            bins.replace(to, [], [x])
+            bins.items[low].remove(x)
+            bins.free[low] += x[0]
             return True
-    giving = [((i,), length[i]) for i in mine]
-    giving += [((i, j), length[i] + length[j]) for x, i in enumerate(mine[:24]) for j in mine[x + 1 : 24]]
-    gaps, seen = bins.mask & ~1, 0
-    while gaps and seen < tries:
-        gap = (gaps & -gaps).bit_length() - 1
-        gaps &= gaps - 1
-        for to in sorted(bins.at[gap])[:4]:
-            if to == low or bins.free[to] >= bins.free[low]:
-                continue
-            seen += 1
-            best = (0, None, None)
-            theirs = sorted((length[j], j) for j in bins.items[to])
-            for give, n in giving:
-                for m, j in theirs:
-                    if best[0] < n - m <= gap:
-                        best = (n - m, give, j)
-            gain, give, j = best
-            if gain:
-                bins.change(to, [*(k for k in bins.items[to] if k != j), *give], gap - gain)
-                bins.change(low, [*(k for k in bins.items[low] if k not in give), j], bins.free[low] + gain)
-                return True
-    return False
-
-
-def pack(length: list[int], capacity: int, effort: int = 64) -> list[int]:
-    """Bin of each item: best fit in order of length, then local search until no exchange helps the emptiest bins.
-
-    The squared fill grows with each exchange, so the search ends; ``effort`` bounds the partner bins tried for one
-    exchange and, times 16, the exchanges in a row that empty no bin.
+    best = _best_swap(bins, mine)
+    if best is None:
+        return False
+    to, take, give = best
+    got = min(x for x in bins.items[to] if x[0] == take)
+    bins.replace(to, [got], list(give))
+    for x in give:
+        bins.items[low].remove(x)
+    bins.items[low].append(got)
+    bins.free[low] += sum(n for n, _ in give) - take
+    return True
+
+
+def pack(length: list[int], capacity: int) -> list[int]:
+    """Bin of each item: best fit in order of length, then local search until no exchange is left.
+
+    From the emptiest bin to the fullest, each gives to those no emptier until it is empty or none among them can take
+    a move or a swap from it. Passes over all bins repeat until one finds nothing, or until what is free in all bins
+    together holds no bin's contents, which no packing betters. The squared fill grows with each exchange, so that
+    the search ends.
     """
     bins = Bins(capacity)
     for i in sorted(range(len(length)), key=lambda i: -length[i]):
         bins.add(i, length[i])
-    done: set[int] = set()
-    while True:
-        open_ = [b for b in range(len(bins.items)) if bins.items[b] and bins.free[b] and b not in done]
-        slack = sum(bins.free[b] for b in range(len(bins.items)) if bins.items[b])
-        if not open_ or slack < capacity:
-            break  # what is free in all bins together holds no bin's contents
-        low = max(open_, key=lambda b: (bins.free[b], -b))
-        for _ in range(effort * 16):
-            if not bins.items[low] or not _exchange(bins, length, low, effort):
+    slack = sum(bins.free)
+    moved = True
+    while moved and slack >= capacity:
+        moved = False
+        todo = [(-free, b) for b, free in enumerate(bins.free) if bins.items[b]]
+        heapq.heapify(todo)
+        stuck, tied = [], []  # bins that are done in this pass: out of play, or still in it beside others as empty
+        while todo and slack >= capacity:
+            free, low = heapq.heappop(todo)
+            if -free != bins.free[low]:  # it was filled since
+                heapq.heappush(todo, (-bins.free[low], low))
+                continue
+            if not free:
                 break
-        if bins.items[low]:
-            done.add(low)
-        if len(done) > effort:
-            break
+            for b in tied:
+                if bins.free[b] > bins.free[low]:
+                    bins.leave(b)
+                    stuck.append(b)
+            tied = [b for b in tied if bins.free[b] == bins.free[low]]
+            bins.leave(low)
+            while bins.items[low] and _exchange(bins, low):
+                moved = True
+            if bins.items[low]:
+                bins.enter(low)
+                tied.append(low)
+            else:
+                slack -= capacity
+        for b in stuck:
+            bins.enter(b)
     out = [0] * len(length)
     for b, items in enumerate(bins.items):
-        for i in items:
+        for _, i in items:
             out[i] = b
     return out
 
@@ -307,8 +358,8 @@ def pack_documents(
     """One row per piece of a document: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
     Pieces are dealt by a hash into groups of about ``per_group`` and packed within each: best fit by length, then
-    exchanges of one for one, two for one, and moves from the emptiest bins into others, which increase the squared
-    fill until bins empty. The pieces of bins filled to less than ``good_fill`` meet again in the next round, in
+    moves and exchanges of one for one and two for one from emptier bins into fuller ones, looked up over all bins
+    and pieces of the group, until none is left. The pieces of bins filled to less than ``good_fill`` meet again in the next round, in
     groups of the same size, and so on for at most ``rounds`` rounds, so that the remainders of many groups end in
     few sequences. No group grows with the input.
 

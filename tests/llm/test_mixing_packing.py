@@ -136,3 +136,23 @@ def test_search_empties_bins():
             bins[b] += items[i]
         least = max(-(-sum(items) // 100), sum(i > 50 for i in items))
         assert max(bins.values()) <= 100 and len(bins) <= 1.05 * least + 1
+
+
+@pytest.mark.parametrize("seed,third", [(1, False), (2, True)])
+def test_search_ends_only_without_exchanges(seed, third):
+    # every bin holds two or three pieces and gaps are wide; with ``third``, hundreds of pieces have one length
+    rng, capacity = random.Random(seed), 2048
+    items = [700 if third and i % 3 == 0 else rng.randint(400, 900) for i in range(700)]
+    bins = defaultdict(list)
+    for i, b in enumerate(packing.pack(items, capacity)):
+        bins[b].append(items[i])
+    free = {b: capacity - sum(v) for b, v in bins.items()}
+    assert min(free.values()) >= 0
+    if sum(free.values()) < capacity:
+        return
+    for low, mine in bins.items():
+        gives = [*mine, *(mine[x] + mine[y] for x in range(len(mine)) for y in range(x))]
+        for to, theirs in bins.items():
+            if to != low and free[to] <= free[low]:
+                assert all(n > free[to] for n in mine)
+                assert not any(0 < n - m <= free[to] for n in gives for m in theirs), (mine, theirs)
