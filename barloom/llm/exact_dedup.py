@@ -62,11 +62,13 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """``docs`` with one document of each group of equal texts.
 
-    Rows that repeat an id go or stay together, as one id names one document. Rows of a null id stay.
+    Each row goes or stays by its own id and text: of an id that comes with several texts, only the rows whose text
+    another id keeps go. Rows that repeat an id and its text go or stay together. Rows of a null id stay.
     """
     groups = exact_groups(docs, keep=keep)
-    dropped = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    return docs.join(dropped, (F.col("doc_id") == F.col("_id")) & (sha == F.col("_sha")), "left_anti").select(docs.columns)
 
 
 ORACLE = """

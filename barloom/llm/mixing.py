@@ -92,6 +92,7 @@ def mix_sources(
     most: float = 2.0,
     seed: int = 0,
     per_group: int = PER_GROUP,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``source``, ``size`` in words, ``source_size``, ``target``, ``copies``, ``taken``.
 
@@ -102,13 +103,20 @@ def mix_sources(
     to the nearer side. As duels keep size * p, a source's words miss its target by half a document at most; and as
     they go from long documents to short ones, the one that is left is mostly short.
 
-    Groups, order and draws come from hashes of the ids and ``seed``, so a rerun agrees on any cluster. Null texts
+    Groups, order and draws come from hashes of ids, texts and ``seed``, so a rerun agrees on any cluster. Null texts
     and texts without words have size 0 and are taken 0 words (their copies follow the whole part); null sources
-    are one source, the last; rows that repeat an id are documents of their own, told apart by their sizes only; an empty
-    table gives an empty result. Extra columns are ignored.
+    are one source, the last; rows that repeat an id, or have none, are documents of their own, told apart by their
+    texts (rows of one id and one text fall in one group); an empty table gives an empty result. Extra columns are
+    ignored, but ``row_col``, a long that tells rows apart, comes along where it is named.
     """
     sized = materialise(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+        docs.select(
+            F.col(id_col).alias("id"),
+            F.col(source_col).alias("source"),
+            word_count(F.col(text_col)).alias("size"),
+            F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("hash"),
+            (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"),
+        )
     )
     targets = materialise(source_targets(sized, weights, share, most))
     most_rows = targets.agg(F.max("n")).first()[0] or 0
@@ -123,11 +131,10 @@ def mix_sources(
         .withColumn("rate", rate)
         .withColumn("base", F.floor("rate"))
         .withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("base")).otherwise(F.lit(0.0)))
-        .withColumn("hash", F.xxhash64(F.lit(seed), F.col("id"), F.col("size")))
         .withColumn("draw", F.shiftrightunsigned("hash", 32).cast("double"))
         .withColumn("bucket", F.pmod(F.col("hash"), F.ceil(F.col("n") / F.lit(per_group))))
     )
-    shape = "id long, source string, size long, source_size long, target double, base long, p double, hash long, draw double, bucket long"
+    shape = "id long, source string, size long, source_size long, target double, base long, p double, hash long, draw double, bucket long, row long"
     shape = shape.replace("id long", f"id {sized.schema['id'].dataType.simpleString()}", 1)
     names = [x.split()[0] for x in shape.split(", ")]
     done, open_ = [], rows.select(names)
@@ -157,16 +164,17 @@ def mix_sources(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a document of two copies twice, one of none not at all.
 
-    Sizes and copies are found per row, and come back to the rows by id. Rows that repeat an id share one decision
-    (the largest), as one id names one document.
+    Every row has its own decision, also where ids are null or repeat: rows are numbered and written first, and copies
+    come back to them by that number.
     """
-    copies = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies, "doc_id")
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    copies = mix_sources(rows, row_col="_row", **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
     again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
-    return joined.select(*docs.columns, again).select(docs.columns)
+    return rows.join(copies, "_row").select(*docs.columns, again).select(docs.columns)
