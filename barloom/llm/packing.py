@@ -6,6 +6,8 @@ import heapq
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +20,17 @@ from .common import arrow_batches, buckets, materialise
 PER_GROUP = 16_384
 BATCH_BYTES = 6_000_000
 CACHE = 300_000
-#: Words of Latin letters, lower-cased in A-Z, with at most one point or comma: what the shared word table handles.
-SIMPLE = r"^([a-zÀ-ÖØ-öø-ÿ]+)[.,]?$"
+#: Chunks of Latin letters and a run of ASCII punctuation after them, either of which may be missing: the tokenizer splits them there.
+SIMPLE = r"^([a-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)$"
 
 
 class WordTable:
     """Token ids of whole texts from a file of the ``tokenizers`` library, encoding each distinct word once.
 
     The tokenizer splits texts at blanks and between letters and punctuation before it merges, so a text's ids are
-    its words' ids in turn. Distinct words of a batch are encoded and put together again by index. Words of Latin
-    letters, as most are, go through a table that lasts for the task, up to ``CACHE`` words; all other words go
-    through the tokenizer as they are, and so do whole texts in which a special token may hide.
+    its parts' ids in turn. Parts (words of Latin letters, runs of punctuation) go through a table of up to ``CACHE``
+    parts, held as arrays: what the table has is found in one lookup, and what it lacks is encoded in lines of parts.
+    All other chunks go through the tokenizer as they are, and so do whole texts in which a special token may hide.
     """
 
     def __init__(self, path: str):
@@ -37,7 +39,7 @@ class WordTable:
         from tokenizers import pre_tokenizers as pre
 
         self.whole = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)  # for words already normalised: the costly steps are left out
+        self.words = Tokenizer.from_file(path)  # for parts already normalised: the costly steps are left out
         self.words.normalizer = None
         self.words.pre_tokenizer = pre.Sequence(
             [pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -45,26 +47,38 @@ class WordTable:
         end = self.whole.model.end_of_word_suffix
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         self.ends[[i for token, i in self.whole.get_vocab().items() if end and token.endswith(end)]] = True
-        self.cache: dict[str, bytes] = {}
-        self.marks = {"": b""} | {m: self._encode([m])[0] for m in ".,"}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            ids = np.array(self.words.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            line = ids.tobytes()
-            parts = [line[a:b] for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(some) else self._encode(some)
-            self.cache.update(zip(some, parts, strict=True))
-
-    def _lookup(self, words: list[str]) -> list[bytes]:
-        if len(self.cache) + len(words) > CACHE:
-            self.cache = {}
-        self._learn([w for w in words if w not in self.cache])
-        return [self.cache[w] for w in words]
+        self.known = pa.array([], pa.string())
+        self.size = np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the texts, and all their ids in turn, by the tokenizer as it is."""
+        ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+
+    def _learn(self, parts: list[str]) -> None:
+        size, flat = [self.size], [self.flat]
+        for at in range(0, len(parts), 512):
+            some = parts[at : at + 512]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            own = (np.diff(cuts, prepend=0).astype(np.int32), ids) if len(cuts) == len(some) else self._encode(some)
+            size.append(own[0])
+            flat.append(own[1])
+        self.known = pa.concat_arrays([self.known, pa.array(parts, pa.string())])
+        self.size, self.flat = np.concatenate(size), np.concatenate(flat)
+
+    def _lookup(self, parts: pa.Array) -> np.ndarray:
+        """The place in the table of each of the distinct ``parts``."""
+        at = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(at.is_null())
+        if len(self.known) + len(new) > CACHE:  # only what this batch needs stays
+            stay = np.sort(at.drop_null().to_numpy())
+            self.flat = self.flat[_ranges(np.cumsum(self.size)[stay] - self.size[stay], self.size[stay])]
+            self.known, self.size = self.known.take(pa.array(stay)), self.size[stay]
+        self._learn(new.to_pylist())
+        return pc.index_in(parts, value_set=self.known).to_numpy()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's ids begin (one more bound at the end)."""
@@ -77,51 +91,58 @@ class WordTable:
         # a text that is blank on either side gives empty chunks there, which have no ids
         distinct = chunks.dictionary
         simple = pc.match_substring_regex(distinct, SIMPLE)
-        is_simple = simple.to_numpy(zero_copy_only=False).astype(bool)
         words = pc.utf8_lower(distinct.filter(simple))  # each of these letters has one lower-case form
-        base = pc.replace_substring_regex(words, SIMPLE, r"\1").dictionary_encode()
-        known = self._lookup(base.dictionary.to_pylist())
-        table = [b""] * len(distinct)
-        marks = [w[-1] if w[-1] in ".," else "" for w in words.to_pylist()]
-        for at, i, mark in zip(np.flatnonzero(is_simple).tolist(), base.indices.to_pylist(), marks, strict=True):
-            table[at] = known[i] + self.marks[mark]
-        odd = np.flatnonzero(~is_simple)
-        for at, own in zip(odd.tolist(), self._encode(distinct.take(pa.array(odd)).to_pylist()), strict=True):
-            table[at] = own
-        # the ids of a batch are far fewer than 2**31, so that 32-bit places do
-        size = np.fromiter(map(len, table), np.int32, len(table)) // 4
-        start = np.cumsum(size, dtype=np.int32) - size
-        flat = np.frombuffer(b"".join(table), "<u4")
-        del table, known, words, base, distinct
+        halves = pa.concat_arrays([pc.replace_substring_regex(words, SIMPLE, rf"\{i}") for i in (1, 2)]).dictionary_encode()
+        place = self._lookup(halves.dictionary)[halves.indices.to_numpy()]
+        is_simple = simple.to_numpy(zero_copy_only=False).astype(bool)
+        odd_size, odd_flat = self._encode(distinct.filter(pc.invert(simple)).to_pylist())
+        # each distinct chunk is two ranges of ids in the table, or one of the odd ones and an empty one
+        begin, size = np.zeros((2, len(distinct), 2), np.int64)
+        ends = np.cumsum(self.size, dtype=np.int64)
+        begin[is_simple], size[is_simple] = (x[place].reshape(2, -1).T for x in (ends - self.size, self.size))
+        begin[~is_simple, 0], size[~is_simple, 0] = len(self.flat) + np.cumsum(odd_size) - odd_size, odd_size
+        flat = np.concatenate([self.flat, odd_flat])[_ranges(begin.ravel(), size.ravel())]
+        n = size.sum(axis=1)
         code = chunks.indices.to_numpy(zero_copy_only=False)
-        del chunks
-        n = size[code]
-        total = np.concatenate([[0], np.cumsum(n)])
-        where = np.repeat(start[code] - total[:-1].astype(np.int32), n)
-        where += np.arange(len(where), dtype=np.int32)
-        ids = flat[where]
-        bounds = total[of_text]
+        del chunks, distinct, words, halves
+        ids = flat[_ranges((np.cumsum(n) - n)[code], n[code])]
+        bounds = np.concatenate([[0], np.cumsum(n[code])])[of_text]
         if any_whole := np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
             parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            for i, own in zip(any_whole, self._encode(texts.take(pa.array(any_whole)).to_pylist()), strict=True):
-                parts[i] = np.frombuffer(own, "<u4")
+            for i in any_whole:
+                parts[i] = self._encode([texts[i].as_py()])[1]
             ids = np.concatenate(parts)
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, bounds
 
 
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All whole numbers of the ranges of ``size`` numbers from ``begin`` on, in turn; a batch has far fewer than 2**31."""
+    out = np.repeat((begin - (np.cumsum(size) - size)).astype(np.int32), size)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
+@lru_cache(maxsize=1)
+def word_table(path: str) -> WordTable:
+    """The table of this worker, which lasts over its tasks."""
+    return WordTable(path)
+
+
 def pieces(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The pieces of every document: id, ``piece``, ``start``, ``length`` and ``ids_crc32``.
 
     A document is its token ids and ``end_id`` after them; one longer than ``capacity`` is cut into pieces of that
-    length and a rest. ``tokenizer`` is the path of a file of the ``tokenizers`` library.
+    length and a rest. ``tokenizer`` is the path of a file of the ``tokenizers`` library. A null or empty text is
+    ``end_id`` alone; rows that repeat an id, or have none, are cut one by one; an empty table gives an empty result;
+    extra columns are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTable(tokenizer)
+        words = word_table(tokenizer)
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
             size = pc.binary_length(text).to_numpy(zero_copy_only=False)
@@ -323,9 +344,9 @@ def pack(length: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _pack_group(capacity: int, full: bool):
+def _pack_group(capacity: int):
     def each(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in ("hash", "piece", "length", "ids_crc32")])
+        rows = rows.sort_by([(c, "ascending") for c in ("hash", "piece", "length", "ids_crc32", "row")])
         length = rows["length"].to_pylist()
         bin_ = np.array(pack(length, capacity), np.int64)
         order = np.argsort(bin_, kind="stable")
@@ -344,6 +365,20 @@ def _pack_group(capacity: int, full: bool):
     return each
 
 
+def _deal(todo: DataFrame, draw: int, per_group: int) -> DataFrame:
+    """``todo`` with ``group``: pieces go by a hash into groups of about ``per_group``.
+
+    Only rows that repeat an id and its text share their hash; a group that many of them make twice as large, or
+    larger, is dealt again by row number into groups of that size.
+    """
+    groups = buckets(todo.count(), per_group)
+    dealt = todo.withColumn("slot", F.pmod(F.xxhash64("hash", "ids_crc32", F.lit(draw)), F.lit(groups)))
+    large = dealt.groupBy("slot").count().where(F.col("count") > 2 * per_group)
+    large = large.select("slot", F.ceil(F.col("count") / per_group).alias("parts"))
+    own = F.pmod(F.xxhash64("row", F.lit(draw)), F.coalesce("parts", F.lit(1)))
+    return dealt.join(large, "slot", "left").withColumn("group", F.col("slot") + groups * own).drop("slot", "parts")
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
@@ -359,28 +394,32 @@ def pack_documents(
 
     Pieces are dealt by a hash into groups of about ``per_group`` and packed within each: best fit by length, then
     moves and exchanges of one for one and two for one from emptier bins into fuller ones, looked up over all bins
-    and pieces of the group, until none is left. The pieces of bins filled to less than ``good_fill`` meet again in the next round, in
-    groups of the same size, and so on for at most ``rounds`` rounds, so that the remainders of many groups end in
-    few sequences. No group grows with the input.
-
-    Sequences are named by round, group and bin; order inside a sequence and the names come from hashes, so a rerun
-    agrees. A null or empty text is the end id alone. Rows that repeat an id are packed as documents of their own.
-    An empty table gives an empty result; extra columns are ignored.
+    and pieces of the group, until none is left. The pieces of bins filled to less than ``good_fill`` meet again in
+    the next round, in groups of the same size, and so on for at most ``rounds`` rounds, so that the remainders of
+    many groups end in few sequences. No group grows with the input: one that rows of equal id and text would make
+    larger is split.
+
+    Sequences are numbered round by round and group by group, with room for the largest group of the round, so no two
+    share a number; order inside a sequence comes from hashes, so a rerun agrees (rows of equal id and text may
+    change places). A null or empty text is the end id alone. Rows that repeat an id, or have none, are packed as
+    documents of their own. A very long text is cut like any other. An empty table gives an empty result; extra
+    columns, whatever their names, are ignored.
     """
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
-        found = materialise(pieces(docs, tokenizer, capacity, end_id, id_col, text_col))
-    names = "piece int, start long, length long, ids_crc32 long, hash long, group long, seq long, offset long, fill long"
+        found = pieces(docs, tokenizer, capacity, end_id, id_col, text_col)
+        found = materialise(found.withColumn("row", F.monotonically_increasing_id()))
+    names = "piece int, start long, length long, ids_crc32 long, row long, hash long, group long, seq long, offset long, fill long"
     shape = f"id {found.schema['id'].dataType.simpleString()}, {names}"
     zero = F.lit(0).cast("long")
     todo = found.withColumns({"hash": F.xxhash64("id", "piece"), "seq": zero, "offset": zero, "fill": zero})
-    done = []
+    done, first = [], 0
     for k in range(rounds):
-        groups = buckets(todo.count(), per_group)
-        dealt = todo.withColumn("group", F.pmod(F.xxhash64("hash", "ids_crc32", F.lit(k)), F.lit(groups)))
-        dealt = dealt.select([x.split()[0] for x in shape.split(", ")])
-        packed = materialise(dealt.groupBy("group").applyInArrow(_pack_group(capacity, k == 0), shape))
-        named = packed.withColumn("sequence_id", (F.lit(k) * F.lit(1 << 40) + F.col("group")) * F.lit(1 << 15) + F.col("seq"))
-        if groups == 1 or k == rounds - 1:
+        dealt = _deal(todo, k, per_group).select([x.split()[0] for x in shape.split(", ")])
+        packed = materialise(dealt.groupBy("group").applyInArrow(_pack_group(capacity), shape))
+        last, most = packed.agg(F.coalesce(F.max("group"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+        named = packed.withColumn("sequence_id", F.lit(first) + F.col("group") * F.lit(most + 1) + F.col("seq"))
+        first += (last + 1) * (most + 1)
+        if last == 0 or k == rounds - 1:
             done.append(named)
             break
         good = F.col("fill") >= good_fill * capacity

@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import mixing, packing
 from barloom.llm.queries import word_tokenizer
@@ -80,6 +81,7 @@ def test_take_mix_repeats_rows(spark):
 TEXTS = [
     "Hello, World. It's 2024 -- don't stop!", "", "   ", "naïve CAFÉ Straße ÜBER", "日本語 текст   x y", "a<|endoftext|>b <|ENDOFTEXT|>", "é É İ ΑΣ",
     "...,, end. a.b,c d., ,x 'quoted' they'll", "\x1c\x85tab\tline\nfeed\x0b\x0c", "word " * 5000, "x" * 3000,
+    "Wörter,### MORE!!! 'S it's ' | || a|b end.&&& ÿ× ÷ ß. ...a a'' $1,000", "*** %%% ,, ., x", "<|x|> a", "d'accord l'été qu'il 's't",
 ]
 
 
@@ -124,6 +126,30 @@ def test_pack_round_trip(spark, per_group):
     assert packing.pack_documents(docs(spark, []), word_tokenizer()).collect() == []
 
 
+def test_word_table_forgets_and_learns_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 20)
+    whole, table = Tokenizer.from_file(word_tokenizer()), packing.WordTable(word_tokenizer())
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéü", k=rng.randint(1, 9))) + rng.choice(["", ".", ",###"]) for _ in range(60)]
+    for _ in range(12):
+        texts = [" ".join(rng.choices(words, k=10)) for _ in range(3)]
+        ids, bounds = table.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_pack_of_one_row_repeated(spark):
+    # more repeats of one row than groups hold, and more bins than one number of 15 bits names
+    rows = spark.range(60_000).selectExpr("cast(if(id < 40000, 7, id) as long) doc_id", "if(id < 40000, 'a', 'b') text")
+    found = packing.pack_documents(rows, word_tokenizer(), capacity=2, per_group=4096)
+    whole = found.groupBy("sequence_id").agg(F.sum("length").alias("held"), F.max("offset").alias("last"))
+    assert whole.count() == 60_000 and whole.where("held > 2 or last > 0").isEmpty()
+    sizes = packing._deal(rows.selectExpr("doc_id hash", "1 ids_crc32", "monotonically_increasing_id() row"), 0, 4096)
+    assert sizes.groupBy("group").count().selectExpr("max(count)").first()[0] <= 2 * 4096
+
+
 def test_search_empties_bins():
     # best fit by length needs 4 bins; exchanges bring it to 3
     items = [6, 5, 5, 4, 4, 3, 3]
