@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,13 +15,22 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: A table of at most so many narrow rows may be sent to all executors; larger ones are shuffled.
+FEW_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session of one process (tests) gets a folder that goes when it ends; a cluster is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master or 'the cluster'} share")
         named = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
@@ -35,6 +47,29 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(table: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be joined by broadcast if it is counted to have ``rows`` rows at most."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def without(docs: DataFrame, marks: DataFrame, key: Column) -> DataFrame:
+    """``docs`` (doc_id and any columns) without the rows whose ``doc_id`` and ``key`` are marked.
+
+    ``marks`` (id, key, one) has a row for each id and key at most: all rows of it go, or where ``one`` is true, all
+    but the row whose columns hash smallest. Ids may be null.
+    """
+    columns = [f"_{i}" for i in range(len(docs.columns))]
+    carried = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns, strict=True)], key.alias("_key"))
+    marks = materialise(marks)
+    own = F.col(columns[docs.columns.index("doc_id")])
+    marked = carried.join(few(marks), own.eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")), "left")
+    rest = marked.where(F.col("one").isNull()).select(columns)
+    if not marks.where("one").isEmpty():
+        same = marked.where("one").groupBy("id", "key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+        rest = rest.unionByName(same.select("row.*"))
+    return rest.toDF(*docs.columns)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
     """Jobs that run inside send texts to Python in Arrow batches of about ``size`` bytes, which bounds both sides' memory."""

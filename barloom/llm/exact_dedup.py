@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, few, materialise, without
+
+
+def content_md5(text: Column) -> Column:
+    """The 128-bit hash of a text, as 16 bytes."""
+    return F.unhex(F.md5(text))
 
 
 def exact_groups(
@@ -15,60 +20,75 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "min",
-    content_hash: Callable[[Column], Column] = F.md5,
+    content_hash: Callable[[Column], Column] = content_md5,
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     Two rows belong together when their texts are the same bytes after lower-casing A-Z. Rows are grouped by the
-    128-bit ``content_hash`` and, inside such a group, by the text itself: a grouping key is compared byte for
-    byte, so texts whose hashes collide still form groups of their own. Both keys combine on the map side, and a
-    group of copies sends one row from each map task however large it is. ``keep`` is ``min`` or ``max``: which id
-    of a group stays. Only groups of two or more rows are joined back, by the hash and the SHA-256 of the text; the
-    join has a plain shuffle on either side, so that adaptive execution can split a hot group.
+    128-bit ``content_hash`` first, ids and hashes only. Texts move for those hashes alone that came twice or more:
+    they are grouped by hash and text, and as a grouping key is compared byte for byte, texts whose hashes collide
+    form groups of their own. Both groupings combine on the map side, so a group of copies sends one row from each
+    map task however large it is. ``keep`` is ``min`` or ``max``: which id of a group stays. Only groups of two or
+    more rows are joined back, by the hash and the SHA-256 of the text; the join has a plain shuffle on either side,
+    so that adaptive execution can split a hot group.
 
     Null texts count as empty texts and are equal to them. Null ids never stay while another id is there; a group
     of null ids only has a null ``keep_id`` and keeps each of its rows. Rows that repeat an id and its text are
-    members like any other, and all rows with the id that stays are kept: one id names one document. An empty table
-    gives an empty result, and other columns are ignored.
+    members like any other, and all rows with the id that stays are kept: one id names one document. Very long texts
+    are texts like any other. An empty table gives an empty result, and other columns are ignored.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
     pick = F.min if keep == "min" else F.max
+    norm = normalised(F.col(text_col))
+    hashed = docs.select(F.col(id_col).alias("id"), content_hash(norm).alias("h"), sha256(norm).alias("sha"))
+    hashed = materialise(hashed)
+    repeated = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    texts = docs.select(F.col(id_col).alias("id"), content_hash(norm).alias("h"), norm.alias("norm"))
     classes = (
-        rows.groupBy(content_hash(F.col("norm")).alias("h"), "norm")
+        texts.join(few(materialise(repeated)), "h", "left_semi")
+        .groupBy("h", "norm")
         .agg(F.count(F.lit(1)).alias("n"), pick("id").alias("best"))
         .where("n > 1")
-        .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "n", "best")
-    )
-    members = rows.select(
-        "id", content_hash(F.col("norm")).alias("h"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha")
+        .select("h", sha256(F.col("norm")).alias("sha"), "n", "best")
     )
     keep_id = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("best"))
     return (
-        members.join(classes, ["h", "sha"], "left")
+        hashed.join(classes, ["h", "sha"], "left")
         .withColumn("keep_id", keep_id)
         .select(
             F.col("id").alias(id_col),
             "keep_id",
             F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
             F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-            F.col("sha").alias("text_sha256"),
+            F.lower(F.hex("sha")).alias("text_sha256"),
         )
     )
 
 
+def normalised(text: Column) -> Column:
+    """A text as it is compared: lower-cased in A-Z, null as empty."""
+    return ascii_lower(F.coalesce(text, F.lit("")))
+
+
+def sha256(text: Column) -> Column:
+    """The SHA-256 of a text, as 32 bytes."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def drop_exact_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """``docs`` with one document of each group of equal texts.
+    """``docs`` with one row of each group of equal texts.
 
-    Each row goes or stays by its own id and text: of an id that comes with several texts, only the rows whose text
-    another id keeps go. Rows that repeat an id and its text go or stay together. Rows of a null id stay.
+    It is a row of the id that ``exact_groups`` keeps, and of several such rows that whose columns hash smallest. An
+    id that comes with several texts has a decision for each. A row of a null id goes where another id has its text.
+    Null texts count as empty; an empty table gives an empty result; all columns come along, whatever their names.
     """
-    groups = exact_groups(docs, keep=keep)
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    return docs.join(dropped, (F.col("doc_id") == F.col("_id")) & (sha == F.col("_sha")), "left_anti").select(docs.columns)
+    groups = materialise(exact_groups(docs, keep=keep).where("group_size > 1"))
+    key = [F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("key")]
+    dropped = groups.where("not kept").select(*key, F.lit(False).alias("one")).distinct()
+    several = groups.where("kept").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marks = dropped.unionByName(several.select("id", "key", F.lit(True).alias("one")))
+    return without(docs, marks, sha256(normalised(F.col("text"))))
 
 
 ORACLE = """

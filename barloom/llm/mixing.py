@@ -172,9 +172,13 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: a document of two copies twice, one of none not at all.
 
     Every row has its own decision, also where ids are null or repeat: rows are numbered and written first, and copies
-    come back to them by that number.
+    come back to them by that number. Rows without words follow the whole part of their source's rate; null sources
+    are one source. An empty table gives an empty result; all columns come along, whatever their names.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    copies = mix_sources(rows, row_col="_row", **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
-    return rows.join(copies, "_row").select(*docs.columns, again).select(docs.columns)
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    own = {c: f"_{docs.columns.index(c)}" for c in ("doc_id", "text", "source")}
+    rows = materialise(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    mix = mix_sources(rows, own["doc_id"], own["text"], own["source"], row_col="row", **options)
+    copies = mix.where("copies > 0").select("row", "copies")
+    again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return rows.join(copies, "row").select(*names, again).select(names).toDF(*docs.columns)

@@ -1,4 +1,8 @@
-"""Near copies by exact shingle similarity: min-hash bands propose pairs, the shingle sets decide, components group."""
+"""Near copies by exact shingle similarity: SimHash and min-hash bands propose pairs, the shingle sets decide.
+
+Fingerprints within 3 bits, found by the multi-index tables of ``simhash``, are the closest copies. Texts at 0.8
+similarity differ in some 10 of 64 bits, which no ball small enough to enumerate reaches; bands propose those.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise
-from .simhash import components, shingle_hashes
+from .common import arrow_batches, materialise, without
+from .simhash import components, majority, near_pairs, shingle_hashes
 
 SIMILAR = 0.8
 #: Two sets of similarity s share no band with probability (1 - s^5)^25: 5 in 100,000 at 0.8, 4 in 10 million at 0.85.
@@ -35,18 +39,20 @@ def bands(shingles: np.ndarray) -> list[int]:
 
 
 def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): ``id``, ``hash`` of the text, ``node``, ``size``, ``bands``, ``shingles``.
+    """One row per row of ``docs`` (doc_id, text): ``id``, ``hash`` of the text, ``node``, ``fp``, ``size``, ``bands``, ``shingles``.
 
     ``shingles`` are the distinct 64-bit hashes of the text's runs of ``words`` words, A-Z lower-cased; a shorter
-    text is one shingle, and a null or blank one has none. ``node`` is the hash of that set.
+    text is one shingle, and a null or blank one has none. ``node`` is the hash of that set, ``fp`` the SimHash.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, keys, sets = [], [], []
+            node, fps, keys, sets = [], [], [], []
             for text in batch.column(2):
-                own = np.unique(shingle_hashes(text.as_py() or b"", words))
+                every = shingle_hashes(text.as_py() or b"", words)
+                fps.append(majority(every))
+                own = np.unique(every)
                 node.append(xxhash.xxh64_intdigest(own.tobytes()))
                 keys.append(bands(own))
                 sets.append(own.view(np.int64))
@@ -58,27 +64,39 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
                     batch.column(0),
                     batch.column(1),
                     pa.array(np.array(node, np.uint64).view(np.int64)),
+                    pa.array(fps, pa.int64()),
                     pa.array(size),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["id", "hash", "node", "size", "bands", "shingles"],
+                ["id", "hash", "node", "fp", "size", "bands", "shingles"],
             )
             pa.default_memory_pool().release_unused()
 
     slim = docs.select(
         F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")
     )
-    shape = f"id {id_type}, hash long, node long, size long, bands array<long>, shingles array<long>"
+    shape = f"id {id_type}, hash long, node long, fp long, size long, bands array<long>, shingles array<long>"
     return slim.mapInArrow(each, shape)
 
 
+def close_fingerprints(sets: DataFrame, distance: int = 3) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes of ``sets`` (node, fp) that connect all whose fingerprints are ``distance`` bits apart at most."""
+    nodes = materialise(sets.select("node", "fp").distinct())
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    links = near_pairs(first.select("fp"), distance)
+    links = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+    links = links.join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    return same.unionByName(links).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links ``a``, ``b`` that connect the nodes of ``sets`` (node, size, bands, shingles) exactly as all similar pairs do.
+    """Links ``a``, ``b`` that connect the nodes of ``sets`` (node, fp, size, bands, shingles) exactly as all similar pairs do.
 
-    A pair is similar when its shingle sets have an intersection of at least ``similar`` times their union. Every two
-    nodes that share a band are compared, unless links found before connect them: first each node with one centre of
-    its bucket, then, in buckets that hold more than one component by now, the members outside the most frequent
+    A pair is similar when its shingle sets have an intersection of at least ``similar`` times their union. Nodes of
+    close fingerprints are compared, and every two nodes that share a band, unless links found before connect them:
+    first each node with one centre of its bucket, then, in buckets that hold more than one component by now, the members outside the most frequent
     component with all members of other components. So a large group of copies of one text costs rows in proportion
     to its size.
     """
@@ -86,7 +104,8 @@ def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.col("size").alias("c_size")))
     shared = owners.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre.alias("c")).where("n > 1").select("key", "c.centre", "c.c_size")
     shared = materialise(owners.join(shared, "key"))
-    need = shared.select("node").distinct()
+    close = materialise(close_fingerprints(sets))
+    need = shared.select("node").union(close.select("a")).union(close.select("b")).distinct()
     own = materialise(sets.select("node", "shingles").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")))
 
     def fits(x: str, y: str):
@@ -104,6 +123,7 @@ def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     first = materialise(
         shared.where((F.col("node") != F.col("centre")) & fits("size", "c_size"))
         .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        .unionByName(close)
         .distinct()
     )
     found = verified(first)
@@ -135,17 +155,19 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similar: float = SIMILAR)
     """``docs`` with one document of each component of similar texts, that of the smallest id.
 
     Texts are similar when the sets of their runs of ``words`` words have a Jaccard similarity of at least
-    ``similar``. Texts of equal sets are one node, so blank and null texts are similar to each other. Rows of a null
-    id stay. An id may come with several texts: each row goes or stays by its own text, and every row that has the id
-    that stays is kept. An empty table gives an empty result.
+    ``similar``. Texts of equal sets are one node, so blank and null texts are similar to each other. An id may come
+    with several texts: each row goes or stays by its own text, and one row of a component stays. Null ids stay only
+    where no other id is in their component. Very long texts are compared whole. An empty table gives an empty
+    result; all columns come along, whatever their names.
     """
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
         sets = materialise(shingle_sets(docs, words))
     roots = components(similar_links(sets, similar)).withColumnRenamed("root", "found")
-    rows = sets.select("id", "hash", "node").join(roots, "node", "left").select("id", "hash", F.coalesce("found", "node").alias("root"))
-    rows = materialise(rows)
-    kept = rows.groupBy("root").agg(F.min("id").alias("kept"))
-    dropped = rows.join(kept, "root").where("id <> kept").select("id", "hash").distinct()
-    return docs.join(
-        dropped, (docs["doc_id"] == dropped["id"]) & (F.xxhash64(docs["text"]) == dropped["hash"]), "left_anti"
-    ).select(docs.columns)
+    rows = materialise(sets.select("id", "hash", "node").join(roots, "node", "left").select("id", "hash", F.coalesce("found", "node").alias("root")))
+    # of each component the smallest id stays (a null one if there is no other), and of its rows that of the smallest hash
+    best = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "hash"))).alias("best")
+    chosen = rows.groupBy("root").agg(best, F.min("hash").alias("least"))
+    chosen = chosen.select("root", F.col("best.id").alias("kept"), F.coalesce("best.hash", "least").alias("kept_hash"))
+    stays = F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash"))
+    marked = rows.join(chosen, "root").groupBy("id", F.col("hash").alias("key"), stays.alias("one")).agg(F.count(F.lit(1)).alias("n"))
+    return without(docs, marked.where("not one or n > 1").select("id", "key", "one"), F.xxhash64("text"))

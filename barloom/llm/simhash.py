@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SEED = 42
-HOT_BUCKET = 256
+HOT_BUCKET = 8192
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -34,11 +34,8 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.array(hashes, np.uint64)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """The 64-bit SimHash of a text, as a signed integer, over its shingles of ``words`` words, repeats included."""
-    h = shingle_hashes(text, words)
-    if not len(h):
-        return 0
+def majority(h: np.ndarray) -> int:
+    """The SimHash of shingle hashes, as a signed integer: the bits that are set in over half of them."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):  # a very long text is unpacked piece by piece
         block = h[at : at + 65_536].view(np.uint8).reshape(-1, 8)
@@ -47,8 +44,17 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """The 64-bit SimHash of a text, as a signed integer, over its shingles of ``words`` words, repeats included."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """One row per row of ``docs``: its id and ``fp``, a long. Null texts have the fingerprint of empty ones, zero."""
+    """One row per row of ``docs``: its id and ``fp``, a long.
+
+    Null texts have the fingerprint of empty ones, zero; very long texts are hashed whole. Null and repeated ids each
+    give their row; an empty table gives an empty result; extra columns are ignored.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +203,3 @@ def near_duplicates(
     return fps.join(named, "fp").select(
         F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id", "component_size"
     )
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; rows of a null id stay."""
-    found = near_duplicates(docs, words=words, distance=distance)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)

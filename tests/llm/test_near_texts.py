@@ -86,6 +86,18 @@ def test_null_and_repeated_ids_near(spark, seed):
     rng = random.Random(seed)
     text = [" ".join(rng.choices([f"w{i}" for i in range(900)], k=150)) for _ in range(3)]
     rows = [(1, text[0], "en", "a"), (7, edited(rng, text[0], 1), "en", "a"), (7, text[1], "en", "a")]
-    rows += [(None, text[2], "en", "a"), (None, edited(rng, text[2], 1), "en", "a")]
+    rows += [(None, text[2], "en", "a"), (None, edited(rng, text[2], 1), "en", "a"), (None, edited(rng, text[0], 1), "en", "a")]
     kept = Counter((r.doc_id, r.text) for r in near(spark, rows).collect())
-    assert kept == Counter((r[0], r[1]) for r in [rows[0], *rows[2:]])
+    assert sum(kept.values()) == 3 and kept[1, text[0]] == kept[7, text[1]] == 1  # and one of the two of no id
+
+
+def test_close_fingerprints_connect_copies(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"w{i}" for i in range(900)], k=200)), "en", "a") for i in range(12)]
+    rows += [(100 + i, r[1] + " tail", "en", "a") for i, r in enumerate(rows)]
+    fp = {r[0]: plain_fingerprint(r[1], 5) for r in rows}
+    want = {frozenset((a, b)) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 3}
+    sets = near_texts.shingle_sets(docs(spark, rows))
+    ids = {r.node: r.id for r in sets.select("node", "id").collect()}
+    found = {frozenset((ids[r.a], ids[r.b])) for r in near_texts.close_fingerprints(sets).collect()}
+    assert found == want and want
