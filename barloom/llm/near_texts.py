@@ -6,15 +6,16 @@ similarity differ in some 10 of 64 bits, which no ball small enough to enumerate
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise, without
+from .common import arrow_batches, few, materialise, without
 from .simhash import components, majority, near_pairs, shingle_hashes
 
 SIMILAR = 0.8
@@ -39,45 +40,58 @@ def bands(shingles: np.ndarray) -> list[int]:
 
 
 def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): ``id``, ``hash`` of the text, ``node``, ``fp``, ``size``, ``bands``, ``shingles``.
+    """One row per row of ``docs`` (doc_id, text): ``id``, ``hash`` of the text, ``node``, ``fp``, ``size`` and ``bands``.
 
-    ``shingles`` are the distinct 64-bit hashes of the text's runs of ``words`` words, A-Z lower-cased; a shorter
-    text is one shingle, and a null or blank one has none. ``node`` is the hash of that set, ``fp`` the SimHash.
+    Of the set of distinct 64-bit hashes of the text's runs of ``words`` words, A-Z lower-cased, ``node`` is a hash,
+    ``size`` the number and ``bands`` the keys of its bands; ``fp`` is the text's SimHash. A shorter text is one
+    shingle, and a null or blank one has none.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fps, keys, sets = [], [], [], []
+            node, fps, size, keys = [], [], [], []
             for text in batch.column(2):
                 every = shingle_hashes(text.as_py() or b"", words)
-                fps.append(majority(every))
                 own = np.unique(every)
                 node.append(xxhash.xxh64_intdigest(own.tobytes()))
+                fps.append(majority(every))
+                size.append(len(own))
                 keys.append(bands(own))
-                sets.append(own.view(np.int64))
-            size = np.array([len(s) for s in sets], np.int64)
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(np.array(node, np.uint64).view(np.int64)),
                     pa.array(fps, pa.int64()),
-                    pa.array(size),
+                    pa.array(size, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                ["id", "hash", "node", "fp", "size", "bands", "shingles"],
+                ["id", "hash", "node", "fp", "size", "bands"],
             )
             pa.default_memory_pool().release_unused()
 
     slim = docs.select(
         F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")
     )
-    shape = f"id {id_type}, hash long, node long, fp long, size long, bands array<long>, shingles array<long>"
-    return slim.mapInArrow(each, shape)
+    return slim.mapInArrow(each, f"id {id_type}, hash long, node long, fp long, size long, bands array<long>")
+
+
+def shingles_of(docs: DataFrame, hashes: DataFrame, words: int) -> DataFrame:
+    """``node`` and ``s``, the set of shingle hashes, of the texts of ``docs`` whose hash is in ``hashes``, a written table."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(0)]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            flat = np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "s"])
+            pa.default_memory_pool().release_unused()
+
+    wanted = docs.select(F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    wanted = wanted.join(few(hashes), "hash", "left_semi").select("text")
+    return wanted.mapInArrow(each, "node long, s array<long>").groupBy("node").agg(F.first("s").alias("s"))
 
 
 def close_fingerprints(sets: DataFrame, distance: int = 3) -> DataFrame:
@@ -91,25 +105,60 @@ def close_fingerprints(sets: DataFrame, distance: int = 3) -> DataFrame:
     return same.unionByName(links).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links ``a``, ``b`` that connect the nodes of ``sets`` (node, fp, size, bands, shingles) exactly as all similar pairs do.
+def open_pairs(named: DataFrame, own: DataFrame, similar: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes of different components (``root``) that share a band (``key``) and may be similar.
+
+    Members outside the most frequent component of a band meet all members of other components. A shingle that no
+    other node of such bands has cannot be shared: with c shingles that may be, a node of size n is similar only to
+    sizes from similar * n to c * (1 + similar) / similar - n. Nodes meet by band and class of size, so that variants
+    of one text that each differ from it too much, however many they are, never become pairs.
+    """
+    most = (
+        named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
+        .where("roots > 1").select("key", F.col("top.root").alias("major"))
+    )
+    several = materialise(named.join(most, "key"))
+    x = own.join(several.select("node").distinct(), "node").select("node", F.explode("s").alias("x"))
+    twice = x.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
+    shared = x.join(twice, "x").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    t, n, c = F.lit(similar), F.col("size"), F.col("c")
+    least, greatest = F.ceil(t * n - 1e-6), F.floor(F.least(n / t, c * (1 + t) / t - n) + 1e-6)
+    live = materialise(several.join(shared, "node").withColumns({"least": least, "greatest": greatest}).where("least <= greatest"))
+
+    def size_class(size: Column) -> Column:
+        return F.floor(F.log(F.greatest(size, F.lit(1))) / math.log(1.04))
+
+    minor = live.where("root <> major").select(
+        "key", F.col("node").alias("m"), F.col("size").alias("m_size"), F.col("root").alias("m_root"),
+        F.col("least").alias("m_least"), F.col("greatest").alias("m_greatest"),
+        F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("greatest")))).alias("class"),
+    )
+    met = minor.join(live.withColumn("class", size_class(n)), ["key", "class"])
+    met = met.where((F.col("root") != F.col("m_root")) & ((F.col("root") == F.col("major")) | (F.col("m") < F.col("node"))))
+    met = met.where("size between m_least and m_greatest and m_size between least and greatest")
+    return met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, sets: DataFrame, words: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """Links ``a``, ``b`` that connect the nodes of ``sets``, a written table of ``docs``, exactly as all similar pairs do.
 
     A pair is similar when its shingle sets have an intersection of at least ``similar`` times their union. Nodes of
-    close fingerprints are compared, and every two nodes that share a band, unless links found before connect them:
-    first each node with one centre of its bucket, then, in buckets that hold more than one component by now, the members outside the most frequent
-    component with all members of other components. So a large group of copies of one text costs rows in proportion
-    to its size.
+    close fingerprints are compared, and every two nodes that share a band, unless links found before connect them or
+    their sizes and unshared shingles exclude it: first each node with the centre of its band, the member whose bands
+    hold most others; then, in bands of more than one component by now, the ``open_pairs``. So a large group of copies
+    of one text costs rows in proportion to its size. Shingles are written only for nodes that share a band.
     """
     owners = materialise(sets.select("node", "size", F.explode("bands").alias("key")).distinct())
-    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.col("size").alias("c_size")))
-    shared = owners.groupBy("key").agg(F.count(F.lit(1)).alias("n"), centre.alias("c")).where("n > 1").select("key", "c.centre", "c.c_size")
-    shared = materialise(owners.join(shared, "key"))
+    counts = owners.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialise(owners.join(counts, "key"))
+    reach = shared.groupBy("node").agg(F.sum("n").alias("reach"))
+    centre = shared.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node", "size")).alias("c"))
+    centre = centre.select("key", F.col("c.node").alias("centre"), F.col("c.size").alias("c_size"))
     close = materialise(close_fingerprints(sets))
     need = shared.select("node").union(close.select("a")).union(close.select("b")).distinct()
-    own = materialise(sets.select("node", "shingles").join(need, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s")))
-
-    def fits(x: str, y: str):
-        return F.least(x, y) / F.greatest(x, y) >= similar  # else no intersection is large enough
+    hashes = materialise(sets.select("node", "hash").join(need, "node").groupBy("node").agg(F.min("hash").alias("hash")).select("hash"))
+    own = materialise(shingles_of(docs, hashes, words))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("s", "t"))
@@ -120,8 +169,10 @@ def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
             .select("a", "b")
         )
 
+    fits = F.least("size", "c_size") / F.greatest("size", "c_size") >= similar  # else no intersection is large enough
     first = materialise(
-        shared.where((F.col("node") != F.col("centre")) & fits("size", "c_size"))
+        shared.join(centre, "key")
+        .where((F.col("node") != F.col("centre")) & fits)
         .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         .unionByName(close)
         .distinct()
@@ -129,26 +180,9 @@ def similar_links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     found = verified(first)
     known = components(found).withColumnRenamed("root", "known")
     named = materialise(
-        shared.select("key", "node", "size")
-        .join(known, "node", "left")
-        .select("key", "node", "size", F.coalesce("known", "node").alias("root"))
-    )
-    most = (
-        named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"))
-        .where("roots > 1").select("key", F.col("top.root").alias("major"))
-    )
-    open_ = materialise(named.join(most, "key"))
-    minor = open_.where("root <> major").select("key", F.col("node").alias("m"), F.col("size").alias("m_size"), F.col("root").alias("m_root"))
-    rest = (
-        minor.join(open_, "key")
-        .where((F.col("root") != F.col("m_root")) & ((F.col("root") == F.col("major")) | (F.col("m") < F.col("node"))))
-        .where(fits("size", "m_size"))
-        .select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
+        shared.select("key", "node", "size").join(known, "node", "left").select("key", "node", "size", F.coalesce("known", "node").alias("root"))
     )
-    return found.unionByName(verified(materialise(rest)))
+    return found.unionByName(verified(open_pairs(named, own, similar).join(first, ["a", "b"], "left_anti")))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similar: float = SIMILAR) -> DataFrame:
@@ -162,7 +196,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similar: float = SIMILAR)
     """
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
         sets = materialise(shingle_sets(docs, words))
-    roots = components(similar_links(sets, similar)).withColumnRenamed("root", "found")
+        roots = components(similar_links(docs, sets, words, similar)).withColumnRenamed("root", "found")
     rows = materialise(sets.select("id", "hash", "node").join(roots, "node", "left").select("id", "hash", F.coalesce("found", "node").alias("root")))
     # of each component the smallest id stays (a null one if there is no other), and of its rows that of the smallest hash
     best = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "hash"))).alias("best")

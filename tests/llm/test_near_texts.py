@@ -74,6 +74,18 @@ def test_groups_whose_centre_is_not_near_all(spark):
     assert near(spark, []).collect() == []
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_many_variants_of_one_text_make_few_pairs(spark, with_base, monkeypatch):
+    rng = random.Random(12)
+    base = " ".join(f"w{i}" for i in range(150))
+    rows = [(i, edited(rng, base, 1 + i % 6), "en", "a") for i in range(150)] + [(900, base, "en", "a")] * with_base
+    rows += [(200 + i, " ".join(base.split()[: 150 - i]), "en", "a") for i in range(1, 60, 7)]
+    made, plain = [], near_texts.open_pairs
+    monkeypatch.setattr(near_texts, "open_pairs", lambda *a: made.append(plain(*a)) or made[-1])
+    assert {r.doc_id for r in near(spark, rows).collect()} == plain_kept(rows)[0]
+    assert made[0].count() < len(rows) ** 2 / (100 if with_base else 8)
+
+
 def test_size_limit_is_inclusive(spark):
     one = [f"a{i}" for i in range(94)]  # 90 shingles; 9 of 10 stay of one word at the end
     rows = [(1, " ".join(one[:22]), "en", "a"), (2, " ".join(one[:22][:-2]), "en", "a"), (3, " ".join(one[:22][:-6]), "en", "a")]
