@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,48 @@ def test_license_places(spark):
     assert licenses.scan_licenses(docs(spark, [])).collect() == []
 
 
+def plain_notices(text):
+    """Labels and score of a text, by trying every template at every word."""
+    words, labels, score = WORD.findall(lower(text)), set(), 0.0
+    for t in [*licenses.BASE, *licenses.TEMPLATES]:
+        n = len(t.words)
+        for i in range(len(words) - n + 1):
+            own = words[i : i + n]
+            share = sum(a == b for a, b in zip(own, t.words, strict=True)) / n
+            places = [next(j for j in range(n) if t.words[j : j + len(k.split())] == k.split()) for k in t.keys]
+            if share >= t.share - 1e-9 and all(own[j : j + len(k.split())] == k.split() for j, k in zip(places, t.keys, strict=True)):
+                labels.add(t.label)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_notices_at_every_place(spark):
+    rng = random.Random(3)
+    every = [*licenses.BASE, *licenses.TEMPLATES]
+    vocabulary = sorted({w for t in every for w in t.words})
+    texts = []
+    for t in every:
+        for edits in (0, 1, len(t.words) - t.least, len(t.words) - t.least + 1):
+            w = t.words
+            for i in rng.sample(range(len(w)), edits):
+                w[i] = rng.choice([rng.choice(vocabulary), "x"])
+            texts.append(" ".join(rng.choices(vocabulary, k=rng.randint(0, 9)) + w + rng.choices(["x", *vocabulary], k=rng.randint(0, 9))))
+    texts += [" ".join(rng.choices(vocabulary, k=400)) for _ in range(10)]
+    texts += ["license " * 300, "the mit license version 3 " * 60, licenses.TEMPLATES[14].text + ", " + licenses.TEMPLATES[17].text.upper()]
+    found = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    for i, text in enumerate(texts):
+        labels, score = plain_notices(text)
+        assert (found[i].labels, found[i].score) == (labels, pytest.approx(score)), text
+
+
+def test_a_very_long_text_of_license_words_takes_seconds(spark):
+    text = " ".join(licenses.TEMPLATES[i % len(licenses.TEMPLATES)].text for i in range(3000)) + " gnu general public license" * 10_000
+    began = time.monotonic()
+    found = licenses.scan_licenses(docs(spark, [(1, text, "en", "a")])).first()
+    assert found.n_words > 100_000 and found.score == 1.0 and "gpl-3" in found.labels
+    assert time.monotonic() - began < 90
+
+
 RULES = [("block", "evil.org", "/"), ("allow", "good.evil.org", "/a"), ("block", "good.evil.org", "/a/b"), ("allow", "org", "/x"), *[
     (("block", "allow")[i % 2], f"h{i % 7}.com", f"/{'d' * (i % 4)}") for i in range(20)]]
 
