@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, materialise
+from .common import buckets
 
 FAN_IN = 32
+#: Queries and rows of one tile: one matrix product.
+TILE = (1024, 8192)
 
 
 def usable(vector: Column) -> Column:
@@ -19,43 +21,69 @@ def usable(vector: Column) -> Column:
 
 
 def _matrix(rows: pa.Table, scale: float) -> np.ndarray:
+    """The vectors scaled and floored; what passes a double stands at the largest one, as its scores pass a long anyhow."""
     flat = rows["vector"].combine_chunks()
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) and flat.num_chunks else flat
-    values = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), np.float64)
-    return np.floor(values.reshape(len(rows), -1) * scale)
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(values * scale))
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of whole-numbered rows, exact: in doubles while they fit, else in Python integers."""
-    most = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * max(1, a.shape[1])
-    if most < 2.0**53:
-        return (a @ b.T).astype(np.int64)
-    exact = np.array([[int(x) for x in row] for row in a], object).dot(np.array([[int(x) for x in row] for row in b], object).T)
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+def _tile_best(a: np.ndarray, b: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and scores of the best ``k`` rows ``b`` for each query ``a``; the rows stand by id, a query's own are left out.
 
+    Products are exact: in doubles while they fit, else in Python's integers, cut off at the bounds of a long.
+    """
+    n = min(k, len(b))
+    most = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * max(1, a.shape[1])
+    first, after = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+    if (most + 2) * len(b) < 2.0**53:
+        # score and place in one number: all differ, the greater score first and then the smaller place
+        keys = (a @ b.T) * len(b) + np.arange(len(b) - 1, -1, -1)
+        for i in np.flatnonzero(first < after).tolist():
+            keys[i, first[i] : after[i]] = -np.inf
+        best = -np.sort(-np.partition(keys, len(b) - n, axis=1)[:, len(b) - n :], axis=1)
+        found = []
+        for row in best:
+            row = row[np.isfinite(row)].astype(np.int64)
+            found.append((len(b) - 1 - row % len(b), row // len(b)))
+        return found
+    whole = [np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (a, b)]
+    scores, found = whole[0].dot(whole[1].T), []
+    for i, row in enumerate(scores if a.shape[1] else np.zeros((len(a), len(b)), object)):
+        others = [j for j in range(len(b)) if not first[i] <= j < after[i]]
+        at = sorted(others, key=lambda j: (-max(-(2**63), min(2**63 - 1, row[j])), j))[:k]
+        found.append((np.array(at, np.int64), np.array([max(-(2**63), min(2**63 - 1, row[j])) for j in at], np.int64)))
+    return found
+
+
+def _block(k: int, scale: float, tile: tuple[int, int]):
+    """The best ``k`` rows of a shard for each query of a block, tile by tile."""
 
-def _tile(k: int, scale: float):
     def each(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        kept: list[tuple] = []
+        query, vec, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(queries) and len(rows):
             rows = rows.sort_by("vec_id")
-            score = _products(_matrix(queries, scale), _matrix(rows, scale))
-            ids, own = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-            shard = rows["shard"][0].as_py()
-            for i, q in enumerate(own):
-                s = score[i]
-                # the k best and all that tie with the last of them, and one more as the query itself drops out
-                n = min(k + 1, len(s))
-                least = np.partition(s, len(s) - n)[len(s) - n]
-                sure = np.flatnonzero(s > least)
-                ties = np.flatnonzero(s == least)[: n - len(sure)]  # rows stand by id: the smaller ids first
-                at = np.concatenate([sure, ties])
-                at = at[ids[at] != q]
-                at = at[np.lexsort((ids[at], -s[at]))][:k]
-                kept += [(q, ids[j], s[j], shard) for j in at]
-        names = ("query_id", "vec_id", "score", "shard")
-        columns = list(zip(*kept, strict=True)) if kept else [[], [], [], []]
-        return pa.table({n: pa.array(np.array(c, np.int64)) for n, c in zip(names, columns, strict=True)})
+            ids, shard = rows["vec_id"].to_numpy(), rows["shard"][0].as_py()
+            for q in range(0, len(queries), tile[0]):
+                some = queries.slice(q, tile[0])
+                own, a = some["vec_id"].to_numpy(), _matrix(some, scale)
+                lists = [([], []) for _ in own]
+                for r in range(0, len(rows), tile[1]):
+                    found = _tile_best(a, _matrix(rows.slice(r, tile[1]), scale), own, ids[r : r + tile[1]], k)
+                    for (at, s), mine in zip(found, lists, strict=True):
+                        mine[0].append(ids[r + at])
+                        mine[1].append(s)
+                for i, (at, s) in enumerate(lists):
+                    at, s = np.concatenate(at), np.concatenate(s)
+                    best = np.lexsort((at, ~s))[:k]  # ~s falls as s grows, and no long overflows
+                    query.append(np.full(len(best), own[i]))
+                    vec.append(at[best])
+                    score.append(s[best])
+        n = sum(map(len, query))
+        columns = {"query_id": query, "vec_id": vec, "score": score}
+        table = {c: pa.array(np.concatenate(v), pa.int64()) for c, v in columns.items()}
+        return pa.table(table | {"shard": pa.array(np.full(n, shard if n else 0), pa.int64())})
 
     return each
 
@@ -67,42 +95,44 @@ def top_k(
     scale: float = 64.0,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    query_block: int = 2048,
-    shard_rows: int = 16_384,
+    query_block: int = 32_768,
+    shard_rows: int = 32_768,
+    tile: tuple[int, int] = TILE,
 ) -> DataFrame:
     """For each row of ``queries`` its ``k`` best rows: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
     Components are scaled and floored to whole numbers; the score is their inner product, ties go to the smaller id,
-    and a query never finds its own id. Queries are dealt by hash into blocks and rows into shards; each pair of a
-    block and a shard is a tile, one matrix product in one task of bounded size. A tile keeps the best k of each of
-    its queries, and these lists meet ``FAN_IN`` shards at a time, level by level, so that no task ever holds all
-    lists of a query however many shards there are. The result is exact for any block and shard size.
+    and a query never finds its own id. Queries are dealt by hash into blocks and rows into shards, as they are
+    stored; each pair of a block and a shard goes to one task, which multiplies it ``tile`` by tile and selects
+    from each tile. The lists of the best k of each query meet ``FAN_IN`` shards at a time, level by level, so that no
+    task ever holds all lists of a query however many shards there are. The result is exact for any block and shard
+    size.
 
     Vectors that are null or hold null or non-finite components take no part, nor do null ids; vectors of different
-    lengths are never compared. Of rows that repeat an id the smallest vector stands. Products beyond a long are cut
-    off at its bounds. Empty tables give an empty result; extra columns are ignored.
+    lengths are never compared. Rows that repeat an id are rows of their own: each is a candidate, and the lists of
+    queries of one id are one list. Scores beyond a long are cut off at its bounds. Empty tables give an empty result;
+    extra columns are ignored.
     """
     def clean(df: DataFrame) -> DataFrame:
-        slim = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-        slim = slim.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-        return slim.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+        slim = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
+        return slim.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
 
-    rows, queries = materialise(clean(rows)), materialise(clean(queries))
+    rows, queries = clean(rows), clean(queries)
     blocks, shards = buckets(queries.count(), query_block), buckets(rows.count(), shard_rows)
-    to_block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks).cast("long"))
-    to_shard = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards).cast("long"))
+    to_block = F.pmod(F.xxhash64("vec_id", "vector", F.lit("block")), F.lit(blocks).cast("long"))
+    to_shard = F.pmod(F.xxhash64("vec_id", "vector", F.lit("shard")), F.lit(shards).cast("long"))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
     # a stated query set against all rows, in blocks
-    tiled_queries = queries.select(
-        "vec_id", "vector", "dim", to_block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    )
-    tiled_rows = rows.select(
-        "vec_id", "vector", "dim", to_shard.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
-    )
-    tile = ["dim", "block", "shard"]
+    tiled_queries = queries.select("vec_id", "vector", "dim", to_block.alias("block"), every(shards).alias("shard"))
+    tiled_rows = rows.select("vec_id", "vector", "dim", to_shard.alias("shard"), every(blocks).alias("block"))
+    pair = ["dim", "block", "shard"]
     lists = (
-        tiled_queries.groupBy(*tile)
-        .cogroup(tiled_rows.groupBy(*tile))
-        .applyInArrow(_tile(k, scale), "query_id long, vec_id long, score long, shard long")
+        tiled_queries.groupBy(*pair)
+        .cogroup(tiled_rows.groupBy(*pair))
+        .applyInArrow(_block(k, scale, tile), "query_id long, vec_id long, score long, shard long")
     )
     best = [F.col("score").desc(), F.col("vec_id")]
     while shards > FAN_IN:

@@ -165,25 +165,31 @@ def test_token_counts_of_awkward_rows(spark):
     assert token_counts.recount(token_counts.find_redactions(token_counts.count_tokens(docs(spark, []), byte_vocabulary())), byte_vocabulary()).collect() == []
 
 
-def plain_top(vectors, k):
-    ok = {i: v for i, v in vectors.items() if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    q = {i: [math.floor(64 * x) for x in v] for i, v in ok.items()}
+def plain_top(rows, k):
+    """rows: (id, vector), where ids may repeat."""
+    q = [(i, [math.floor(64 * int(x)) if abs(x) > 1e300 else math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i in (i for i in q if i % 3 == 0):
-        scores = [(-sum(a * b for a, b in zip(q[i], q[j], strict=True)), j) for j in q if j != i and len(q[j]) == len(q[i])]
-        out += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(sorted(scores)[:k])]
+    for own in sorted({i for i, _ in q if i % 3 == 0}):
+        scores = []
+        for i, v in q:
+            if i == own:
+                products = [(j, sum(a * b for a, b in zip(v, w, strict=True))) for j, w in q if j != own and len(w) == len(v)]
+                scores += [(-max(-(2**63), min(2**63 - 1, s)), j) for j, s in products]
+        out += [(own, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,shard", [(2048, 16_384), (5, 3), (1, 1)])
-def test_top_k(spark, block, shard):
+@pytest.mark.parametrize("block,shard,tile", [(32_768, 32_768, (1024, 8192)), (5, 3, (1024, 8192)), (1, 1, (1, 1)), (40, 50, (3, 7))])
+def test_top_k(spark, block, shard, tile):
     rng = np.random.default_rng(6)
     vectors = {i: np.round(rng.normal(size=4), 1).tolist() for i in range(60)}
     vectors |= {i: vectors[2] for i in range(60, 72)}  # ties
-    vectors |= {80: None, 81: [1.0, None, 2.0, 3.0], 82: [float("nan")] * 4, 83: [float("inf"), 0.0, 0.0, 0.0], 84: [1.0, 2.0], 87: [2.0, 1.0], 90: [], 93: [1e6] * 4, 96: [1e9] * 4}
-    frame = spark.createDataFrame([(i, v, 1, "s") for i, v in vectors.items()], "vec_id long, embedding array<double>, shard int, score string")
-    found = topk.top_k(frame.where("vec_id % 3 = 0"), frame, k=7, query_block=block, shard_rows=shard)
-    assert sorted(tuple(r) for r in found.collect()) == plain_top(vectors, 7)
-    doubled = topk.top_k(frame.where("vec_id % 3 = 0").union(frame.where("vec_id = 3")), frame.union(frame), k=7, query_block=block)
-    assert sorted(tuple(r) for r in doubled.collect()) == plain_top(vectors, 7)
+    vectors |= {80: None, 81: [1.0, None, 2.0, 3.0], 82: [float("nan")] * 4, 83: [float("inf"), 0.0, 0.0, 0.0], 84: [1.0, 2.0], 87: [2.0, 1.0], 90: [], 93: [1e6] * 4, 96: [1e9] * 4, 99: [1e308, -1e308, 0.0, 1.0]}
+    rows = [*vectors.items(), (None, [1.0] * 4), (3, vectors[3]), (3, vectors[5]), (4, vectors[4]), (7, vectors[2])]
+    frame = spark.createDataFrame([(i, v, 1, "s") for i, v in rows], "vec_id long, embedding array<double>, shard int, score string")
+    found = topk.top_k(frame.where("vec_id % 3 = 0"), frame, k=7, query_block=block, shard_rows=shard, tile=tile)
+    assert sorted(tuple(r) for r in found.collect()) == plain_top(rows, 7)
     assert topk.top_k(frame.limit(0), frame.limit(0)).collect() == []
+    narrow = frame.where("vec_id < 60").withColumn("embedding", frame["embedding"].cast("array<float>"))
+    found = topk.top_k(narrow.where("vec_id % 3 = 0"), narrow, k=7, query_block=block, shard_rows=shard, tile=tile)
+    assert sorted(tuple(r) for r in found.collect()) == plain_top([(r.vec_id, r.embedding) for r in narrow.collect()], 7)
