@@ -97,6 +97,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def drawn(key: Column, share: Column | float) -> Column:
+    """True for about ``share`` of the rows, drawn by a hash of ``key``; any share above 1e-18 can be met."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit("sample")), 1) / float(1 << 63) < share
+
+
 def buckets(rows: int, per_bucket: int) -> int:
     """How many buckets of about ``per_bucket`` rows hold ``rows`` rows."""
     return max(1, -(-rows // per_bucket))

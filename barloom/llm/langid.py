@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, held_out, materialise
+from .common import buckets, drawn, held_out, materialise
 
 #: Families of languages; a language in none is a family of its own.
 FAMILIES: Mapping[str, str] = {
@@ -27,9 +27,15 @@ LETTER = regex.compile(r"\p{L}")
 
 def grams(data: bytes, dimensions: int = DIMENSIONS) -> np.ndarray:
     """Bucket of every run of 2 and of 3 bytes of a text, lower-cased in A-Z, a blank put before and after."""
-    b = np.frombuffer(b" " + data.lower() + b" ", np.uint8).astype(np.uint32)
+    return _runs(b" " + data.lower() + b" ", dimensions)
+
+
+def _runs(data: bytes, dimensions: int = DIMENSIONS, starts: int | None = None) -> np.ndarray:
+    """Bucket of every run of 2 and of 3 of the bytes that starts at one of the first ``starts``."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint32)
     two = b[:-1] * np.uint32(257) + b[1:]
     three = two[:-1] * np.uint32(263) + b[2:]
+    two, three = two[:starts], three[:starts]
     mixed = np.concatenate([two * np.uint32(2654435761), (three + np.uint32(1 << 20)) * np.uint32(2246822519)])
     return (mixed >> np.uint32(32 - dimensions.bit_length() + 1)).astype(np.int64)
 
@@ -128,9 +134,9 @@ class Hierarchy:
         return best, float(1.0 / (1.0 + np.exp(-2.0 * np.clip(won[best][2], -20.0, 20.0))))
 
     def predict(self, data: bytes, block: int = 1 << 20) -> tuple[str, float]:
-        total, n = np.zeros(len(self.machines)), 0
-        for at in range(0, max(1, len(data)), block):  # a very long text goes block by block
-            bucket = grams(data[at : at + block])
+        total, n, data = np.zeros(len(self.machines)), 0, b" " + data.lower() + b" "
+        for at in range(0, len(data) - 1, block):  # a very long text goes block by block, with two bytes of the next one
+            bucket = _runs(data[at : at + block + 2], starts=block)
             total += self.weights[:, bucket].sum(axis=1)
             n += len(bucket)
         margin = total / n + np.array([m[2] for m in self.machines])
@@ -161,9 +167,9 @@ def train(
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # one row per language
     if not n:
         return None
-    # a share of 1e6 hash values, per language, keeps the sample bounded without sorting or gathering a language
-    share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1_000_000, 1 + per_language * 1_000_000 // k))])
-    sample = known.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < share[F.col("label")])
+    # a share of hash values, per language, keeps the sample bounded without sorting or gathering a language
+    share = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, per_language / k)])
+    sample = known.where(drawn(F.col("id"), share[F.col("label")]))
     rows = features(sample.select("label", F.xxhash64("id", "text").alias("draw"), "text"))
     by_family: dict[str, list[str]] = {}
     for lang in sorted(n):

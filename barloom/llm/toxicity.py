@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise
+from .common import drawn, held_out, materialise
 
 #: Groups of identity terms; a term is swapped for the next one of its group.
 IDENTITY: tuple[tuple[str, ...], ...] = (
@@ -174,8 +174,7 @@ def train(
     n = known.count()
     if not n:
         return None
-    share = min(1_000_000, 1 + sample_rows * 1_000_000 // n)
-    known = materialise(known.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) < share))
+    known = materialise(known.where(drawn(F.col("id"), sample_rows / n)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # the sample is bounded by a parameter, so it may be sent to where the documents are
     labelled = texts.join(F.broadcast(known), "id").select("toxic", "text")

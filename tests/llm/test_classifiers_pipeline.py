@@ -4,11 +4,13 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from barloom.llm import langid, packing, toxicity
+from barloom.llm import common, langid, packing, toxicity
 
 from .helpers import AWKWARD, docs
 
@@ -46,6 +48,22 @@ def test_language_of_held_out_documents(spark):
     assert langid.identify(docs(spark, [])).collect() == []
 
 
+def test_blocks_of_a_long_text_change_nothing(spark):
+    rng = np.random.default_rng(1)
+    model = langid.Hierarchy({"x": ["x1", "x2"], "y": ["y"]}, [("x", "y", 0.1), ("x1", "x2", -0.2)], rng.normal(size=(2, langid.DIMENSIONS)))
+    for text in (b"", b"A", b"ab", "Äpfel und Birnen".encode() * 9):
+        whole = model.predict(text)
+        for block in (1, 2, 3, 7, 50):
+            lang, score = model.predict(text, block)
+            assert lang == whole[0] and score == pytest.approx(whole[1])
+
+
+def test_samples_follow_their_share(spark):
+    n = spark.range(20_000).where(common.drawn(F.col("id"), 0.25)).count()
+    assert 4700 < n < 5300 and spark.range(2000).where(common.drawn(F.col("id"), 1e-12)).isEmpty()
+    assert spark.range(2000).where(common.drawn(F.col("id"), 1.0)).count() == 2000
+
+
 def test_language_ignores_held_out_labels(spark):
     rows = corpus(120)
     swapped = [(i, t, "xx" if held_out(i) else lang, s) for i, t, lang, s in rows]
