@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many narrow rows may be sent to all executors; larger ones are shuffled.
 FEW_ROWS = 250_000
+#: Folders of the tables that this process has written.
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,10 +45,26 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/barloom-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The folders of the tables that ``materialise`` writes inside."""
+    before, own = len(_WRITTEN), []
+    yield own
+    own += _WRITTEN[before:]
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables, and empty the list. Results that rest on them must have been written before."""
+    while paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def few(table: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
     """A written table of narrow rows, to be joined by broadcast if it is counted to have ``rows`` rows at most."""
     return F.broadcast(table) if table.count() <= rows else table

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, buckets, materialise
+from .common import SPACE_WORD, buckets, few, materialise
 
 PER_GROUP = 4096
 
@@ -179,6 +179,6 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     own = {c: f"_{docs.columns.index(c)}" for c in ("doc_id", "text", "source")}
     rows = materialise(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
     mix = mix_sources(rows, own["doc_id"], own["text"], own["source"], row_col="row", **options)
-    copies = mix.where("copies > 0").select("row", "copies")
+    copies = materialise(mix.where("copies > 0").select("row", "copies"))
     again = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    return rows.join(copies, "row").select(*names, again).select(names).toDF(*docs.columns)
+    return rows.join(few(copies), "row").select(*names, again).select(names).toDF(*docs.columns)

@@ -21,6 +21,8 @@ from .simhash import components, majority, near_pairs, shingle_hashes
 SIMILAR = 0.8
 #: Two sets of similarity s share no band with probability (1 - s^5)^25: 5 in 100,000 at 0.8, 4 in 10 million at 0.85.
 BANDS, ROWS = 25, 5
+#: Parts of the shingles whose numbers are compared before sets are.
+PARTS = 16
 BATCH_BYTES = 6_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(42))
@@ -108,10 +110,13 @@ def close_fingerprints(sets: DataFrame, distance: int = 3) -> DataFrame:
 def open_pairs(named: DataFrame, own: DataFrame, similar: float) -> DataFrame:
     """Pairs ``a``, ``b`` of nodes of different components (``root``) that share a band (``key``) and may be similar.
 
-    Members outside the most frequent component of a band meet all members of other components. A shingle that no
-    other node of such bands has cannot be shared: with c shingles that may be, a node of size n is similar only to
-    sizes from similar * n to c * (1 + similar) / similar - n. Nodes meet by band and class of size, so that variants
-    of one text that each differ from it too much, however many they are, never become pairs.
+    Members outside the most frequent component of a band meet all members of other components, where counts do not
+    exclude that they are similar. A shingle that no other node of such bands has cannot be shared: with c shingles
+    that may be, a node of size n is similar only to sizes from similar * n to c * (1 + similar) / similar - n, so
+    nodes meet by band and class of size. And two sets differ in their unshared shingles and in the difference of
+    their numbers of others in each of ``PARTS`` parts, dealt by hash; similar ones differ in at most
+    (1 - similar) / (1 + similar) of both sizes. So the many variants of one text that each differ from it too much
+    hardly become pairs.
     """
     most = (
         named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -121,7 +126,11 @@ def open_pairs(named: DataFrame, own: DataFrame, similar: float) -> DataFrame:
     several = materialise(named.join(most, "key"))
     x = own.join(several.select("node").distinct(), "node").select("node", F.explode("s").alias("x"))
     twice = x.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("x")
-    shared = x.join(twice, "x").groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+    part = F.pmod(F.xxhash64("x"), F.lit(PARTS))
+    parts = [f"n{i}" for i in range(PARTS)]
+    shared = x.join(twice, "x").groupBy("node").agg(
+        F.count(F.lit(1)).alias("c"), *[F.count_if(part == i).alias(p) for i, p in enumerate(parts)]
+    )
     t, n, c = F.lit(similar), F.col("size"), F.col("c")
     least, greatest = F.ceil(t * n - 1e-6), F.floor(F.least(n / t, c * (1 + t) / t - n) + 1e-6)
     live = materialise(several.join(shared, "node").withColumns({"least": least, "greatest": greatest}).where("least <= greatest"))
@@ -131,12 +140,14 @@ def open_pairs(named: DataFrame, own: DataFrame, similar: float) -> DataFrame:
 
     minor = live.where("root <> major").select(
         "key", F.col("node").alias("m"), F.col("size").alias("m_size"), F.col("root").alias("m_root"),
-        F.col("least").alias("m_least"), F.col("greatest").alias("m_greatest"),
+        F.col("least").alias("m_least"), F.col("greatest").alias("m_greatest"), F.col("c").alias("m_c"), *[F.col(p).alias(f"m_{p}") for p in parts],
         F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("greatest")))).alias("class"),
     )
     met = minor.join(live.withColumn("class", size_class(n)), ["key", "class"])
     met = met.where((F.col("root") != F.col("m_root")) & ((F.col("root") == F.col("major")) | (F.col("m") < F.col("node"))))
     met = met.where("size between m_least and m_greatest and m_size between least and greatest")
+    differ = n + F.col("m_size") - c - F.col("m_c") + sum(F.abs(F.col(p) - F.col(f"m_{p}")) for p in parts)
+    met = met.where(differ <= (n + F.col("m_size")) * (1 - t) / (1 + t) + 1e-6)
     return met.select(F.least("node", "m").alias("a"), F.greatest("node", "m").alias("b")).distinct()
 
 
