@@ -58,11 +58,14 @@ def written() -> Iterator[list[str]]:
     own += _WRITTEN[before:]
 
 
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete written tables, and empty the list. Results that rest on them must have been written before."""
+def release(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
+    """Empty the list of written tables, and delete them if ``docs`` reads none: then the result they were for is written."""
+    names = {path.rsplit("/", 1)[1] for path in paths}
+    used = any(names.intersection(file.split("/")) for file in docs.inputFiles()) if paths else False
     while paths:
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        if not used:
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def few(table: DataFrame, rows: int = FEW_ROWS) -> DataFrame:
