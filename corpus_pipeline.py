@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each one of the corpus operators with its decisions applied to the documents.
 
-Each stage's result is to be written before the next stage is called, which deletes the intermediate tables of the one
-before it. Null texts count as empty, null ids are ids like others, and rows are decided on one by one, also where ids
+Each stage's result is meant to be written before the next stage is called, which then deletes the intermediate tables of
+the one before it; where a result is handed on unwritten, nothing is deleted. Null texts count as empty, null ids are ids like others, and rows are decided on one by one, also where ids
 repeat. Every stage of an empty table is an empty table, and takes texts of any length whole.
 """
 
@@ -22,14 +22,14 @@ _BEFORE: list[str] = []
 
 
 def _stage(first: bool = False) -> Callable[[Stage], Stage]:
-    """Deletes the tables of the stage before, whose result has been written by then; the first stage has none before it."""
+    """Deletes the tables of the stage before, if its result has been written by then; the first stage has none before it."""
 
     def outer(f: Stage) -> Stage:
         @wraps(f)
         def inner(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             if first:
                 _BEFORE.clear()
-            release(spark, _BEFORE)
+            release(spark, _BEFORE, docs)
             with written() as own:
                 found = f(spark, docs, sf_dir)
             _BEFORE.extend(own)
@@ -92,6 +92,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = stage(spark, docs, sf_dir)
         with written() as own:
             docs = materialise(found)
-        release(spark, before)
+        release(spark, before, docs)
         before = own
     return STAGES[-1][1](spark, docs, sf_dir)
