@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -10,11 +11,13 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+_LIBC = ctypes.CDLL(None)
 #: A table of at most so many narrow rows may be sent to all executors; larger ones are shuffled.
 FEW_ROWS = 250_000
 #: Folders of the tables that this process has written.
@@ -103,6 +106,13 @@ def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system; else each worker keeps its highest need, and they add up."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and no other letter.
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, drawn, held_out, materialise
+from .common import buckets, drawn, give_back, held_out, materialise
 
 #: Families of languages; a language in none is a family of its own.
 FAMILIES: Mapping[str, str] = {
@@ -208,7 +208,8 @@ def _predict(model: Hierarchy | None):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for cell in batch.column(batch.num_columns - 1):
+                text = cell.as_py()
                 if model is None or not text or not LETTER.search(text):
                     found = (UNKNOWN, 0.0)
                 else:
@@ -220,6 +221,8 @@ def _predict(model: Hierarchy | None):
                 [*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 [*batch.schema.names[:-1], "lang_pred", "score"],
             )
+            del batch, columns
+            give_back()
 
     return each
 

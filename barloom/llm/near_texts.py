@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, few, materialise, without
+from .common import arrow_batches, few, give_back, materialise, without
 from .simhash import components, majority, near_pairs, shingle_hashes
 
 SIMILAR = 0.8
@@ -23,7 +23,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 25, 5
 #: Parts of the shingles whose numbers are compared before sets are.
 PARTS = 16
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 3_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(42))
 _FLIP, _TIMES, _AGAIN = _RNG.integers(0, 2**64, (3, BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
@@ -71,7 +71,7 @@ def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
                 ],
                 ["id", "hash", "node", "fp", "size", "bands"],
             )
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     slim = docs.select(
         F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text")
@@ -89,7 +89,7 @@ def shingles_of(docs: DataFrame, hashes: DataFrame, words: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             flat = np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "s"])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     wanted = docs.select(F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
     wanted = wanted.join(few(hashes), "hash", "left_semi").select("text")

@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, buckets, materialise
+from .common import arrow_batches, buckets, give_back, materialise
 
 PER_GROUP = 16_384
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 3_000_000
 CACHE = 300_000
 #: Chunks of Latin letters and a run of ASCII punctuation after them, either of which may be missing: the tokenizer splits them there.
 SIMPLE = r"^([a-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)$"
@@ -173,7 +173,7 @@ def pieces(
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
                 del ids, bounds
-                pa.default_memory_pool().release_unused()  # else each worker keeps its highest need to itself
+                give_back()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return slim.mapInArrow(each, f"id {id_type}, piece int, start long, length long, ids_crc32 long")
