@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,10 +92,12 @@ def information_coefficient(
     ranked = pairs.select(
         *by, average_rank(F.col(score), by).alias("a"), average_rank(F.col(outcome), by).alias("b")
     )
-    r = F.corr("a", "b")
-    return ranked.groupBy(*by).agg(
-        F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0), r).alias("ic")
-    )
+    return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= 3, _correlation("a", "b")).alias("ic"))
+
+
+def _correlation(a: str, b: str) -> Column:
+    """The correlation of two columns, null where one is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def ic_summary(ics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -106,37 +111,83 @@ def ic_summary(ics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def permuted_ics(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """draw, ic_mean: the mean daily coefficient when scores are dealt anew within each date, ``n`` times.
+def permuted_ics(df: DataFrame, n: int = 1000, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """draw, ic_mean, per group of ``by``: the mean daily coefficient when scores are dealt anew within each date, ``n`` times.
 
-    A draw re-pairs the rows of a date by their order under a hash of the draw, date and ticker, so that any cluster
-    makes the same permutations.
+    A draw re-pairs the rows of a date by their order under the MD5 of seed, draw, date and ticker, so that any
+    cluster, and any other engine, makes the same permutations.
     """
+    keys = [*by, "date"]
     base = df.where("predicted_proba IS NOT NULL AND actual_return IS NOT NULL").select(
-        "date", "ticker",
-        average_rank(F.col("predicted_proba"), ["date"]).alias("a"),
-        average_rank(F.col("actual_return"), ["date"]).alias("b"),
+        *keys, "ticker",
+        average_rank(F.col("predicted_proba"), keys).alias("a"),
+        average_rank(F.col("actual_return"), keys).alias("b"),
     )
-    own = base.withColumn("_i", F.row_number().over(Window.partitionBy("date").orderBy("ticker")))
-    drawn = own.select("date", "ticker", "a", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
-    shuffled = Window.partitionBy("draw", "date").orderBy(F.xxhash64(F.lit(seed), "draw", "date", "ticker"), "ticker")
+    own = base.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("ticker")))
+    drawn = own.select(*keys, "ticker", "a", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "draw", "date", "ticker"))
+    shuffled = Window.partitionBy(*keys, "draw").orderBy(order, "ticker")
     drawn = drawn.withColumn("_i", F.row_number().over(shuffled))
-    pairs = drawn.select("draw", "date", "_i", "a").join(own.select("date", "_i", "b"), ["date", "_i"])
-    daily = pairs.groupBy("draw", "date").agg(
-        F.when((F.count(F.lit(1)) >= 3) & (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0), F.corr("a", "b")).alias("ic")
-    )
-    return daily.groupBy("draw").agg(F.avg("ic").alias("ic_mean"))
+    pairs = drawn.select(*keys, "draw", "_i", "a").join(own.select(*keys, "_i", "b"), [*keys, "_i"])
+    daily = pairs.groupBy(*keys, "draw").agg(F.when(F.count(F.lit(1)) >= 3, _correlation("a", "b")).alias("ic"))
+    return daily.groupBy(*by, "draw").agg(F.avg("ic").alias("ic_mean"))
 
 
-def permutation_summary(null: DataFrame, actual: DataFrame, two_sided: bool = False) -> DataFrame:
-    """p_value, null_mean, null_std: how often a permuted mean reaches the actual one (one row: ic_mean)."""
-    both = null.select(F.col("ic_mean").alias("m")).join(F.broadcast(actual.select(F.col("ic_mean").alias("x"))))
+def permutation_summary(null: DataFrame, actual: DataFrame, two_sided: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """p_value, null_mean, null_std: how often a permuted mean reaches the actual one (one row of ic_mean per group)."""
+    keys = list(by)
+    x = actual.select(*keys, F.col("ic_mean").alias("x"))
+    m = null.select(*keys, F.col("ic_mean").alias("m"))
+    both = m.join(x, keys) if keys else m.join(F.broadcast(x))  # without groups it is one row
     reached = F.abs("m") >= F.abs("x") if two_sided else F.col("m") >= F.col("x")
-    return both.agg(
+    return both.groupBy(*keys).agg(
         F.avg(reached.cast("double")).alias("p_value"), F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_std")
     )
 
 
+def permuted_feature_ics(df: DataFrame, features: Sequence[str], outcome: str, n: int = 1000, seed: int = 0) -> DataFrame:
+    """feature, draw, ic_mean: as ``permuted_ics`` for many features, which share the draws.
+
+    A date's rows are one group, as long as its tickers. There the outcome's ranks under all draws are one matrix,
+    and all features are multiplied with it at once; the means over dates are aggregated by Spark.
+    """
+
+    def each(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("ticker")
+        tickers, day = rows["ticker"].to_pylist(), rows["date"][0].as_py()
+        y = rows["_y"].to_numpy()
+        found = {"feature": [], "ics": []}
+        orders: dict[bytes, np.ndarray] = {}
+        for f in features:
+            x = rows[f].to_numpy().astype(float)
+            known = ~(np.isnan(x) | np.isnan(y))
+            if known.sum() < 3:
+                continue
+            if known.tobytes() not in orders:
+                own = [t for t, k in zip(tickers, known, strict=True) if k]
+                orders[known.tobytes()] = np.array(
+                    [np.argsort([md5(f"{seed}|{d}|{day}|{t}".encode()).hexdigest() for t in own], kind="stable") for d in range(1, n + 1)]
+                )
+            a, b = (rankdata(v[known]) for v in (x, y))
+            a, b = a - a.mean(), b - b.mean()
+            size = np.sqrt((a @ a) * (b @ b))
+            if size > 0:
+                found["feature"].append(f)
+                found["ics"].append(a[orders[known.tobytes()]] @ b / size)
+        return pa.table({"feature": pa.array(found["feature"], pa.string()), "ics": pa.array(found["ics"], pa.list_(pa.float64()))})
+
+    slim = df.select("date", "ticker", F.col(outcome).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
+    daily = slim.groupBy("date").applyInArrow(each, "feature string, ics array<double>")
+    return daily.select("feature", F.posexplode("ics").alias("at", "ic")).groupBy("feature", (F.col("at") + 1).alias("draw")).agg(F.avg("ic").alias("ic_mean"))
+
+
+def rankdata(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, ties at their mean."""
+    _, place, count = np.unique(x, return_inverse=True, return_counts=True)
+    last = np.cumsum(count)
+    return (last - (count - 1) / 2.0)[place]
+
+
 def bundle(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """n, positives, log_loss, auc, avg_precision, ic_mean, ic_std and ic_ir per group."""
     basic = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("label").alias("n_positive"), log_loss().alias("log_loss"))
@@ -211,28 +262,39 @@ def compare_versions(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str
     return joined.withColumns({f"{c}_delta": F.col(f"{c}_b") - F.col(f"{c}_a") for c in columns})
 
 
-def univariate_ics(df: DataFrame, features: Sequence[str], outcome: str) -> DataFrame:
-    """The summary of daily coefficients of each feature: features are unpivoted, then one pass serves all of them."""
-    long = df.select(
-        "date", F.col(outcome).alias("outcome"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s"),
-    ).select("date", "outcome", "s.*")
-    return ic_summary(information_coefficient(long, ["feature", "date"], "x", "outcome"), ["feature"])
+def unpivoted(df: DataFrame, keep: Sequence[str], features: Sequence[str], outcomes: dict[int, str]) -> DataFrame:
+    """``keep``, feature, x, horizon, y: a row for each feature and each horizon's outcome of a row, with both known."""
+    x = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]
+    y = [F.struct(F.lit(h).alias("horizon"), F.col(c).alias("y")) for h, c in outcomes.items()]
+    long = df.select(*keep, F.array(*y).alias("ys"), F.explode(F.array(*x)).alias("s")).where("s.x IS NOT NULL")
+    return long.select(*keep, "s.*", F.explode("ys").alias("t")).select(*keep, "feature", "x", "t.*").where("y IS NOT NULL")
+
+
+def univariate_ics(df: DataFrame, features: Sequence[str], outcomes: dict[int, str]) -> DataFrame:
+    """The summary of daily coefficients of each feature and horizon: they are unpivoted, then one pass serves all of them.
+
+    ``outcomes`` names the outcome column of each horizon.
+    """
+    long = unpivoted(df, ["date"], features, outcomes)
+    return ic_summary(information_coefficient(long, ["feature", "horizon", "date"], "x", "y"), ["feature", "horizon"])
 
 
-def extremes(summary: DataFrame, n: int, best: bool) -> DataFrame:
-    """The n features of highest or lowest ratio, unknown ones last."""
-    order = F.col("ic_ir").desc_nulls_last() if best else F.col("ic_ir").asc_nulls_last()
-    return summary.orderBy(order, "feature").limit(n)
+def extremes(summary: DataFrame, n: int, best: bool, by: Sequence[str] = ("horizon",)) -> DataFrame:
+    """The n features of highest or lowest ratio of each group, unknown ones last; ratios equal in 9 digits tie, by name."""
+    ratio = F.round("ic_ir", 9)
+    order = ratio.desc_nulls_last() if best else ratio.asc_nulls_last()
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order, "feature"))
+    return summary.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def module_summary(summary: DataFrame, modules: DataFrame, too_good: float = 3.0) -> DataFrame:
-    """Per module: features, those of suspicious ratio, and the best and worst of them."""
-    return summary.join(modules, "feature").groupBy("module").agg(
+def module_summary(summary: DataFrame, modules: DataFrame, too_good: float = 3.0, by: Sequence[str] = ("horizon",)) -> DataFrame:
+    """Per group and module: features, those of suspicious ratio, and the best and worst of them, ties as in ``extremes``."""
+    place = F.struct(F.round("ic_ir", 9), "feature")
+    return summary.join(modules, "feature").groupBy(*by, "module").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.abs("ic_ir") > too_good).alias("n_too_good"),
-        F.max_by("feature", F.struct("ic_ir", "feature")).alias("best"),
-        F.min_by("feature", F.struct("ic_ir", "feature")).alias("worst"),
+        F.max_by("feature", place).alias("best"),
+        F.min_by("feature", place).alias("worst"),
     )
 
 

@@ -31,42 +31,101 @@ def recompute_since(bars: DataFrame, compute: Callable[[DataFrame], DataFrame],
     return compute(recent).where(F.col("date") > F.lit(after).cast("date"))
 
 
-#: name, module, columns read, rows that its longest window sees, whether special sessions mask it.
+#: Name, module, source, rows that are looked back on (the current one included), whether special sessions mask it.
 METADATA: tuple[tuple[str, str, str, int, bool], ...] = (
-    *((f"ret_{n}d", "price", "adj_close", n, True) for n in (1, 5, 10, 20, 60)),
-    ("log_ret_1d", "price", "adj_close", 1, True),
-    ("gap_overnight", "price", "open,close", 1, True),
-    ("gap_fill_rate", "price", "open,close", 1, True),
-    *((f"dist_sma_{n}_pct", "price", "adj_close", n - 1, False) for n in (20, 50, 200)),
-    *((f"dist_ema_{n}_pct", "price", "adj_close", n - 1, False) for n in (20, 50, 200)),
-    ("pos_in_52w_range_pct", "price", "adj_close", 251, False),
-    *((f"realized_vol_{n}d", "volatility", "adj_close", n, False) for n in (5, 10, 20, 60)),
-    ("parkinson_vol_20d", "volatility", "high,low", 19, False),
-    ("garman_klass_vol_20d", "volatility", "open,high,low,close", 19, False),
-    ("atr_14", "volatility", "high,low,close", 13, False),
-    ("vol_of_vol_20d", "volatility", "adj_close", 39, False),
-    ("vol_regime", "volatility", "adj_close", 271, False),
-    ("macd", "trend", "adj_close", 25, False),
-    ("macd_signal", "trend", "adj_close", 33, False),
-    ("adx_14", "trend", "high,low,close", 13, False),
-    ("supertrend_10_3", "trend", "high,low,close", 10, False),
-    ("trend_persistence_60d", "trend", "adj_close", 78, False),
-    ("pct_days_above_sma200_252d", "trend", "adj_close", 450, False),
-    ("rsi_14", "momentum", "adj_close", 13, False),
-    ("stoch_k_14", "momentum", "high,low,close", 13, False),
-    ("vol_ratio_20d", "volume", "volume", 19, True),
-    ("unusual_vol_z_20d", "volume", "volume", 19, True),
-    ("range_expansion_20d", "microstructure", "high,low,close", 19, True),
-    ("roc_consistency_20d", "persistence", "adj_close", 24, False),
-    ("regime_adjusted_rsi", "persistence", "adj_close", 251, False),
-    ("beta_60d_nifty50", "cross_section", "adj_close", 60, False),
-    ("vix_pct_252d", "regime", "close", 251, False),
+    ("ret_1d", "price", "per_ticker", 2, False),
+    ("ret_5d", "price", "per_ticker", 6, False),
+    ("ret_10d", "price", "per_ticker", 11, False),
+    ("ret_20d", "price", "per_ticker", 21, False),
+    ("ret_60d", "price", "per_ticker", 61, False),
+    ("log_ret_1d", "price", "per_ticker", 2, False),
+    ("gap_overnight", "price", "per_ticker", 2, False),
+    ("gap_fill_rate", "price", "per_ticker", 2, False),
+    ("gap_fill_rate_winsor", "price", "per_ticker", 2, False),
+    ("dist_sma_20_pct", "price", "per_ticker", 20, False),
+    ("dist_sma_50_pct", "price", "per_ticker", 50, False),
+    ("dist_sma_200_pct", "price", "per_ticker", 200, False),
+    ("dist_ema_20_pct", "price", "per_ticker", 20, False),
+    ("dist_ema_50_pct", "price", "per_ticker", 50, False),
+    ("dist_ema_200_pct", "price", "per_ticker", 200, False),
+    ("pos_in_52w_range_pct", "price", "per_ticker", 252, False),
+    ("realized_vol_5d", "volatility", "per_ticker", 6, False),
+    ("realized_vol_10d", "volatility", "per_ticker", 11, False),
+    ("realized_vol_20d", "volatility", "per_ticker", 21, False),
+    ("realized_vol_60d", "volatility", "per_ticker", 61, False),
+    ("parkinson_vol_20d", "volatility", "per_ticker", 20, True),
+    ("garman_klass_vol_20d", "volatility", "per_ticker", 20, True),
+    ("atr_14", "volatility", "per_ticker", 15, True),
+    ("vol_of_vol_20d", "volatility", "per_ticker", 40, False),
+    ("vol_regime", "volatility", "per_ticker", 252, False),
+    ("macd", "trend", "per_ticker", 26, False),
+    ("macd_signal", "trend", "per_ticker", 35, False),
+    ("macd_hist", "trend", "per_ticker", 35, False),
+    ("adx_14", "trend", "per_ticker", 28, False),
+    ("aroon_up_25", "trend", "per_ticker", 25, False),
+    ("aroon_down_25", "trend", "per_ticker", 25, False),
+    ("heikin_ashi_close_smooth_5", "trend", "per_ticker", 5, False),
+    ("supertrend_10_3", "trend", "per_ticker", 20, False),
+    ("trend_aligned_5_20_50", "trend", "per_ticker", 50, False),
+    ("trend_persistence_60d", "trend", "per_ticker", 80, False),
+    ("pct_days_above_sma200_252d", "trend", "per_ticker", 452, False),
+    ("up_streak_length", "trend", "per_ticker", 21, False),
+    ("consecutive_days_above_sma50", "trend", "per_ticker", 51, False),
+    ("adx_directional_persistence", "trend", "per_ticker", 28, False),
+    ("rsi_14", "momentum", "per_ticker", 15, False),
+    ("rsi_21", "momentum", "per_ticker", 22, False),
+    ("stoch_k_14", "momentum", "per_ticker", 14, False),
+    ("stoch_d_3", "momentum", "per_ticker", 17, False),
+    ("williams_r_14", "momentum", "per_ticker", 14, False),
+    ("roc_5d", "momentum", "per_ticker", 6, False),
+    ("roc_10d", "momentum", "per_ticker", 11, False),
+    ("roc_20d", "momentum", "per_ticker", 21, False),
+    ("momentum_div_flag", "momentum", "per_ticker", 34, False),
+    ("vol_ratio_20d", "volume", "per_ticker", 20, True),
+    ("obv", "volume", "per_ticker", 2, True),
+    ("typical_price_dev_pct", "volume", "per_ticker", 1, True),
+    ("accum_dist_line", "volume", "per_ticker", 1, True),
+    ("unusual_vol_z_20d", "volume", "per_ticker", 20, True),
+    ("range_pct_close", "microstructure", "per_ticker", 1, True),
+    ("range_expansion_20d", "microstructure", "per_ticker", 20, True),
+    ("close_pos_in_range", "microstructure", "per_ticker", 1, True),
+    ("body_to_range", "microstructure", "per_ticker", 1, True),
+    ("trend_strength_smoothed", "persistence", "per_ticker", 61, False),
+    ("roc_consistency_20d", "persistence", "per_ticker", 25, False),
+    ("volume_trend_alignment", "persistence", "per_ticker", 25, True),
+    ("regime_adjusted_rsi", "persistence", "per_ticker", 266, False),
+    ("ret_5d_rank_universe", "cross_sectional", "cross_sectional", 5, False),
+    ("ret_5d_z_winsor", "cross_sectional", "cross_sectional", 5, False),
+    ("vol_20d_rank_universe", "cross_sectional", "cross_sectional", 20, False),
+    ("vol_20d_z_winsor", "cross_sectional", "cross_sectional", 20, False),
+    ("turnover_rank_universe", "cross_sectional", "cross_sectional", 1, True),
+    ("ret_5d_rank_sector", "cross_sectional", "cross_sectional", 5, False),
+    ("ret_5d_dist_sector_median", "cross_sectional", "cross_sectional", 5, False),
+    ("beta_60d_nifty50", "cross_sectional", "cross_sectional", 60, False),
+    ("vix_level", "regime", "regime", 1, False),
+    ("vix_pct_252d", "regime", "regime", 252, False),
+    ("nifty_above_sma_200", "regime", "regime", 200, False),
+    ("corr_regime_60d", "regime", "regime", 60, False),
+    ("mean_reversion_strength_x_vix", "interactions", "cross_sectional", 252, False),
 )
 
 
 def metadata(spark: SparkSession) -> DataFrame:
     """The feature metadata as a table."""
-    return spark.createDataFrame(list(METADATA), "name string, module string, inputs string, lookback int, mask_on_special boolean")
+    return spark.createDataFrame(list(METADATA), "name string, module string, source string, lookback int, mask_on_special boolean")
+
+
+def masked_columns(features: DataFrame) -> list[str]:
+    """The columns of a frame that special sessions mask."""
+    masked = {name for name, *_, mask in METADATA if mask}
+    return [c for c in features.columns if c in masked]
+
+
+def coverage(features: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """name, n_valid, first_valid: how many values each feature has, and the date of the first, in one pass over all."""
+    x = [F.struct(F.lit(c).alias("name"), F.col(c).isNotNull().alias("known")) for c in columns]
+    long = features.select("date", F.explode(F.array(*x)).alias("s")).select("date", "s.*").where("known")
+    return long.groupBy("name").agg(F.count(F.lit(1)).alias("n_valid"), F.min("date").alias("first_valid"))
 
 
 def inspect(features: DataFrame, ticker: str, columns: Sequence[str], n: int) -> DataFrame:

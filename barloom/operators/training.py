@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -26,6 +28,20 @@ def fit(rows: DataFrame, features: Sequence[str], label: str, depth: int = 3, tr
     return Pipeline(stages=stages).fit(used)
 
 
+def per_fold(rows: DataFrame, work: Callable[[int, DataFrame], DataFrame], parallel: int = 4) -> DataFrame:
+    """``fold_id`` and what ``work`` makes of the rows of each fold, of all folds; some folds are fitted at a time.
+
+    ``rows`` is a written table with ``fold_id``: folds are few, and each is a table of its own.
+    """
+    folds = sorted(r[0] for r in rows.select("fold_id").distinct().collect())
+    if not folds:
+        raise ValueError("there is no fold")
+    with ThreadPoolExecutor(parallel) as pool:
+        parts = list(pool.map(lambda fold: work(fold, rows.where(F.col("fold_id") == fold)), folds))
+    named = [part.select(F.lit(fold).alias("fold_id"), "*") for fold, part in zip(folds, parts, strict=True)]
+    return reduce(DataFrame.unionByName, named)
+
+
 def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """``keep`` columns with predicted_proba."""
     doubles = rows.select(*keep, *[F.col(f).cast("double").alias(f) for f in features if f not in keep])

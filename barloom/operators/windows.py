@@ -70,17 +70,15 @@ def as_of(
 
     Both sides are united and sorted once per key, and the last seen right row is carried along: one shuffle on the
     key, no join that multiplies rows. At equal times a right row counts unless ``strict``. Without ``by`` the right
-    side must be a small dimension: its rows are found by an inequality join to the distinct times of the left.
-    Right columns must not clash with left ones but for ``by``.
+    side must be a small dimension: the distinct times of the left are united with it, and found rows come back by an
+    equality join. Right columns must not clash with left ones but for ``by``.
     """
     carried = [c for c in right.columns if c not in by]
     if not by:
-        times = left.select(F.col(left_on).alias("_time")).distinct()
-        at, time = F.col(right_on), F.col("_time")
-        near = (at > time if strict else at >= time) if forward else (at < time if strict else at <= time)
-        pick = F.min_by if forward else F.max_by
-        found = times.join(right, near).groupBy("_time").agg(pick(F.struct(*carried), right_on).alias("_r"))
-        return left.join(found, F.col(left_on) == F.col("_time"), "left").select(*left.columns, "_r.*")
+        times = left.select(F.col(left_on).alias("_time"), F.lit(0).alias("_all")).distinct()  # one row per date
+        found = as_of(times, right.withColumn("_all", F.lit(0)), "_time", right_on, ["_all"], strict, forward)
+        found = found.where(F.col("_time").isNotNull()).drop("_all")
+        return left.join(found, F.col(left_on) == F.col("_time"), "left").select(*left.columns, *carried)
     right_first = not strict
     l = left.withColumns({"_t": F.col(left_on), "_r": F.lit(None).cast(right.select(F.struct(*carried).alias("s")).schema["s"].dataType)})  # noqa: E741
     l = l.withColumn("_side", F.lit(1))  # noqa: E741

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.features import per_ticker
@@ -14,22 +12,17 @@ from ..operators import training as T
 from ..operators import validation as V
 from ..operators.folds import add_quarters, fold_rows, quarter_end
 from ..sources import bars as S
-from ..sources.scratch import materialise
-from ..streaming.append import append_bars, bar_stream, windowed_counts
+from ..sources.scratch import materialise, new_folder
+from ..streaming.append import append_bars, bar_stream, count_windows
 from .feature_queries import S1, S2, S3, S4, S5, S6
 from .market_queries import NO_SPECIAL, special_sessions
 from .metric_queries import folds, q_add, q_end
-from .panel import bars, market_index, read, rounded, with_bars
+from .panel import bars, bars_once, market_index, read, rounded, with_bars
 from .portfolio_queries import PICKS, SCHEDULE, SCORES, SERIES, START, picked, scores, series
 
 SHORT = ["date", "ticker", "open", "high", "low", "close", "volume", "adj_close"]
 
 
-def _folder(spark):
-    materialise(spark.range(0))  # sets the shared folder where it is unset
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/barloom-{uuid.uuid4().hex}"
-
-
 def o01_scan_bars(spark, sf_dir):
     return rounded(S.scan(bars(spark, sf_dir).select(SHORT), "NATION_3", "1996-01-01", "1998-12-31"))
 
@@ -91,25 +84,25 @@ def o11_sql_labels(spark, sf_dir):
 
 def o12_feature_table(spark, sf_dir):
     """Written by ticker and read back."""
-    path = _folder(spark)
+    path = new_folder(spark)
     S.write_table(per_ticker(bars(spark, sf_dir), ["ret_5d", "vol_ratio_20d"]), path, 2)
     return rounded(S.read_table(spark, path, 2).select("date", "ticker", "ret_5d", "vol_ratio_20d"))
 
 
 def o13_label_table(spark, sf_dir):
-    path = _folder(spark)
+    path = new_folder(spark)
     S.write_table(L.forward_labels(bars(spark, sf_dir), [5]).select("date", "ticker", "forward_ret_5d"), path)
     return rounded(S.read_table(spark, path).select("date", "ticker", "forward_ret_5d"))
 
 
 def o14_csv(spark, sf_dir):
-    path = _folder(spark)
+    path = new_folder(spark)
     S.write_csv(series(spark, sf_dir).where("series = 'index'").select("date", F.round("total_value", 3).alias("total_value")), path)
     return S.read_values_csv(spark, path)
 
 
 def o15_json(spark, sf_dir):
-    path = _folder(spark)
+    path = new_folder(spark)
     S.write_json(S.coverage(bars(spark, sf_dir)), path)
     return spark.read.schema("ticker string, first_date date, last_date date, n_rows long").json(path)
 
@@ -300,55 +293,69 @@ MODEL = ["ret_5d", "realized_vol_20d", "vol_ratio_20d", "dist_sma_20_pct"]
 LABEL = "outperforms_universe_median_5d"
 
 
-def fold_data(spark, sf_dir, fold=0):
-    panel = bars(spark, sf_dir)
+#: Settings of the search: depth and step of the trees.
+GRID = [{"depth": d, "step": step, "trees": 5} for d in (2, 3) for step in (0.1, 0.3)]
+
+
+def fold_data(spark, sf_dir):
+    """The rows of all folds, by fold and role, written once."""
+    panel = bars_once(spark, sf_dir)
     rows = per_ticker(panel, MODEL).join(L.forward_labels(panel, [5]), ["date", "ticker"]).where(f"{LABEL} IS NOT NULL")
-    return materialise(fold_rows(rows, folds(spark, sf_dir).where(F.col("fold_id") == fold)))
+    return materialise(fold_rows(rows, folds(spark, sf_dir)))
 
 
 def t06_fit_predict(spark, sf_dir):
-    rows = fold_data(spark, sf_dir)
-    return T.predict(T.fit(rows, MODEL, LABEL, trees=5), rows.where("role = 'test'"), MODEL, ["date", "ticker"])
+    """Predictions of each fold's test window by its own model, which stops early on its validation window."""
+
+    def work(fold, rows):
+        return T.predict(T.fit(rows, MODEL, LABEL), rows.where("role = 'test'"), MODEL, ["date", "ticker"])
+
+    return T.per_fold(fold_data(spark, sf_dir), work)
 
 
 def t07_t11_saved_model(spark, sf_dir):
-    """Test predictions of the last fold's model, saved and loaded again (T-11)."""
-    rows = fold_data(spark, sf_dir, 3)
-    path = _folder(spark)
-    T.save(T.fit(rows, MODEL, LABEL, trees=3, early=False), path)
+    """Test predictions of the model of the last fold that has labelled test rows, saved and loaded again (T-11)."""
+    rows = fold_data(spark, sf_dir)
+    rows = rows.where(F.col("fold_id") == rows.where("role = 'test'").agg(F.max("fold_id")).first()[0])
+    path = new_folder(spark)
+    T.save(T.fit(rows, MODEL, LABEL), path)
     return T.predict(T.load(path), rows.where("role = 'test'"), MODEL, ["date", "ticker"])
 
 
 def t08_search(spark, sf_dir):
-    return T.search(fold_data(spark, sf_dir), MODEL, LABEL, [{"depth": 2, "trees": 3}, {"depth": 3, "trees": 3}])
+    """The log loss of each setting of the grid on each fold's validation window."""
+    return T.per_fold(fold_data(spark, sf_dir), lambda fold, rows: T.search(rows, MODEL, LABEL, GRID))
 
 
 def t09_importance(spark, sf_dir):
-    rows = fold_data(spark, sf_dir)
-    return T.importances(T.fit(rows, MODEL, LABEL, trees=3, early=False), MODEL, rows)
+    """Importances of each fold's model."""
+    return T.per_fold(fold_data(spark, sf_dir), lambda fold, rows: T.importances(T.fit(rows, MODEL, LABEL), MODEL, rows))
 
 
 def streaming_append(spark, sf_dir):
     """Two loads arrive as files and are upserted by the stream; the table equals the upsert of both."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     old, new = loads(spark, sf_dir)
-    S.enforce(old).coalesce(1).write.parquet(f"{folder}/in/a")
+    S.enforce(old).write.parquet(f"{folder}/in/a")
     stream = lambda name: append_bars(bar_stream(spark, f"{folder}/in/{name}"), f"{folder}/table", f"{folder}/log-{name}")
     stream("a").awaitTermination()
-    S.enforce(new).coalesce(1).write.parquet(f"{folder}/in/b")
+    S.enforce(new).write.parquet(f"{folder}/in/b")
     stream("b").awaitTermination()
     return rounded(spark.read.schema(S.BARS).parquet(f"{folder}/table"))
 
 
 def streaming_windows(spark, sf_dir):
-    """Hourly counts of events by a watermarked stream, read to its end."""
-    folder = _folder(spark)
+    """Hourly counts of events by a watermarked stream, read to its end.
+
+    Events arrive in files by ranges of time, and all that is there is one batch: a later batch would take rows behind
+    its watermark for late. Each trigger replaces the table of counts in the shared folder.
+    """
+    folder = new_folder(spark)
     e = read(spark, sf_dir, "events")
-    e.select("ts", "event_type", "value").orderBy("ts").coalesce(1).write.parquet(f"{folder}/in")
+    e.select("ts", "event_type", "value").repartitionByRange("ts").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{folder}/in")
-    q = windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName(f"w{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rounded(spark.table(q.name), 3)
+    count_windows(stream, f"{folder}/out", f"{folder}/log").awaitTermination()
+    return rounded(spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{folder}/out"), 3)
 
 
 QUERIES = {

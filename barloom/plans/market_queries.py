@@ -10,7 +10,7 @@ from ..operators import labels as L
 from ..operators import pipeline as P
 from ..operators import regime as R
 from .feature_queries import S1, S2, S3, S4, S5, S6, full
-from .panel import bars, fear_index, market_index, rounded, with_bars
+from .panel import bars, bars_once, fear_index, market_index, rounded, with_bars
 
 SECTION = ["ret_5d", "realized_vol_20d", "turnover", "sector"]
 
@@ -20,8 +20,7 @@ def special_sessions(panel):
     return panel.select("date").distinct().where("month(date) = 1 AND day(date) <= 7")
 
 
-def section(spark, sf_dir):
-    panel = bars(spark, sf_dir)
+def section(panel):
     return X.cross_section(per_ticker(panel, SECTION), special_sessions(panel))
 
 
@@ -30,16 +29,16 @@ def regimes(panel):
 
 
 def _of_section(*columns):
-    return lambda spark, sf_dir: rounded(section(spark, sf_dir).select("date", "ticker", *columns))
+    return lambda spark, sf_dir: rounded(section(bars(spark, sf_dir)).select("date", "ticker", *columns))
 
 
 def x08_beta(spark, sf_dir):
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     return rounded(X.market_beta(panel, market_index(panel)), 4)
 
 
 def r01_regime_spine(spark, sf_dir):
-    return rounded(regimes(bars(spark, sf_dir)))
+    return rounded(regimes(bars_once(spark, sf_dir)))
 
 
 def r02_vix_level(spark, sf_dir):
@@ -55,34 +54,37 @@ def r04_above_sma200(spark, sf_dir):
 
 
 def r05_mean_correlation(spark, sf_dir):
-    return rounded(R.mean_correlation(bars(spark, sf_dir)))
+    return rounded(R.mean_correlation(bars_once(spark, sf_dir)))
 
 
 def r06_wide_returns(spark, sf_dir):
-    names = [r[0] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").orderBy("n_name").limit(5).collect()]
+    """A column per nation, in order of name: a dimension, one row per ticker."""
+    names = [r[0] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").orderBy("n_name").collect()]
     wide = R.wide_returns(bars(spark, sf_dir), names)
     return rounded(wide.select("date", *[F.col(f"`{n}`").alias(f"t{i}") for i, n in enumerate(names)]))
 
 
 def i01_interaction(spark, sf_dir):
-    return rounded(R.interaction(section(spark, sf_dir), regimes(bars(spark, sf_dir))))
+    panel = bars_once(spark, sf_dir)
+    return rounded(R.interaction(section(panel), regimes(panel)))
 
 
 ASSEMBLED = ["ret_1d", "ret_5d", "realized_vol_20d", "rsi_14", "vol_ratio_20d", "ret_5d_rank_universe", "mean_reversion_strength_x_vix"]
 
 
-def assembled(spark, sf_dir):
-    panel = bars(spark, sf_dir)
+def assembled(panel):
     features = per_ticker(panel, [*SECTION, "ret_1d", "rsi_14", "vol_ratio_20d"])
     return P.assemble(X.cross_section(features, special_sessions(panel)), regimes(panel))
 
 
 def p01_feature_join(spark, sf_dir):
-    return rounded(assembled(spark, sf_dir).select("date", "ticker", *ASSEMBLED))
+    return rounded(assembled(bars_once(spark, sf_dir)).select("date", "ticker", *ASSEMBLED))
 
 
 def p02_special_mask(spark, sf_dir):
-    masked = P.mask_special(assembled(spark, sf_dir), special_sessions(bars(spark, sf_dir)), ["ret_1d", "vol_ratio_20d"])
+    panel = bars_once(spark, sf_dir)
+    features = assembled(panel)
+    masked = P.mask_special(features, special_sessions(panel), P.masked_columns(features))
     return rounded(masked.select("date", "ticker", "ret_1d", "vol_ratio_20d", "rsi_14"))
 
 
@@ -92,11 +94,6 @@ def p04_incremental(spark, sf_dir):
     return rounded(new)
 
 
-def p05_metadata(spark, sf_dir):
-    have = bars(spark, sf_dir).agg(F.countDistinct("date").alias("n_dates"))
-    return P.metadata(spark).crossJoin(have).where("lookback <= n_dates").drop("n_dates")
-
-
 def p06_inspect(spark, sf_dir):
     ticker = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.min("n_name")).first()[0]
     return rounded(P.inspect(per_ticker(bars(spark, sf_dir), ["ret_1d", "ret_5d"]), ticker, ["ret_1d", "ret_5d"], 10))
@@ -126,7 +123,7 @@ NEEDED = ["outperforms_universe_median_5d", "forward_ret_5d_demeaned"]
 
 
 def training(spark, sf_dir, start="1996-01-01", end="2001-06-30"):
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     features = per_ticker(panel, ["ret_5d", "realized_vol_20d", "vol_regime", "dist_sma_20_pct", "vol_ratio_20d"])
     sectors = panel.select("ticker", "sector").distinct()
     return L.training_table(features, regimes(panel), L.forward_labels(panel, [5]), sectors, NEEDED, start, end)
@@ -157,7 +154,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             x08_beta, r01_regime_spine, r02_vix_level, r03_vix_percentile, r04_above_sma200, r05_mean_correlation,
-            r06_wide_returns, i01_interaction, p01_feature_join, p02_special_mask, p04_incremental, p05_metadata, p06_inspect,
+            r06_wide_returns, i01_interaction, p01_feature_join, p02_special_mask, p04_incremental, p06_inspect,
         )
     },
     "l01_forward_return": _labels("forward_ret_5d", "forward_ret_10d", "forward_ret_20d"),
@@ -283,7 +280,7 @@ ORACLE_SQL = {
     "r06_wide_returns": with_bars(
         "rr AS (SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM bars)",
         "nm AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation)",
-        select="SELECT date, " + ", ".join(f"round(any_value(r) FILTER (WHERE i = {i}), 6) + 0.0 AS t{i}" for i in range(5)) + " FROM rr JOIN nm ON ticker = n_name GROUP BY date",
+        select="SELECT date, " + ", ".join(f"round(any_value(r) FILTER (WHERE i = {i}), 6) + 0.0 AS t{i}" for i in range(25)) + " FROM rr JOIN nm ON ticker = n_name GROUP BY date",
     ),
     "i01_interaction": with_bars(
         S1, S2, F2, *SCORE, REGIME,
@@ -293,14 +290,10 @@ ORACLE_SQL = {
     "p01_feature_join": with_bars(*ASSEMBLY, select=f"SELECT date, ticker, {r6(*ASSEMBLED)} FROM asm"),
     "p02_special_mask": with_bars(
         *ASSEMBLY,
-        select=f"""SELECT date, ticker, round(CASE WHEN NOT ({NO_SPECIAL}) THEN ret_1d END, 6) + 0.0 AS ret_1d,
+        select=f"""SELECT date, ticker, {r6('ret_1d')},
         round(CASE WHEN NOT ({NO_SPECIAL}) THEN vol_ratio_20d END, 6) + 0.0 AS vol_ratio_20d, {r6('rsi_14')} FROM asm""",
     ),
     "p04_incremental": with_bars(S1, S2, select=f"SELECT date, ticker, {r6('dist_sma_20_pct', 'ret_5d')} FROM s2 WHERE date > DATE '2001-06-01'"),
-    "p05_metadata": with_bars(
-        "md(name, module, inputs, lookback, mask_on_special) AS (VALUES " + ", ".join(f"('{n}', '{m}', '{i}', {k}, {str(b).lower()})" for n, m, i, k, b in P.METADATA) + ")",
-        select="SELECT * FROM md WHERE lookback <= (SELECT count(DISTINCT date) FROM bars)",
-    ),
     "p06_inspect": with_bars(S1, select=f"SELECT date, ticker, {r6('ret_1d', 'ret_5d')} FROM s1 WHERE ticker = (SELECT min(n_name) FROM nation) ORDER BY date DESC LIMIT 10"),
     "l01_forward_return": with_bars(LABELS, select=f"SELECT date, ticker, {r6(*[f'forward_ret_{h}d' for h in L.HORIZONS])} FROM lab"),
     "l02_universe_median": with_bars(LABELS, select="SELECT date, round(median(forward_ret_5d), 6) + 0.0 AS median_5d FROM lab GROUP BY date"),

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.features import per_ticker
+from ..operators import cross_section as X
 from ..operators import folds as W
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators.cross_section import percentile_rank
-from .feature_queries import S1, S2, S3, S4, S5, S6
-from .market_queries import LABELS, percentile_sql, rank_sql
-from .panel import bars, rounded, with_bars
+from ..operators import pipeline as P
+from ..sources.scratch import materialise
+from .feature_queries import FEATURES, S1, S2, S3, S4, S5, S6
+from .market_queries import F2, LABELS, SCORE, SECTION, SECTOR_RANK, percentile_sql, rank_sql, special_sessions
+from .panel import bars, bars_once, rounded, with_bars
 
 FOLDS = {"train_start": "1995-01-01", "initial_train_end": "1997-12-31"}
 
 
 def predictions(spark, sf_dir):
     """date, ticker, label, predicted_proba, actual_return, vol_regime, above: rows with all three known."""
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     f = per_ticker(panel, ["ret_5d", "vol_regime", "dist_sma_20_pct"])
     f = f.withColumn("predicted_proba", percentile_rank(F.col("ret_5d")))
     y = L.forward_labels(panel, [5])
@@ -59,13 +62,13 @@ def m08_daily_rank_ic(spark, sf_dir):
 
 
 def m10_permuted_ics(spark, sf_dir):
-    return rounded(M.permuted_ics(predictions(spark, sf_dir), 50))
+    return rounded(M.permuted_ics(predictions(spark, sf_dir), DRAWS))
 
 
 def m11_permutation_p(spark, sf_dir):
-    p = predictions(spark, sf_dir)
+    p = materialise(predictions(spark, sf_dir))
     actual = M.ic_summary(M.information_coefficient(p))
-    return rounded(M.permutation_summary(M.permuted_ics(p, 50), actual))
+    return rounded(M.permutation_summary(M.permuted_ics(p, DRAWS), actual))
 
 
 def m12_bundle(spark, sf_dir):
@@ -85,19 +88,31 @@ def m16_regimes_over_folds(spark, sf_dir):
     return rounded(M.over_folds(per, ["auc", "ic_mean"], ["above"]))
 
 
+def diagnosed(spark, sf_dir):
+    """date, ticker, all features and the demeaned forward returns of all horizons."""
+    panel = bars_once(spark, sf_dir)
+    f = X.cross_section(per_ticker(panel, [*PER_TICKER, *SECTION]), special_sessions(panel))
+    y = L.forward_labels(panel).select("date", "ticker", *OUTCOMES.values())
+    return f.select("date", "ticker", *UNIVARIATE).join(y, ["date", "ticker"])
+
+
+def p05_metadata(spark, sf_dir):
+    """The metadata of all features with what the panel holds of each that is made from bars alone."""
+    return P.metadata(spark).join(P.coverage(diagnosed(spark, sf_dir), UNIVARIATE), "name", "left")
+
+
 def importances(spark, sf_dir):
     """A stand-in for a model's importances that SQL can repeat: each feature's size of rank correlation, per fold."""
-    panel = bars(spark, sf_dir)
-    x = per_ticker(panel, UNIVARIATE).join(L.forward_labels(panel, [5]).select("date", "ticker", "forward_ret_5d_demeaned"), ["date", "ticker"])
-    long = W.fold_rows(x, folds(spark, sf_dir)).where("role = 'test'").select(
-        "fold_id", "date", F.col("forward_ret_5d_demeaned").alias("y"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in UNIVARIATE])).alias("s"),
-    ).select("fold_id", "date", "y", "s.*")
+    tested = W.fold_rows(diagnosed(spark, sf_dir), folds(spark, sf_dir)).where("role = 'test'")
+    long = M.unpivoted(tested, ["fold_id", "date"], UNIVARIATE, {5: OUTCOMES[5]})
     ics = M.information_coefficient(long, ["feature", "fold_id", "date"], "x", "y")
     return ics.groupBy("fold_id", "feature").agg(F.abs(F.avg("ic")).alias("importance"))
 
 
-UNIVARIATE = ["ret_5d", "ret_20d", "realized_vol_20d", "vol_ratio_20d"]
+PER_TICKER = [c for columns in FEATURES.values() for c in columns if c != "supertrend_10_3"]
+UNIVARIATE = [*PER_TICKER, "ret_5d_rank_universe", "vol_20d_rank_universe", "turnover_rank_universe", "ret_5d_z_winsor", "ret_5d_rank_sector", "ret_5d_dist_sector_median"]
+OUTCOMES = {h: f"forward_ret_{h}d_demeaned" for h in L.HORIZONS}
+DRAWS = 1000
 
 
 def m17_importance(spark, sf_dir):
@@ -109,12 +124,14 @@ def m18_pooled_calibration(spark, sf_dir):
 
 
 def m19_significance(spark, sf_dir):
-    """Share of dates whose coefficient beats chance by a normal bound, in place of per-fold permutations."""
-    t = M.ic_summary(M.information_coefficient(tested(spark, sf_dir), ["fold_id", "date"]), ["fold_id"])
+    """Over folds: how many beat chance by the permutations of their own test rows, and their p values."""
+    t = materialise(tested(spark, sf_dir))
+    actual = M.ic_summary(M.information_coefficient(t, ["fold_id", "date"]), ["fold_id"])
+    p = M.permutation_summary(M.permuted_ics(t, DRAWS, ["fold_id"]), actual, by=["fold_id"])
     return rounded(
-        t.agg(
-            F.count_if(F.col("ic_t") > 1.645).alias("n_p05"), F.count_if(F.col("ic_t") > 1.282).alias("n_p10"),
-            F.percentile("ic_t", 0.5).alias("median_t"), F.min("ic_t").alias("min_t"), F.max("ic_t").alias("max_t"),
+        p.agg(
+            F.count_if(F.col("p_value") < 0.05).alias("n_p05"), F.count_if(F.col("p_value") < 0.10).alias("n_p10"),
+            F.percentile("p_value", 0.5).alias("median_p"), F.min("p_value").alias("min_p"), F.max("p_value").alias("max_p"), F.count("p_value").alias("n_folds"),
         )
     )
 
@@ -133,9 +150,7 @@ def m22_compare(spark, sf_dir):
 
 
 def univariate(spark, sf_dir):
-    panel = bars(spark, sf_dir)
-    df = per_ticker(panel, UNIVARIATE).join(L.forward_labels(panel, [5]), ["date", "ticker"])
-    return M.univariate_ics(df, UNIVARIATE, "forward_ret_5d_demeaned")
+    return M.univariate_ics(diagnosed(spark, sf_dir), UNIVARIATE, OUTCOMES)
 
 
 def m23_univariate(spark, sf_dir):
@@ -143,19 +158,21 @@ def m23_univariate(spark, sf_dir):
 
 
 def m24_two_sided_p(spark, sf_dir):
-    p = predictions(spark, sf_dir)
-    return rounded(M.permutation_summary(M.permuted_ics(p, 50, seed=1), M.ic_summary(M.information_coefficient(p)), two_sided=True))
+    """Per feature, against the return over 5 rows."""
+    d = materialise(diagnosed(spark, sf_dir))
+    actual = M.univariate_ics(d, UNIVARIATE, {5: OUTCOMES[5]})
+    null = M.permuted_feature_ics(d, UNIVARIATE, OUTCOMES[5], DRAWS, seed=1)
+    return rounded(M.permutation_summary(null, actual, two_sided=True, by=["feature"]))
 
 
 def m25_extremes(spark, sf_dir):
-    t = univariate(spark, sf_dir)
-    return rounded(M.extremes(t, 2, True).withColumn("side", F.lit("top")).unionByName(M.extremes(t, 2, False).withColumn("side", F.lit("bottom"))))
+    t = materialise(univariate(spark, sf_dir))
+    return rounded(M.extremes(t, 10, True).withColumn("side", F.lit("top")).unionByName(M.extremes(t, 10, False).withColumn("side", F.lit("bottom"))))
 
 
 def m26_modules(spark, sf_dir):
-    m = F.when(F.col("feature").startswith("ret"), "price").otherwise("other")
-    t = univariate(spark, sf_dir)
-    return M.module_summary(t, t.select("feature", m.alias("module")))
+    modules = P.metadata(spark).select(F.col("name").alias("feature"), "module")
+    return M.module_summary(univariate(spark, sf_dir), modules)
 
 
 def m27_dispersion(spark, sf_dir):
@@ -172,7 +189,7 @@ def m30_regime_mix(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (t05_folds, t05_fold_rows, t10_predictions)
+    for f in (p05_metadata, t05_folds, t05_fold_rows, t10_predictions)
 } | {
     "m01_log_loss": _one(lambda p: p.agg(M.log_loss().alias("log_loss"))),
     "m02_auc": _one(lambda p: M.auc(p, ["above"])),
@@ -283,12 +300,39 @@ def stats_sql(source: str, metrics: list[str], by: str = "") -> str:
     )
 
 
-LONG = "uf AS (" + " UNION ALL ".join(
-    f"SELECT f.date, f.ticker, '{u}' AS feature, {u} AS x, forward_ret_5d_demeaned AS y FROM feats f JOIN lab ON f.date = lab.date AND f.ticker = lab.ticker"
-    for u in UNIVARIATE
-) + ")"
-UNI = f"un AS ({summary_sql(ic_sql('feature, date', 'uf', 'x', 'y'), 'feature')})"
+DIAGNOSED = (
+    F2.replace("s2)", "feats)"),
+    *SCORE,
+    f"""dg AS (
+  SELECT f.*, {percentile_sql('ret_5d')} AS ret_5d_rank_universe, {percentile_sql('realized_vol_20d')} AS vol_20d_rank_universe,
+    {percentile_sql('open_turnover')} AS turnover_rank_universe, {SECTOR_RANK} AS ret_5d_rank_sector,
+    CASE WHEN count(*) OVER (PARTITION BY date, sector) > 1 THEN ret_5d - median(ret_5d) OVER (PARTITION BY date, sector) END AS ret_5d_dist_sector_median
+  FROM f2 f)""",
+    "uf AS (SELECT date, ticker, unnest([" + ", ".join(f"{{'feature': '{u}', 'x': CAST({u} AS DOUBLE)}}" for u in UNIVARIATE)
+    + "], recursive := true) FROM dg JOIN ret_5d_z_winsor_c USING (date, ticker))",
+    "uh AS (SELECT date, ticker, unnest([" + ", ".join(f"{{'horizon': {h}, 'y': {y}}}" for h, y in OUTCOMES.items()) + "], recursive := true) FROM lab)",
+    "ul AS MATERIALIZED (SELECT date, ticker, feature, x, horizon, y FROM uf JOIN uh USING (date, ticker) WHERE x IS NOT NULL AND y IS NOT NULL)",
+)
+UNI = f"un AS ({summary_sql(ic_sql('feature, horizon, date', 'ul', 'x', 'y'), 'feature, horizon')})"
 UNI_OUT = r6("ic_mean", "ic_std", "ic_ir", "ic_t")
+
+
+def permuted_sql(table: str, by: str = "", seed: int = 0) -> str:
+    """CTEs ``pb``, ``pd`` and ``pm``: ranks with their places, the draws, and the mean coefficient of each draw."""
+    keys = f"{by}, date" if by else "date"
+    return f"""
+pb AS MATERIALIZED (
+  SELECT {keys}, ticker, {rank_sql('predicted_proba', keys)} AS a, {rank_sql('actual_return', keys)} AS b,
+    row_number() OVER (PARTITION BY {keys} ORDER BY ticker) AS i FROM {table}),
+pd AS (
+  SELECT {keys}, draw, a, row_number() OVER (PARTITION BY {keys}, draw ORDER BY md5(concat_ws('|', '{seed}', draw, date, ticker)), ticker) AS i
+  FROM pb, range(1, {DRAWS + 1}) r(draw)),
+pm AS (
+  SELECT {by + ',' if by else ''} draw, avg(ic) AS ic_mean FROM (
+    SELECT {keys}, draw, CASE WHEN count(*) >= 3 AND stddev_pop(pd.a) > 0 AND stddev_pop(b) > 0 THEN corr(pd.a, b) END AS ic
+    FROM pd JOIN pb USING ({keys}, i) GROUP BY {keys}, draw) GROUP BY {by + ',' if by else ''} draw)"""
+
+
 CAL = "least(CAST(floor(predicted_proba * 10) AS INT), 9)"
 
 
@@ -338,7 +382,7 @@ ORACLE_SQL = {
         select=stats_sql("rc", ["auc", "ic_mean"], "above"),
     ),
     "m17_importance": sql(
-        LONG, BOUNDS, "uff AS (SELECT fold_id, uf.* FROM uf JOIN fb ON date BETWEEN test_start AND test_end)",
+        *DIAGNOSED, BOUNDS, "uff AS (SELECT fold_id, ul.* FROM ul JOIN fb ON date BETWEEN test_start AND test_end WHERE horizon = 5)",
         f"im AS (SELECT fold_id, feature, abs(avg(ic)) AS importance FROM ({ic_sql('feature, fold_id, date', 'uff', 'x', 'y')}) GROUP BY 1, 2)",
         "ims AS (SELECT feature, avg(importance) AS mean, stddev_samp(importance) AS std, count(DISTINCT fold_id) AS n_folds FROM im GROUP BY 1)",
         select="SELECT feature, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, n_folds, round(mean / sum(mean) OVER (), 6) + 0.0 AS share FROM ims",
@@ -348,10 +392,23 @@ ORACLE_SQL = {
         select=f"""SELECT CAST(b AS INT) AS bucket, count(label) AS n, round(avg(predicted_proba), 6) + 0.0 AS mean_predicted, round(avg(label), 6) + 0.0 AS mean_label
         FROM range(10) t(b) LEFT JOIN tst ON {CAL} = b GROUP BY b""",
     ),
+    "p05_metadata": sql(
+        *DIAGNOSED[:-2],
+        "md(name, module, source, lookback, mask_on_special) AS (VALUES " + ", ".join(f"('{n}', '{m}', '{s}', {k}, {str(x).lower()})" for n, m, s, k, x in P.METADATA) + ")",
+        "cv AS (SELECT feature AS name, count(*) AS n_valid, min(date) AS first_valid FROM uf WHERE x IS NOT NULL GROUP BY 1)",
+        select="SELECT md.*, n_valid, first_valid FROM md LEFT JOIN cv USING (name)",
+    ),
+    "m10_permuted_ics": sql(permuted_sql("pred"), select=f"SELECT CAST(draw AS INT) AS draw, {r6('ic_mean')} FROM pm"),
+    "m11_permutation_p": sql(
+        permuted_sql("pred"), f"ac AS ({summary_sql(ic_sql('date', 'pred'))})",
+        select="""SELECT round(avg(CAST(pm.ic_mean >= ac.ic_mean AS INT)), 6) + 0.0 AS p_value, round(avg(pm.ic_mean), 6) + 0.0 AS null_mean,
+        round(stddev_samp(pm.ic_mean), 6) + 0.0 AS null_std FROM pm, ac""",
+    ),
     "m19_significance": sql(
-        BOUNDS, f"st AS ({summary_sql(ic_sql('fold_id, date', 'tst'), 'fold_id')})",
-        select="""SELECT count(*) FILTER (WHERE ic_t > 1.645) AS n_p05, count(*) FILTER (WHERE ic_t > 1.282) AS n_p10, round(median(ic_t), 6) + 0.0 AS median_t,
-        round(min(ic_t), 6) + 0.0 AS min_t, round(max(ic_t), 6) + 0.0 AS max_t FROM st""",
+        BOUNDS, permuted_sql("tst", "fold_id"), f"ac AS ({summary_sql(ic_sql('fold_id, date', 'tst'), 'fold_id')})",
+        "pv AS (SELECT fold_id, avg(CAST(pm.ic_mean >= ac.ic_mean AS INT)) AS p FROM pm JOIN ac USING (fold_id) GROUP BY fold_id)",
+        select="""SELECT count(*) FILTER (WHERE p < 0.05) AS n_p05, count(*) FILTER (WHERE p < 0.10) AS n_p10, round(median(p), 6) + 0.0 AS median_p,
+        round(min(p), 6) + 0.0 AS min_p, round(max(p), 6) + 0.0 AS max_p, count(p) AS n_folds FROM pv""",
     ),
     "m20_decision": sql(
         BOUNDS, FOLD_TABLE,
@@ -371,16 +428,17 @@ ORACLE_SQL = {
         round(b.ic_mean, 6) + 0.0 AS ic_mean_b, round(b.auc - a.auc, 6) + 0.0 AS auc_delta, round(b.ic_mean - a.ic_mean, 6) + 0.0 AS ic_mean_delta
         FROM (SELECT * FROM pf WHERE fold_id < 10) a FULL JOIN (SELECT * FROM pf WHERE fold_id > 1) b ON a.fold_id = b.fold_id""",
     ),
-    "m23_univariate": sql(LONG, UNI, select=f"SELECT feature, n, {UNI_OUT} FROM un"),
+    "m23_univariate": sql(*DIAGNOSED, UNI, select=f"SELECT feature, CAST(horizon AS INT) AS horizon, n, {UNI_OUT} FROM un"),
     "m25_extremes": sql(
-        LONG, UNI,
-        select=f"""SELECT 'top' AS side, feature, n, {UNI_OUT} FROM (SELECT * FROM un ORDER BY ic_ir DESC, feature LIMIT 2)
-        UNION ALL SELECT 'bottom', feature, n, {UNI_OUT} FROM (SELECT * FROM un ORDER BY ic_ir, feature LIMIT 2)""",
+        *DIAGNOSED, UNI.replace("un AS (", "un AS MATERIALIZED ("),
+        select=f"""SELECT side, feature, CAST(horizon AS INT) AS horizon, n, {UNI_OUT} FROM (
+          SELECT 'top' AS side, *, row_number() OVER (PARTITION BY horizon ORDER BY round(ic_ir, 9) DESC NULLS LAST, feature) AS place FROM un UNION ALL
+          SELECT 'bottom', *, row_number() OVER (PARTITION BY horizon ORDER BY round(ic_ir, 9) NULLS LAST, feature) FROM un) WHERE place <= 10""",
     ),
     "m26_modules": sql(
-        LONG, UNI,
-        select="""SELECT CASE WHEN feature LIKE 'ret%' THEN 'price' ELSE 'other' END AS module, count(*) AS n, count(*) FILTER (WHERE abs(ic_ir) > 3) AS n_too_good,
-        arg_max(feature, ic_ir) AS best, arg_min(feature, ic_ir) AS worst FROM un GROUP BY 1""",
+        *DIAGNOSED, UNI, "md(feature, module) AS (VALUES " + ", ".join(f"('{m[0]}', '{m[1]}')" for m in P.METADATA) + ")",
+        select="""SELECT CAST(horizon AS INT) AS horizon, module, count(*) AS n, count(*) FILTER (WHERE abs(ic_ir) > 3) AS n_too_good,
+        arg_max(feature, row(round(ic_ir, 9), feature)) AS best, arg_min(feature, row(round(ic_ir, 9), feature)) AS worst FROM un JOIN md USING (feature) GROUP BY 1, 2""",
     ),
     "m27_dispersion": sql(
         """dp AS (SELECT date, count(*) AS n, stddev_samp(actual_return) AS std, quantile_cont(actual_return, 0.9) - quantile_cont(actual_return, 0.1) AS p10_p90,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.windows import change
+from ..sources.scratch import materialise
 
 TRADE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
@@ -40,6 +41,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bars_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written to the shared folder for a query that reads the panel more than once: trades are scanned once."""
+    return materialise(bars(spark, sf_dir))
+
+
 def market_index(panel: DataFrame) -> DataFrame:
     """date, index_close: the volume-weighted mean close of each date."""
     return panel.groupBy("date").agg(

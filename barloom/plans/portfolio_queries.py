@@ -14,24 +14,26 @@ from .feature_queries import S1, full
 from .market_queries import percentile_sql
 from .metric_queries import BOUNDS, folds, r6
 from ..sources.scratch import materialise
-from .panel import bars, market_index, rounded, with_bars
+from .panel import bars, bars_once, market_index, rounded, with_bars
 
 START, END, EVERY, TOP = "1996-01-01", "2001-06-30", 4, 5
+#: The schedule that all scenarios take their rebalances from.
+FASTEST = 1
 
 
 def scores(panel):
     return per_ticker(panel, ["ret_5d"]).select("date", "ticker", percentile_rank(F.col("ret_5d")).alias("score"))
 
 
-def picked(spark, sf_dir, n=TOP):
-    panel = bars(spark, sf_dir)
-    return B.top_picks(B.scores_as_of(B.schedule(panel, EVERY, START, END), scores(panel)), n)
+def picked(spark, sf_dir, n=TOP, panel=None, every=EVERY):
+    panel = bars_once(spark, sf_dir) if panel is None else panel
+    return B.top_picks(B.scores_as_of(B.schedule(panel, every, START, END), scores(panel)), n)
 
 
-#: strategy, positions, every n-th rebalance of the base schedule, brokerage, slippage scale.
+#: strategy, positions, every n-th rebalance of the fastest schedule, brokerage, slippage scale.
 SCENARIOS = (
-    ("primary", 5, 1, 0.0, 1.0), ("n3", 3, 1, 0.0, 1.0), ("n10", 10, 1, 0.0, 1.0), ("fast", 5, 1, 0.0, 1.0),
-    ("slow", 5, 3, 0.0, 1.0), ("slip2x", 5, 1, 0.0, 2.0), ("brokerage20", 5, 1, 20.0, 1.0),
+    ("primary", 5, 4, 0.0, 1.0), ("n3", 3, 4, 0.0, 1.0), ("n10", 10, 4, 0.0, 1.0), ("fast", 5, 1, 0.0, 1.0),
+    ("slow", 5, 12, 0.0, 1.0), ("slip2x", 5, 4, 0.0, 2.0), ("brokerage20", 5, 4, 20.0, 1.0),
 )
 
 
@@ -42,15 +44,15 @@ def scenarios(spark, names=None):
 
 def trades(spark, sf_dir, names=("primary",)):
     """The legs of the named scenarios: ranks are made once, and each scenario takes its share of them."""
-    s = scenarios(spark, names)
-    p = picked(spark, sf_dir, 10).join(F.broadcast(s), (F.col("rank") <= F.col("n_positions")) & (F.col("k") % F.col("every") == 0))
+    s, panel = scenarios(spark, names), bars_once(spark, sf_dir)
+    p = picked(spark, sf_dir, 10, panel, FASTEST).join(F.broadcast(s), (F.col("rank") <= F.col("n_positions")) & (F.col("k") % F.col("every") == 0))
     p = materialise(p.select("strategy_id", "k", "date", "ticker"))
-    return materialise(B.rebalance(p, bars(spark, sf_dir), s))
+    return materialise(B.rebalance(p, panel, s))
 
 
 def equal_weight(spark, sf_dir):
     """The equal-weight benchmark: every ticker scores the same, and all are positions."""
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     n = panel.select("ticker").distinct().count()
     all_ = B.schedule(panel, EVERY, START, END).join(panel.select("ticker").distinct())
     s = spark.createDataFrame([("equal_weight", n, 1, 0.0, 1.0)], "strategy_id string, n_positions int, every int, brokerage double, slip_scale double")
@@ -59,7 +61,7 @@ def equal_weight(spark, sf_dir):
 
 def series(spark, sf_dir):
     """series, date, total_value: the rebased index, and the compounded mean log return of all tickers."""
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     index = B.rebased(market_index(panel), "index_close").select(F.lit("index").alias("series"), "date", "total_value")
     mean = per_ticker(panel, ["log_ret_1d"]).groupBy("date").agg(F.coalesce(F.avg("log_ret_1d"), F.lit(0.0)).alias("m"))
     w = Window.partitionBy(F.lit(1)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,7 +78,7 @@ def windows(spark):
 
 def leg_values(spark, sf_dir):
     """date, ticker, side, value, adv: a traded value for every bar with a known turnover, its side by the day's direction."""
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     return B.adv(panel).where("adv IS NOT NULL").join(panel, ["date", "ticker"]).select(
         "date", "ticker", F.when(F.col("close") >= F.col("open"), "buy").otherwise("sell").alias("side"), (F.floor(F.col("close") / 10) * 1000.0).alias("value"), "adv"
     )
@@ -91,12 +93,12 @@ def b02_frozen_fold(spark, sf_dir):
 
 
 def b03_scores_as_of(spark, sf_dir):
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     return rounded(B.scores_as_of(B.schedule(panel, EVERY, START, END), scores(panel)))
 
 
 def b03_missing_tickers(spark, sf_dir):
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     return B.missing_scores(B.scores_as_of(B.schedule(panel, EVERY, START, END), scores(panel)), panel.select("ticker").distinct())
 
 
@@ -138,7 +140,7 @@ def b11_daily_mark(spark, sf_dir):
     """Last known price of every ticker on every date of the spine."""
     from ..operators.windows import as_of
 
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     spine = panel.select("date").distinct().join(panel.select("ticker").distinct())
     p = panel.select("ticker", F.col("date").alias("price_date"), F.col("adj_close").alias("price"))
     return rounded(as_of(spine, p, "date", "price_date", by=["ticker"]))
@@ -167,7 +169,7 @@ def b15_sensitivity(spark, sf_dir):
 
 def b16_held_positions(spark, sf_dir):
     """Ten units of each ticker bought at the first bar of June 2000, carried to a later week."""
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     entry = panel.where("date BETWEEN '2000-06-01' AND '2000-06-30'").groupBy("ticker").agg(F.min("date").alias("entry_date"), F.min_by("close", "date").alias("entry_price"))
     before = entry.select("ticker", F.lit(10).alias("qty"), "entry_date", "entry_price", F.col("entry_price").alias("current_mark"))
     return rounded(B.held_positions(before, panel.where("date = '2000-08-07'").select("ticker", "adj_close", "close"), "2000-08-07"))
@@ -186,7 +188,7 @@ def b18_anchor(spark, sf_dir):
 
 
 def b19_complete_days(spark, sf_dir):
-    panel = bars(spark, sf_dir)
+    panel = bars_once(spark, sf_dir)
     return B.complete_days(panel, panel.select("ticker").distinct().count())
 
 
@@ -252,7 +254,8 @@ def q14_second_benchmark(spark, sf_dir):
 
 
 def contributed(spark, sf_dir):
-    return Q.contributions(Q.holding_periods(picked(spark, sf_dir), END), bars(spark, sf_dir))
+    panel = bars_once(spark, sf_dir)
+    return materialise(Q.contributions(Q.holding_periods(picked(spark, sf_dir, TOP, panel), END), panel))
 
 
 def q15_attribution(spark, sf_dir):

@@ -10,6 +10,12 @@ from ..sources.bars import BARS, enforce, upsert
 from ..sources.scratch import materialise
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def bar_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """Bars from Parquet files as they arrive in a folder."""
     return spark.readStream.schema(BARS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
@@ -25,14 +31,9 @@ def append_bars(bars: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     def take(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = enforce(batch)
-        try:
-            stored = spark.read.schema(BARS).parquet(table)
-            tickers = new.select("ticker").distinct()
-            merged = upsert(stored.join(tickers, "ticker", "left_semi").select(new.columns), new)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            merged = upsert(new.limit(0), new)
+        stored = spark.read.schema(BARS).parquet(table) if exists(spark, table) else new.limit(0)
+        tickers = new.select("ticker").distinct()
+        merged = upsert(stored.join(tickers, "ticker", "left_semi").select(new.columns), new)
         merged = materialise(merged.repartition("ticker").sortWithinPartitions("date"))
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(table)
 
@@ -47,3 +48,13 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 m
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")
     )
+
+
+def count_windows(events: DataFrame, table: str, checkpoint: str, **options: str) -> StreamingQuery:
+    """Write the windowed counts to ``table``, as they are after each batch, until all that has arrived is counted."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
+
+    counts = windowed_counts(events, **options).writeStream.outputMode("complete").foreachBatch(put)
+    return counts.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
