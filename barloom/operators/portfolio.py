@@ -1,10 +1,9 @@
-"""Rebalanced top-N portfolios: schedules, picks, costs, slippage, the fold over rebalances, and daily values."""
+"""Rebalanced top-N portfolios: schedules, picks, costs, slippage, the recursion over rebalances, and daily values."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +82,7 @@ def slippage_bps(value: Column, turnover: Column) -> Column:
 
 
 def legs(picks: DataFrame, bars: DataFrame) -> DataFrame:
-    """All that the fold needs of each rebalance: the new picks and those of the rebalance before, with growth and turnover.
+    """All that the recursion needs of each rebalance: the new picks and those of the rebalance before, with growth and turnover.
 
     ``picks`` is (strategy_id, k, date, ticker). Prices are the last known at a date.
     """
@@ -105,72 +104,85 @@ def legs(picks: DataFrame, bars: DataFrame) -> DataFrame:
     return both.select("strategy_id", "k", "date", "ticker", "is_pick", "was_pick", growth.alias("growth"), F.coalesce("adv", F.lit(0.0)).alias("adv"), "price")
 
 
-FOLD = (
-    "strategy_id string, k int, date date, ticker string, side string, trade_value double, cost double, slip_bps double, flag boolean, "
-    "value_after double, cash_after double, equity_before double, price double"
-)
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _step(acc: Column, s: Column, n: Column, fee: Column, scale: Column) -> Column:
+    """The state after one rebalance: cash, the values held, and the trades so far."""
+    before = F.transform(s["legs"], lambda leg: F.coalesce(F.try_element_at(acc["held"], leg["prev"]), F.lit(0.0)) * leg["growth"])
+
+    def traded(leg: Column, now: Column, equity: Column) -> Column:
+        goal = F.when(leg["is_pick"] == 1, equity / n).otherwise(0.0)
 
+        def charged(size: Column) -> Column:
+            side = F.when(size == 0.0, F.lit(None)).when(goal > now, "buy").otherwise("sell")
+            bps = F.when(size == 0.0, 0.0).otherwise(slippage_bps(size, leg["adv"]) * scale)
+            slip = size * bps / 1e4
+            # slippage counts twice: in the price of the trade and as a cost beside the charges
+            cost = F.when(size == 0.0, 0.0).otherwise(trade_costs(size, side, fee)["total"] + slip)
+            held = F.when(leg["is_pick"] == 1, F.when(size == 0.0, now).otherwise(goal)).otherwise(0.0)
+            return F.struct(
+                leg["ticker"].alias("ticker"), side.alias("side"), size.alias("trade_value"), cost.alias("cost"), bps.alias("slip_bps"),
+                held.alias("value_after"), (cost + slip).alias("paid"), leg["price"].alias("price"),
+            )
 
-def _bps(value: float, turnover: float) -> float:
-    share = value / turnover if turnover > 0 else float("inf")
-    if share < SLIPPAGE[0][0]:
-        return SLIPPAGE[0][1]
-    return next((bps for most, bps in SLIPPAGE[1:] if share <= most), WORST_BPS)
-
-
-def _fold(capital: float):
-    def each(rows: pa.Table) -> pa.Table:
-        steps: dict[int, list[dict]] = {}
-        for r in rows.sort_by([("k", "ascending"), ("ticker", "ascending")]).to_pylist():
-            steps.setdefault(r["k"], []).append(r)
-        cash, held, out = capital, {}, []
-        for k, step in steps.items():
-            value = {r["ticker"]: held.get(r["ticker"], 0.0) * r["growth"] for r in step}
-            equity = cash + sum(value.values())
-            n, fee, scale = step[0]["n_positions"], step[0]["brokerage"], step[0]["slip_scale"]
-            cash, held = equity, {}
-            for r in step:
-                now, goal = value[r["ticker"]], equity / n if r["is_pick"] else 0.0
-                gap = goal - now
-                side, cost, bps, size = None, 0.0, 0.0, 0.0
-                if abs(gap) >= 1.0:
-                    side, size = ("buy" if gap > 0 else "sell"), abs(gap)
-                    bps = _bps(size, r["adv"]) * scale
-                    tax = size * STAMP_BUY if gap > 0 else size * STT_SELL
-                    charges = fee + size * EXCHANGE
-                    # slippage counts twice: in the price of the trade and as a cost beside the charges
-                    cost = charges * (1 + GST) + size * SEBI + tax + size * bps / 1e4
-                    cash -= cost + size * bps / 1e4
-                    now = goal
-                if r["is_pick"]:
-                    held[r["ticker"]] = now
-                    cash -= now
-                out.append(
-                    {
-                        "strategy_id": r["strategy_id"], "k": k, "date": r["date"], "ticker": r["ticker"], "side": side, "trade_value": size,
-                        "cost": cost, "slip_bps": bps, "flag": side is not None and bps >= WORST_BPS * scale, "value_after": held.get(r["ticker"], 0.0),
-                        "equity_before": equity, "price": r["price"],
-                    }
-                )
-            for o in out[-len(step) :]:
-                o["cash_after"] = cash
-        names = [x.split()[0] for x in FOLD.split(", ")]
-        types = {"string": pa.string(), "int": pa.int32(), "date": pa.date32(), "double": pa.float64(), "boolean": pa.bool_()}
-        return pa.table({n: pa.array([o[n] for o in out], types[x.split()[1]]) for n, x in zip(names, FOLD.split(", "), strict=True)})
-
-    return each
+        return _bound(F.when(F.abs(goal - now) >= 1.0, F.abs(goal - now)).otherwise(0.0), charged)
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0.0), lambda x, y: x + y)
+
+    def after(legs: Column, equity: Column) -> Column:
+        cash = equity - total(F.transform(legs, lambda x: x["paid"] + x["value_after"]))
+        done = F.struct(s["k"].alias("k"), s["date"].alias("date"), equity.alias("equity_before"), cash.alias("cash_after"), legs.alias("legs"))
+        held = F.transform(legs, lambda x: x["value_after"])
+        return F.struct(cash.alias("cash"), held.alias("held"), F.concat(acc["done"], F.array(done)).alias("done"))
+
+    def with_values(now: Column) -> Column:
+        return _bound(
+            acc["cash"] + total(now),
+            lambda equity: _bound(F.zip_with(s["legs"], now, lambda leg, x: traded(leg, x, equity)), lambda legs: after(legs, equity)),
+        )
+
+    return _bound(before, with_values)
+
+
+DONE = (
+    "array<struct<k:int,date:date,equity_before:double,cash_after:double,legs:array<struct<ticker:string,side:string,trade_value:double,"
+    "cost:double,slip_bps:double,value_after:double,paid:double,price:double>>>>"
+)
 
 
 def rebalance(picks: DataFrame, bars: DataFrame, scenarios: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
     """The legs of every rebalance of every strategy with side, value, cost and what is held and left in cash after it.
 
     A rebalance splits the equity evenly over ``n_positions``; gaps under 1 are left alone, and what remains of a
-    dropped name then is taken as cash. The value at one rebalance follows from that before, so a strategy is one
-    group, as long as its number of rebalances times positions; strategies and scenarios run in parallel.
+    dropped name then is taken as cash. Prices, growth and turnover of all legs are joins and windows; what is left
+    is a recursion in the equity of a strategy, as its value at one rebalance follows from that before. It is one
+    aggregate over the array of a strategy's rebalances, whose legs point to their place in the rebalance before.
+    Strategies and scenarios run in parallel, and an array is as long as the calendar has rebalances.
     ``scenarios`` has strategy_id, n_positions, brokerage and slip_scale.
     """
-    rows = legs(picks, bars).join(scenarios.select("strategy_id", "n_positions", "brokerage", "slip_scale"), "strategy_id")
-    return rows.groupBy("strategy_id").applyInArrow(_fold(capital), FOLD)
+    rows = legs(picks, bars)
+    place = F.row_number().over(Window.partitionBy("strategy_id", "k").orderBy("ticker"))
+    rows = rows.withColumn("i", place)
+    earlier = F.lag("i").over(Window.partitionBy("strategy_id", "ticker").orderBy("k"))
+    rows = rows.withColumn("prev", F.when(F.col("was_pick") == 1, earlier))
+    leg = F.struct("i", "ticker", "is_pick", "growth", "adv", "price", F.coalesce("prev", F.lit(1 << 30)).alias("prev"))
+    steps = rows.groupBy("strategy_id", "k", "date").agg(F.array_sort(F.collect_list(leg)).alias("legs"))
+    steps = steps.groupBy("strategy_id").agg(F.array_sort(F.collect_list(F.struct("k", "date", "legs"))).alias("steps"))
+    steps = steps.join(scenarios.select("strategy_id", "n_positions", "brokerage", "slip_scale"), "strategy_id")
+    none = F.struct(F.lit(float(capital)).alias("cash"), F.array().cast("array<double>").alias("held"), F.array().cast(DONE).alias("done"))
+    n, fee, scale = F.col("n_positions").cast("double"), F.col("brokerage"), F.col("slip_scale")
+    done = F.aggregate("steps", none, lambda acc, s: _step(acc, s, n, fee, scale), lambda acc: acc["done"])
+    out = steps.select("strategy_id", "slip_scale", F.explode(done).alias("d")).select("strategy_id", "slip_scale", "d.*")
+    out = out.select("strategy_id", "slip_scale", "k", "date", "equity_before", "cash_after", F.explode("legs").alias("x"))
+    flag = F.col("x.side").isNotNull() & (F.col("x.slip_bps") >= WORST_BPS * F.col("slip_scale"))
+    return out.select(
+        "strategy_id", "k", "date", "x.ticker", "x.side", "x.trade_value", "x.cost", "x.slip_bps", flag.alias("flag"), "x.value_after",
+        "cash_after", "equity_before", "x.price",
+    )
 
 
 def daily_values(trades: DataFrame, bars: DataFrame) -> DataFrame:

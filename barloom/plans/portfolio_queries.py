@@ -46,7 +46,7 @@ def trades(spark, sf_dir, names=("primary",)):
     """The legs of the named scenarios: ranks are made once, and each scenario takes its share of them."""
     s, panel = scenarios(spark, names), bars_once(spark, sf_dir)
     p = picked(spark, sf_dir, 10, panel, FASTEST).join(F.broadcast(s), (F.col("rank") <= F.col("n_positions")) & (F.col("k") % F.col("every") == 0))
-    p = materialise(p.select("strategy_id", "k", "date", "ticker"))
+    p = materialise(p.select("strategy_id", (F.col("k") / F.col("every")).cast("int").alias("k"), "date", "ticker"))
     return materialise(B.rebalance(p, panel, s))
 
 
@@ -124,16 +124,32 @@ def b08_slippage(spark, sf_dir):
     return v.select("date", "ticker", bps.alias("bps"), (bps >= B.WORST_BPS).alias("flag"))
 
 
+def _shares(values):
+    """Daily values as growth of the capital and shares of the value: the panel's prices jump, and equity with them."""
+    total = F.col("total_value")
+    return rounded(
+        values.select(
+            "strategy_id", "date", "n_positions", F.ln(total / 1_000_000.0).alias("log_growth"), (F.col("cash") / total).alias("cash_share"),
+            (F.col("gross_value") / total).alias("gross_share"),
+        )
+    )
+
+
 def b09_trade_legs(spark, sf_dir):
-    return rounded(trades(spark, sf_dir).where("side IS NOT NULL").select("k", "date", "ticker", "side", "trade_value", "cost", "slip_bps", "flag"), 2)
+    share, cost = F.col("trade_value") / F.col("equity_before"), 1e4 * F.col("cost") / F.col("trade_value")
+    t = trades(spark, sf_dir).where("side IS NOT NULL")
+    return rounded(t.select("k", "date", "ticker", "side", share.alias("share_of_equity"), cost.alias("cost_bps"), "slip_bps", "flag"))
 
 
 def b10_portfolio(spark, sf_dir):
-    return rounded(B.daily_values(trades(spark, sf_dir), bars(spark, sf_dir)), 2)
+    return _shares(B.daily_values(trades(spark, sf_dir), bars_once(spark, sf_dir)))
 
 
 def b10_rebalance_log(spark, sf_dir):
-    return rounded(B.rebalance_log(trades(spark, sf_dir)), 2).withColumn("picks", F.array_join("picks", ","))
+    t = trades(spark, sf_dir)
+    equity = t.groupBy("k").agg(F.max("equity_before").alias("equity"))
+    log = B.rebalance_log(t).join(equity, "k").withColumn("cost_share", F.col("total_cost") / F.col("equity"))
+    return rounded(log.withColumn("picks", F.array_join("picks", ",")).drop("total_cost", "equity"))
 
 
 def b11_daily_mark(spark, sf_dir):
@@ -147,7 +163,7 @@ def b11_daily_mark(spark, sf_dir):
 
 
 def b12_equal_weight(spark, sf_dir):
-    return rounded(B.daily_values(equal_weight(spark, sf_dir), bars(spark, sf_dir)), 2)
+    return _shares(B.daily_values(equal_weight(spark, sf_dir), bars_once(spark, sf_dir)))
 
 
 def b13_daily_returns(spark, sf_dir):
@@ -160,10 +176,10 @@ def b14_rebased_index(spark, sf_dir):
 
 def b15_sensitivity(spark, sf_dir):
     t = trades(spark, sf_dir, None)
-    v = B.daily_values(t, bars(spark, sf_dir)).withColumnRenamed("strategy_id", "series")
+    v = B.daily_values(t, bars_once(spark, sf_dir)).withColumnRenamed("strategy_id", "series")
     r = B.returns(v).where("ret IS NOT NULL")
-    s = r.groupBy("series").agg(Q.cagr(F.col("ret")).alias("cagr"), Q.sharpe(F.col("ret")).alias("sharpe"))
-    cost = t.groupBy(F.col("strategy_id").alias("series")).agg(F.sum("cost").alias("total_cost"), F.countDistinct("k").alias("n_rebalances"))
+    s = r.groupBy("series").agg(F.log1p(Q.cagr(F.col("ret"))).alias("log_cagr"), Q.sharpe(F.col("ret")).alias("sharpe"))
+    cost = t.groupBy(F.col("strategy_id").alias("series")).agg(F.log10(F.sum("cost")).alias("log10_cost"), F.countDistinct("k").alias("n_rebalances"))
     return rounded(s.join(cost, "series"), 4)
 
 
@@ -231,9 +247,9 @@ def q10_windows(spark, sf_dir):
 
 def q11_headline(spark, sf_dir):
     t = trades(spark, sf_dir)
-    v = B.daily_values(t, bars(spark, sf_dir)).select(F.lit("primary").alias("series"), "date", "total_value").unionByName(series(spark, sf_dir))
-    cost = t.agg(F.sum("cost").alias("total_cost"), F.countDistinct("k").alias("n_rebalances"), F.count_if("flag").alias("n_flagged"))
-    b = Q.bundle(v, "mean").select("series", "cagr", "volatility", "sharpe", "max_drawdown")
+    v = B.daily_values(t, bars_once(spark, sf_dir)).select(F.lit("primary").alias("series"), "date", "total_value").unionByName(series(spark, sf_dir))
+    cost = t.agg(F.log10(F.sum("cost")).alias("log10_cost"), F.countDistinct("k").alias("n_rebalances"), F.count_if("flag").alias("n_flagged"))
+    b = Q.bundle(v, "mean").select("series", F.log1p("cagr").alias("log_cagr"), "volatility", "sharpe", "max_drawdown")
     return rounded(b.join(F.broadcast(cost)), 4)
 
 
@@ -388,7 +404,121 @@ def _regress(table: str, name: str) -> str:
 
 
 GROW = "exp(sum(ln(1 + ret)))"
+
+def _scenario_rows(names=None) -> str:
+    return ", ".join(f"('{a}', {n}, {e}, {f}, {x})" for a, n, e, f, x in SCENARIOS if names is None or a in names)
+
+
+def recursion_sql(scenarios: str, picks: str) -> tuple[str, ...]:
+    """CTEs up to ``trd``, the legs of all rebalances, and ``dv``, the daily values: a recursion over a strategy's rebalances."""
+    fee = "r.brokerage"
+    return (
+        f"scen(strategy_id, n_positions, every, brokerage, slip_scale) AS (VALUES {scenarios})",
+        picks,
+        "dts AS (SELECT DISTINCT strategy_id, k, date FROM pk)",
+        """lg0 AS (SELECT strategy_id, k, ticker, max(p) AS is_pick, max(w) AS was_pick FROM (
+          SELECT strategy_id, k, ticker, 1 AS p, 0 AS w FROM pk UNION ALL SELECT strategy_id, k + 1, ticker, 0, 1 FROM pk) GROUP BY 1, 2, 3)""",
+        """lg1 AS (SELECT l.*, d.date, p.date AS prev_date FROM lg0 l JOIN dts d USING (strategy_id, k)
+          LEFT JOIN dts p ON p.strategy_id = l.strategy_id AND p.k = l.k - 1)""",
+        f"px AS MATERIALIZED (SELECT ticker, date AS pd, adj_close, {full('avg', 'close * volume', 20)} AS adv FROM bars)",
+        "lg2 AS (SELECT lg1.*, px.adj_close AS price, px.adv FROM lg1 ASOF LEFT JOIN px ON lg1.ticker = px.ticker AND lg1.date >= px.pd)",
+        "lg3 AS (SELECT lg2.*, px.adj_close AS before FROM lg2 ASOF LEFT JOIN px ON lg2.ticker = px.ticker AND lg2.prev_date >= px.pd)",
+        """lg4 AS (SELECT *, CASE WHEN was_pick = 1 THEN coalesce(price / nullif(before, 0), 1) ELSE 1 END AS growth,
+          row_number() OVER (PARTITION BY strategy_id, k ORDER BY ticker) AS i FROM lg3)""",
+        "lg5 AS (SELECT *, CASE WHEN was_pick = 1 THEN lag(i) OVER (PARTITION BY strategy_id, ticker ORDER BY k) END AS prev FROM lg4)",
+        """stp AS MATERIALIZED (SELECT strategy_id, k, date, list(struct_pack(ticker := ticker, is_pick := is_pick, growth := CAST(growth AS DOUBLE),
+          adv := coalesce(adv, 0), price := price, prev := coalesce(prev, 0)) ORDER BY i) AS legs FROM lg5 GROUP BY ALL)""",
+        f"""rec AS (
+          SELECT strategy_id, n_positions, brokerage, slip_scale, CAST(-1 AS BIGINT) AS k, CAST(NULL AS DATE) AS date, CAST(0 AS DOUBLE) AS equity, CAST(1000000 AS DOUBLE) AS cash,
+            CAST([] AS DOUBLE[]) AS held, CAST([] AS STRUCT(ticker VARCHAR, side VARCHAR, size DOUBLE, cost DOUBLE, bps DOUBLE, value DOUBLE, paid DOUBLE, price DOUBLE)[]) AS out
+          FROM scen
+          UNION ALL
+          SELECT strategy_id, n_positions, brokerage, slip_scale, k, date, equity, equity - list_sum(list_transform(out, lambda x: x.paid + x.value)) AS cash,
+            list_transform(out, lambda x: x.value) AS held, out
+          FROM (SELECT *, list_transform(w4, lambda x: struct_pack(ticker := x.ticker, side := CASE WHEN x.size = 0 THEN NULL WHEN x.goal > x.now THEN 'buy' ELSE 'sell' END,
+              size := x.size, cost := x.cost, bps := x.bps, value := CASE WHEN x.is_pick = 1 THEN (CASE WHEN x.size = 0 THEN x.now ELSE x.goal END) ELSE 0.0 END,
+              paid := x.cost + x.size * x.bps / 1e4, price := x.price)) AS out
+          FROM (SELECT *, list_transform(w3, lambda x: struct_insert(x, cost := CASE WHEN x.size = 0 THEN 0.0 ELSE
+              ({fee} + x.size * {B.EXCHANGE}) * {1 + B.GST} + x.size * {B.SEBI} + x.size * (CASE WHEN x.goal > x.now THEN {B.STAMP_BUY} ELSE {B.STT_SELL} END)
+              + x.size * x.bps / 1e4 END)) AS w4
+          FROM (SELECT *, list_transform(w2, lambda x: struct_insert(x, bps := CASE WHEN x.size = 0 THEN 0.0 ELSE r.slip_scale * CASE WHEN x.adv <= 0 THEN {B.WORST_BPS}
+              WHEN x.size / x.adv < {B.SLIPPAGE[0][0]} THEN {B.SLIPPAGE[0][1]} WHEN x.size / x.adv <= {B.SLIPPAGE[1][0]} THEN {B.SLIPPAGE[1][1]}
+              WHEN x.size / x.adv <= {B.SLIPPAGE[2][0]} THEN {B.SLIPPAGE[2][1]} ELSE {B.WORST_BPS} END END)) AS w3
+          FROM (SELECT *, list_transform(w1, lambda x: struct_insert(x, size := CASE WHEN abs(x.goal - x.now) >= 1 THEN abs(x.goal - x.now) ELSE 0.0 END)) AS w2
+          FROM (SELECT *, list_transform(w0, lambda x: struct_insert(x, goal := CASE WHEN x.is_pick = 1 THEN r.equity / r.n_positions ELSE 0.0 END)) AS w1
+          FROM (SELECT *, r.cash + list_sum(list_transform(w0, lambda x: x.now)) AS equity
+          FROM (SELECT r.strategy_id, r.n_positions, r.brokerage, r.slip_scale, r.cash, s.k, s.date,
+              list_transform(s.legs, lambda x: struct_insert(x, now := coalesce(r.held[x.prev], 0.0) * x.growth)) AS w0
+            FROM rec r JOIN stp s ON s.strategy_id = r.strategy_id AND s.k = r.k + 1) r) r) r) r) r) r))""",
+        """trd AS (SELECT strategy_id, k, date, cash, equity, slip_scale, x.ticker AS ticker, x.side AS side, x.size AS trade_value, x.cost AS cost, x.bps AS slip_bps,
+          x.value AS value_after, x.price AS price FROM (SELECT *, unnest(out) AS x FROM rec WHERE k >= 0))""",
+        """dys AS (SELECT t.strategy_id, d.date, t.k, t.cash FROM (SELECT strategy_id, date, k, cash FROM rec WHERE k >= 0) t
+          JOIN (SELECT DISTINCT date FROM bars) d ON d.date >= t.date QUALIFY row_number() OVER (PARTITION BY t.strategy_id, d.date ORDER BY t.date DESC) = 1)""",
+        """hv AS (SELECT y.strategy_id, y.date, h.ticker, h.value_after, h.price FROM dys y JOIN trd h ON h.strategy_id = y.strategy_id AND h.k = y.k AND h.value_after > 0)""",
+        """hg AS (SELECT strategy_id, date, sum(value_after * coalesce(now / nullif(price, 0), 1)) AS gross_value, count(*) AS n_positions
+          FROM (SELECT hv.*, px.adj_close AS now FROM hv ASOF LEFT JOIN px ON hv.ticker = px.ticker AND hv.date >= px.pd) GROUP BY 1, 2)""",
+        """dv AS (SELECT y.strategy_id, y.date, coalesce(gross_value, 0) + cash AS total_value, cash, coalesce(n_positions, 0) AS n_positions, coalesce(gross_value, 0) AS gross_value
+          FROM dys y LEFT JOIN hg USING (strategy_id, date))""",
+    )
+
+
+def _recursive(*ctes: str, select: str) -> str:
+    return with_bars(*ctes, select=select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+FASTEST_SCHEDULE = SCHEDULE.replace(f"% {EVERY} =", f"% {FASTEST} =").replace(f"n / {EVERY} AS", f"n / {FASTEST} AS")
+TOP_OF = "pk AS (SELECT strategy_id, CAST(k / every AS INT) AS k, date, ticker FROM pck JOIN scen ON rank <= n_positions AND k % every = 0)"
+PRIMARY = (S1, FASTEST_SCHEDULE, SCORES, PICKS, *recursion_sql(_scenario_rows(("primary",)), TOP_OF))
+EVERY_SCENARIO = (S1, FASTEST_SCHEDULE, SCORES, PICKS, *recursion_sql(_scenario_rows(), TOP_OF))
+EQUAL = (
+    SCHEDULE,
+    *recursion_sql(
+        "('equal_weight', (SELECT count(DISTINCT ticker) FROM bars), 1, 0.0, 1.0)",
+        "pk AS (SELECT 'equal_weight' AS strategy_id, k, date, ticker FROM sch, (SELECT DISTINCT ticker FROM bars))",
+    ),
+)
+
+
+def _r4(*names: str) -> str:
+    return ", ".join(f"round({n}, 4) + 0.0 AS {n}" for n in names)
+
+
+DAILY = """SELECT strategy_id, date, n_positions, round(ln(total_value / 1000000), 6) + 0.0 AS log_growth, round(cash / total_value, 6) + 0.0 AS cash_share,
+  round(gross_value / total_value, 6) + 0.0 AS gross_share FROM dv"""
+
+
 ORACLE_SQL = {
+    "b09_trade_legs": _recursive(
+        *PRIMARY,
+        select=f"""SELECT k, date, ticker, side, round(trade_value / equity, 6) + 0.0 AS share_of_equity, round(1e4 * cost / trade_value, 6) + 0.0 AS cost_bps,
+        round(slip_bps, 6) + 0.0 AS slip_bps, slip_bps >= {B.WORST_BPS} * slip_scale AS flag FROM trd WHERE side IS NOT NULL""",
+    ),
+    "b10_portfolio": _recursive(*PRIMARY, select=DAILY),
+    "b10_rebalance_log": _recursive(
+        *PRIMARY,
+        select=f"""SELECT strategy_id, k, date, count(*) FILTER (WHERE value_after > 0) AS n_picks, coalesce(string_agg(ticker, ',' ORDER BY ticker) FILTER (WHERE value_after > 0), '') AS picks,
+        count(side) AS n_trades, count(*) FILTER (WHERE side IS NOT NULL AND slip_bps >= {B.WORST_BPS} * slip_scale) AS n_problematic_trades, round(sum(cost) / max(equity), 6) + 0.0 AS cost_share
+        FROM trd GROUP BY 1, 2, 3""",
+    ),
+    "b12_equal_weight": _recursive(*EQUAL, select=DAILY),
+    "b15_sensitivity": _recursive(
+        *EVERY_SCENARIO,
+        "rt AS (SELECT * FROM (SELECT strategy_id AS series, total_value / lag(total_value) OVER (PARTITION BY strategy_id ORDER BY date) - 1 AS ret FROM dv) WHERE ret IS NOT NULL)",
+        f"st AS (SELECT series, pow({GROW}, 252.0 / count(*)) - 1 AS cagr, (avg(ret) - {RF}) / stddev_samp(ret) * sqrt(252) AS sharpe FROM rt GROUP BY series)",
+        "ct AS (SELECT strategy_id AS series, sum(cost) AS total_cost, count(DISTINCT k) AS n_rebalances FROM trd GROUP BY 1)",
+        select="SELECT series, n_rebalances, round(ln(1 + cagr), 4) + 0.0 AS log_cagr, round(sharpe, 4) + 0.0 AS sharpe, round(log10(total_cost), 4) + 0.0 AS log10_cost FROM st JOIN ct USING (series)",
+    ),
+    "q11_headline": _recursive(
+        *PRIMARY, SERIES.split("ret AS (")[0].rstrip().rstrip(","),
+        "sv AS (SELECT 'primary' AS series, date, total_value FROM dv UNION ALL SELECT * FROM ser)",
+        "rt AS (SELECT * FROM (SELECT *, total_value / lag(total_value) OVER (PARTITION BY series ORDER BY date) - 1 AS ret FROM sv) WHERE ret IS NOT NULL)",
+        "md AS (SELECT series, min(d) AS max_drawdown FROM (SELECT series, total_value / max(total_value) OVER (PARTITION BY series ORDER BY date) - 1 AS d FROM sv) GROUP BY 1)",
+        f"""st AS (SELECT series, pow({GROW}, 252.0 / count(*)) - 1 AS cagr, stddev_samp(ret) * sqrt(252) AS volatility,
+        (avg(ret) - {RF}) / stddev_samp(ret) * sqrt(252) AS sharpe FROM rt GROUP BY series)""",
+        f"""ct AS (SELECT sum(cost) AS total_cost, count(DISTINCT k) AS n_rebalances, count(*) FILTER (WHERE side IS NOT NULL AND slip_bps >= {B.WORST_BPS} * slip_scale) AS n_flagged FROM trd)""",
+        select=f"""SELECT series, n_rebalances, n_flagged, round(ln(1 + cagr), 4) + 0.0 AS log_cagr, {_r4('volatility', 'sharpe', 'max_drawdown')},
+        round(log10(total_cost), 4) + 0.0 AS log10_cost FROM st JOIN md USING (series), ct""",
+    ),
     "b01_fold_routing": with_bars(SCHEDULE, FB, select=ROUTE.format(f="fb")),
     "b02_frozen_fold": with_bars(SCHEDULE, FB, select=ROUTE.format(f="(SELECT * FROM fb WHERE fold_id = 2)")),
     "b03_scores_as_of": with_bars(S1, SCHEDULE, SCORES, select=f"SELECT k, date, score_date, ticker, {r6('score')} FROM soa"),
