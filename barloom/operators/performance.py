@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .portfolio import returns
 from .windows import as_of
@@ -58,31 +56,19 @@ def max_drawdown(values: DataFrame, by: Sequence[str] = ("series",)) -> DataFram
     return d.groupBy(*by).agg(F.min("m").alias("max_drawdown"), F.max("n").alias("longest_underwater"))
 
 
-def t_tail(t: float, df: float) -> float:
-    """Two-sided tail of Student's t by the continued fraction of the incomplete beta function."""
-    x, a, b = df / (df + t * t), df / 2.0, 0.5
-    if x <= 0.0 or x >= 1.0:
-        return max(0.0, min(1.0, x))
-    flip = x > (a + 1) / (a + b + 2)
-    if flip:
-        x, a, b = 1 - x, b, a
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    c, d = 1.0, 1.0 / max(1e-300, 1 - (a + b) * x / (a + 1))
-    h = d
-    for m in range(1, 300):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 / (1 + num * d)
-            c = 1 + num / c
-            h *= d * c
-        if abs(d * c - 1) < 1e-13:
-            break
-    return 1 - front * h if flip else front * h
-
-
-@F.pandas_udf(T.DoubleType())
-def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p-values, one per series."""
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else t_tail(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
+def p_value(t: Column, df: Column, steps: int = 20_000) -> Column:
+    """Two-sided p-value of Student's t >= 0: the share of the integral of cos^(df - 1) that lies beyond atan(t / sqrt(df)).
+
+    Both integrals are sums over ``steps`` midpoints, so that this is an expression like any other: one row per series.
+    Further than 12 / sqrt(df) on, a share of e^-72 is left.
+    """
+
+    def integral(start: Column) -> Column:
+        h = F.least(F.lit(math.pi / 2) - start, 12.0 / F.sqrt(df.cast("double"))) / steps
+        points = F.sequence(F.lit(0), F.lit(steps - 1))
+        return h * F.aggregate(points, F.lit(0.0), lambda total, i: total + F.pow(F.cos(start + (i + 0.5) * h), df - 1))
+
+    return integral(F.atan(t / F.sqrt(df.cast("double")))) / integral(F.lit(0.0))
 
 
 def alpha_beta(pairs: DataFrame, by: Sequence[str] = ("series",), y: str = "ret", x: str = "bench") -> DataFrame:

@@ -396,11 +396,22 @@ def _cost_sql(fee: float) -> str:
     )
 
 
-def _regress(table: str, name: str) -> str:
-    return f"""SELECT series, round(alpha, 6) + 0.0 AS alpha, round(beta, 6) + 0.0 AS beta, round(alpha / sqrt(sse / (n - 2) * (1.0 / n + mx * mx / (n * vp))), 6) + 0.0 AS t FROM (
+T_STAT = "alpha / sqrt(sse / (n - 2) * (1.0 / n + mx * mx / (n * vp)))"
+
+
+def _beyond(start: str) -> str:
+    """The integral of cos^(n - 3) from ``start`` to a right angle, by midpoints."""
+    h = f"(least(pi() / 2 - {start}, 12 / sqrt(n - 2)) / 20000)"
+    return f"({h} * list_sum(list_transform(range(20000), lambda i: pow(cos({start} + (i + 0.5) * {h}), n - 3))))"
+
+
+def _regress(table: str, name: str, p_value: bool = False) -> str:
+    tail = f", round({_beyond('theta')} / {_beyond('0.0')}, 6) + 0.0 AS p_value" if p_value else ""
+    return f"""SELECT series, round(alpha, 6) + 0.0 AS alpha, round(beta, 6) + 0.0 AS beta, round(t, 6) + 0.0 AS t{tail} FROM (
+      SELECT *, {T_STAT} AS t, atan(abs({T_STAT}) / sqrt(n - 2)) AS theta FROM (
       SELECT *, my - beta * mx AS alpha, n * (vy - 2 * beta * cov + beta * beta * vp) AS sse FROM (
       SELECT series, count(*) AS n, avg(ret) AS my, avg(bench) AS mx, covar_pop(ret, bench) AS cov, var_pop(ret) AS vy, var_pop(bench) AS vp,
-        covar_pop(ret, bench) / var_samp(bench) AS beta FROM {table} WHERE series = '{name}' GROUP BY series))"""
+        covar_pop(ret, bench) / var_samp(bench) AS beta FROM {table} WHERE series = '{name}' GROUP BY series)))"""
 
 
 GROW = "exp(sum(ln(1 + ret)))"
@@ -567,6 +578,7 @@ ORACLE_SQL = {
         SERIES, select=f"SELECT ret.series, round((pow({GROW}, 252.0 / count(*)) - 1) / abs(any_value(max_drawdown)), 4) + 0.0 AS calmar FROM ret JOIN mdd ON ret.series = mdd.series GROUP BY 1"
     ),
     "q07_alpha_beta": with_bars(SERIES, select=_regress("prs", "index")),
+    "q07_p_value": with_bars(SERIES, select=_regress("prs", "index", True)),
     "q08_information_ratio": with_bars(
         SERIES, select="SELECT series, round(avg(ret - bench) / stddev_samp(ret - bench) * sqrt(252), 6) + 0.0 AS information_ratio FROM prs WHERE series = 'index' GROUP BY series"
     ),

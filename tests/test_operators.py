@@ -1,7 +1,8 @@
-"""Rules of warm-up, ties, nulls and recursion on hand-made panels, and the portfolio fold against a plain loop."""
+"""Rules of warm-up, ties, nulls and recursion on hand-made panels, and the portfolio recursion against a plain loop."""
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,10 +97,26 @@ def test_permutations_are_centred(spark):
     assert found.p_value == 0.0 and abs(found.null_mean) < 0.1 and null.count() == 30
 
 
-def test_t_tail():
-    assert performance.t_tail(0.0, 10) == pytest.approx(1.0)
-    assert performance.t_tail(2.228, 10) == pytest.approx(0.05, abs=1e-4)
-    assert performance.t_tail(1.96, 1e6) == pytest.approx(0.05, abs=1e-4)
+def test_permutations_of_many_features_are_those_of_one(spark):
+    rng = random.Random(2)
+    rows = []
+    for d in range(8):
+        for i in range(12):
+            x = None if rng.random() < 0.1 else float(rng.randint(0, 5))
+            rows.append((DAY + dt.timedelta(d), f"T{i}", x, rng.random(), None if rng.random() < 0.1 else rng.random(), 1.0))
+    df = spark.createDataFrame(rows, "date date, ticker string, f double, g double, actual_return double, flat double")
+    many = {(r.feature, r.draw): r.ic_mean for r in metrics.permuted_feature_ics(df, ["f", "g", "flat"], "actual_return", 20, seed=3).collect()}
+    assert {k[0] for k in many} == {"f", "g"} and len(many) == 40
+    for name in ("f", "g"):
+        one = metrics.permuted_ics(df.withColumn("predicted_proba", F.col(name)), 20, seed=3).collect()
+        assert {(name, r.draw): pytest.approx(r.ic_mean) for r in one} == {k: v for k, v in many.items() if k[0] == name}
+    assert metrics.permuted_feature_ics(df.limit(0), ["f"], "actual_return", 5).collect() == []
+
+
+@pytest.mark.parametrize("t,df,want", [(0.0, 10, 1.0), (2.228, 10, 0.05), (1.96, 1_000_000, 0.05), (12.706, 1, 0.05), (3.499, 7, 0.01), (3.3, 350, 0.001067)])
+def test_p_value_of_student_t(spark, t, df, want):
+    one = spark.range(1).select(performance.p_value(F.lit(t), F.lit(df)).alias("p")).first()
+    assert one.p == pytest.approx(want, abs=2e-5)
 
 
 def plain_portfolio(prices, picks, n, capital):

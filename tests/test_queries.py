@@ -11,7 +11,8 @@ from barloom import plans
 SOME = [
     "f01_returns", "f14_vol_regime", "f18_adx", "f22_supertrend", "f43_trend_strength", "x04_return_score", "x08_beta", "r05_mean_correlation", "p01_feature_join",
     "l04_demeaned_return", "t05_folds", "m08_daily_rank_ic", "m12_bundle", "m23_univariate", "b05_top_picks", "b07_flat_brokerage", "q09_bundle", "q17_counterfactual",
-    "o04_upsert", "v_all_rules", "c10_snap", "d07_regime_label", "d16_rank_movement", "streaming_append",
+    "o04_upsert", "v_all_rules", "c10_snap", "d07_regime_label", "d16_rank_movement", "streaming_append", "streaming_windows", "p05_metadata", "m19_significance",
+    "m25_extremes", "b09_trade_legs", "b12_equal_weight", "b15_sensitivity", "q07_p_value", "q15_attribution", "r06_wide_returns",
 ]
 
 
@@ -47,6 +48,19 @@ def test_entry(spark, sf_dir):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("name", ["p01_feature_join", "t01_training_table", "q15_attribution", "r05_mean_correlation", "b03_scores_as_of", "m23_univariate"])
+def test_trades_are_not_scanned_again_and_nothing_is_multiplied(spark, sf_dir, name):
+    """The panel of a query is written once, so its plan reads no trades, and no join is a product of two tables."""
+    plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "l_shipdate" not in plan and "CartesianProduct" not in plan
+
+
+def test_models_of_all_folds(spark, sf_dir):
+    found = plans.QUERIES["t09_importance"](spark, sf_dir).groupBy("fold_id").agg({"importance": "sum"}).collect()
+    folds = plans.QUERIES["t05_folds"](spark, sf_dir).select("fold_id").collect()
+    assert {r[0] for r in found} == {r[0] for r in folds} and all(abs(r[1] - 1) < 1e-6 for r in found)
+
+
 def test_one_shuffle_of_the_panel_by_ticker(spark, sf_dir):
     """All windows of the per-ticker features share one partitioning: bars are shuffled once, by ticker."""
     from barloom.functions.features import per_ticker
