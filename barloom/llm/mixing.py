@@ -82,6 +82,20 @@ def _round_group(rows: pa.Table) -> pa.Table:
     return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
 
+def _parted(open_: DataFrame, per_group: int) -> tuple[DataFrame, bool]:
+    """``open_`` with ``part``, and whether there is more than one: a bucket twice as large as ``per_group`` is dealt by row number.
+
+    Only rows that repeat an id and its text make a bucket so large, as they share a hash.
+    """
+    large = open_.groupBy("source", "bucket").count().where(F.col("count") > 2 * per_group)
+    large = materialise(large.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.ceil(F.col("count") / per_group).alias("parts")))
+    if large.isEmpty():
+        return open_.withColumn("part", F.lit(0).cast("long")), False
+    at = open_["source"].eqNullSafe(large["s"]) & (open_["bucket"] == large["b"])
+    part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))
+    return open_.join(large, at, "left").withColumn("part", part).drop("s", "b", "parts"), True
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -106,7 +120,7 @@ def mix_sources(
     Groups, order and draws come from hashes of ids, texts and ``seed``, so a rerun agrees on any cluster. Null texts
     and texts without words have size 0 and are taken 0 words (their copies follow the whole part); null sources
     are one source, the last; rows that repeat an id, or have none, are documents of their own, told apart by their
-    texts (rows of one id and one text fall in one group); an empty table gives an empty result. Extra columns are
+    texts, and rows of one id and one text by their place in the input, which decides only between them; an empty table gives an empty result. Extra columns are
     ignored, but ``row_col``, a long that tells rows apart, comes along where it is named.
     """
     sized = materialise(
@@ -115,7 +129,7 @@ def mix_sources(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("hash"),
-            (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).cast("long").alias("row"),
         )
     )
     targets = materialise(source_targets(sized, weights, share, most))
@@ -137,19 +151,20 @@ def mix_sources(
     shape = "id long, source string, size long, source_size long, target double, base long, p double, hash long, draw double, bucket long, row long"
     shape = shape.replace("id long", f"id {sized.schema['id'].dataType.simpleString()}", 1)
     names = [x.split()[0] for x in shape.split(", ")]
-    done, open_ = [], rows.select(names)
-    for level in range(len(levels)):
-        rounded = materialise(open_.groupBy("source", "bucket").applyInArrow(_round_group, shape))
+    done, open_, level, split = [], rows.select(names), 0, True
+    while level < len(levels) or split:
+        dealt, split = _parted(open_, per_group)
+        rounded = materialise(dealt.groupBy("source", "bucket", "part").applyInArrow(_round_group, f"{shape}, part long")).drop("part")
         is_open = (F.col("p") > 0) & (F.col("p") < 1)
-        last = level == len(levels) - 1
-        if last:
+        level += 1
+        if level >= len(levels) and not split:
             rounded = rounded.withColumn("p", F.when(is_open, F.round("p")).otherwise(F.col("p")))
             done.append(rounded)
         else:
             done.append(rounded.where(~is_open))
             open_ = (
                 rounded.where(is_open)
-                .withColumn("draw", F.shiftrightunsigned(F.xxhash64("hash", F.lit(level)), 32).cast("double"))
+                .withColumn("draw", F.shiftrightunsigned(F.xxhash64("hash", F.lit(level - 1)), 32).cast("double"))
                 .withColumn("bucket", F.floor(F.col("bucket") / per_group))
             )
     out = done[0]

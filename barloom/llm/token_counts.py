@@ -21,6 +21,7 @@ REDACTIONS: Mapping[str, str] = {
     "<phone>": r"\+?\d[\d ()-]{7,}\d",
 }
 
+STATE = "text string, n_tokens long, block_chars array<int>, block_tokens array<int>"
 EDITS = "array<struct<start:int,stop:int,text:string>>"
 
 
@@ -80,6 +81,13 @@ class Tree:
     def tokens(self) -> int:
         return int(self.sums[1, 1])
 
+    @property
+    def blocks(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves that hold any, in order: what a tree is made from again."""
+        leaves = self.sums[self.size :]
+        leaves = leaves[leaves[:, 0] > 0]
+        return leaves[:, 0].tolist(), leaves[:, 1].tolist()
+
     def leaf(self, i: int) -> int:
         return int(self.sums[self.size + i, 0])
 
@@ -138,7 +146,12 @@ def apply_edit(counter: Counter, tree: Tree, text: str, start: int, stop: int, n
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The state of every document: id, ``text``, ``n_tokens`` and its blocks' ``block_chars`` and ``block_tokens``."""
+    """The state of every document: id, ``text``, ``n_tokens`` and its blocks' ``block_chars`` and ``block_tokens``.
+
+    Written as a table it serves any number of later batches of edits (``recount`` with ``keep``). Null texts count as
+    empty, which have no blocks; rows that repeat an id, or have none, each get their row; very long texts are counted
+    whole; an empty table gives an empty result; extra columns are ignored.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +169,15 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             )
 
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = slim.mapInArrow(each, f"id {kind}, text string, n_tokens long, block_chars array<int>, block_tokens array<int>")
+    found = slim.mapInArrow(each, f"id {kind}, {STATE}")
     return found.withColumnRenamed("id", id_col)
 
 
 def find_redactions(state: DataFrame, patterns: Mapping[str, str] = REDACTIONS) -> DataFrame:
-    """``state`` with ``edits``: where the patterns match its text, leftmost first and without overlap."""
+    """``state`` with ``edits``: where the patterns match its text, leftmost first and without overlap.
+
+    An empty text has no edits, and an empty table gives an empty result; other columns of the state come along.
+    """
     find = regex.compile("|".join(f"(?P<p{i}>{p})" for i, p in enumerate(patterns.values())))
     marks = list(patterns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
@@ -178,7 +194,7 @@ def find_redactions(state: DataFrame, patterns: Mapping[str, str] = REDACTIONS)
     return state.mapInArrow(each, f"{fields}, edits {EDITS}")
 
 
-def recount(state: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
+def recount(state: DataFrame, vocabulary: str, id_col: str = "doc_id", keep: bool = False) -> DataFrame:
     """One row per row of ``state`` (of ``count_tokens``, with ``edits``): the counts before and after its edits.
 
     Columns: id, ``n_tokens``, ``n_edits``, ``n_tokens_edited``, ``chars_edited`` and ``chars_encoded``, the
@@ -187,13 +203,15 @@ def recount(state: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFr
     bounds outside the text are moved to its ends; a null text in an edit deletes. Null edits count as none. Null
     texts count as empty ones, which have no tokens; an insertion into them works. Repeated rows each get their
     row; an empty table gives an empty result.
+
+    With ``keep`` the result is the state after the edits instead, as ``count_tokens`` gives it, for the next batch.
     """
     kind = state.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
         for batch in batches:
-            n, after, chars, encoded = [], [], [], []
+            n, after, chars, encoded, texts, blocks = [], [], [], [], [], []
             rows = [batch[c].to_pylist() for c in ("text", "edits", "block_chars", "block_tokens", "n_tokens")]
             for text, edits, block_chars, block_tokens, before in zip(*rows, strict=True):
                 taken, free = [], 0
@@ -209,15 +227,28 @@ def recount(state: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFr
                         text, k = apply_edit(counter, tree, text, a, b, new)
                         work += k
                     before = tree.tokens
+                    if keep:
+                        block_chars, block_tokens = tree.blocks
+                texts.append(text)
+                blocks.append((block_chars, block_tokens))
                 n.append(len(taken))
                 after.append(before)
                 chars.append(len(text))
                 encoded.append(work)
+            if keep:
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"], pa.array(texts, pa.string()), pa.array(after, pa.int64()), *(pa.array([b[i] for b in blocks], ints) for i in (0, 1))],
+                    ["id", "text", "n_tokens", "block_chars", "block_tokens"],
+                )
+                continue
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], batch["n_tokens"], *(pa.array(x, pa.int64()) for x in (n, after, chars, encoded))],
                 ["id", "n_tokens", "n_edits", "n_tokens_edited", "chars_edited", "chars_encoded"],
             )
 
     renamed = state.withColumnRenamed(id_col, "id").select("id", "text", "n_tokens", "block_chars", "block_tokens", "edits")
+    if keep:
+        return renamed.mapInArrow(each, f"id {kind}, {STATE}").withColumnRenamed("id", id_col)
     longs = "n_tokens long, n_edits long, n_tokens_edited long, chars_edited long, chars_encoded long"
     return renamed.mapInArrow(each, f"id {kind}, {longs}").withColumnRenamed("id", id_col)

@@ -67,6 +67,16 @@ def test_mix_of_awkward_rows(spark):
     assert all(r.taken == 0 for r in mixing.mix_sources(docs(spark, [(1, None, None, None), (2, "", "en", "a")])).collect())
 
 
+def test_mix_of_one_row_repeated(spark):
+    rows = spark.range(3000).selectExpr("cast(if(id < 1500, 7, id) as long) doc_id", "if(id < 1500, 'a b c', concat('w ', id)) text", "if(id < 2000, 'x', 'y') source")
+    found = mixing.mix_sources(rows, per_group=16).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n"))
+    assert sorted((r.source, r.n) for r in found.collect()) == [("x", 2000), ("y", 1000)]
+    assert all(abs(r.taken - r.target) <= 2 for r in found.collect())
+    sized = rows.selectExpr("source", "cast(xxhash64(doc_id, text) % 3 as long) bucket", "monotonically_increasing_id() row")
+    parted, split = mixing._parted(sized, 16)
+    assert split and parted.groupBy("source", "bucket", "part").count().selectExpr("max(count)").first()[0] <= 64
+
+
 def test_take_mix_repeats_rows(spark):
     rows = corpus(300)
     copies = {r.doc_id: r.copies for r in mixing.mix_sources(docs(spark, rows)).collect()}

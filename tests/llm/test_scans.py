@@ -156,6 +156,27 @@ def test_token_counts_follow_edits(spark):
     assert found == plain
 
 
+def test_token_counts_keep_their_state(spark):
+    """Three batches of edits in a row, each from the state that the one before has left."""
+    rng = random.Random(21)
+    counter = token_counts.Counter(byte_vocabulary())
+    texts = {i: "".join(rng.choices(["don't", " the", "  ", "\n", "word", " 12", "é", " a"], k=rng.choice([0, 40, 300]))) for i in range(30)}
+    state = token_counts.count_tokens(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), byte_vocabulary())
+    for _ in range(3):
+        edits = {}
+        for i, t in texts.items():
+            a = rng.randint(0, len(t))
+            edits[i] = [(a, min(len(t), a + rng.choice([0, 2, 70])), rng.choice(["", " new", "'ll", "x" * 9]))] if rng.random() < 0.8 else None
+        frame = spark.createDataFrame(list(edits.items()), f"doc_id long, edits {token_counts.EDITS}")
+        state = token_counts.recount(state.join(frame, "doc_id"), byte_vocabulary(), keep=True)
+        texts = {i: t[: e[0][0]] + e[0][2] + t[e[0][1] :] if (e := edits[i]) else t for i, t in texts.items()}
+        found = {r.doc_id: r for r in state.collect()}
+        assert {i: r.text for i, r in found.items()} == texts
+        for i, r in found.items():
+            assert r.n_tokens == sum(r.block_tokens) == len(counter.encoding.encode_ordinary(texts[i])) and sum(r.block_chars) == len(texts[i])
+        state = spark.createDataFrame(list(found.values()), state.schema)
+
+
 def test_token_counts_of_awkward_rows(spark):
     rows = [*AWKWARD, (70, "write to me@example.com or 10.0.0.1 " + "and so on " * 5000, "en", "a")]
     state = token_counts.find_redactions(token_counts.count_tokens(docs(spark, rows), byte_vocabulary()))
