@@ -63,7 +63,7 @@ def cross_section(features: DataFrame, special: DataFrame | None = None) -> Data
     df = features
     turnover = F.col("turnover")
     if special is not None:
-        df = df.join(F.broadcast(special.select("date", F.lit(True).alias("_special"))), "date", "left")
+        df = df.join(special.select("date", F.lit(True).alias("_special")), "date", "left")
         turnover = F.when(F.col("_special").isNull(), turnover)
     df = df.withColumn("_turnover", turnover)
     df = df.withColumns(

@@ -47,8 +47,8 @@ def fold_bounds(
         return F.min(F.when(F.col("date") >= F.col(after), F.col("date"))).alias(name)
 
     keys = ["fold_id", "train_start", "test_q"]
-    # the spine is a dimension: every fold looks at all of its dates, in one aggregation
-    snapped = f.join(F.broadcast(spine)).groupBy(*keys).agg(
+    # the folds are ``most`` rows at most: every date looks at all of them, in one aggregation
+    snapped = spine.join(F.broadcast(f)).groupBy(*keys).agg(
         snap("train_q", "train_end"), snap_up("val_t", "val_start"), snap("val_q", "val_end"),
         snap_up("test_t", "test_start"), snap("test_q", "test_end"),
     )
