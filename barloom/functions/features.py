@@ -18,6 +18,13 @@ from .smoothers import with_smoothers
 
 YEAR = math.sqrt(252)
 c = F.col
+#: Features made from recursive columns, and which.
+OF_SMOOTHED = {
+    **{f"dist_ema_{n}_pct": [f"ema_{n}"] for n in (20, 50, 200)},
+    "macd_hist": ["macd", "macd_signal"],
+    "momentum_div_flag": ["rsi_14"],
+    "regime_adjusted_rsi": ["rsi_14"],
+}
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -36,8 +43,9 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     grouped pass of the recursive smoothers is part of the plan only if a feature needs it.
     """
     wanted = None if columns is None else set(columns)
-    recursive = {*SMOOTHED, "dist_ema_20_pct", "dist_ema_50_pct", "dist_ema_200_pct", "macd_hist", "momentum_div_flag", "regime_adjusted_rsi"}
-    df = with_smoothers(bars) if wanted is None or wanted & recursive else bars
+    smoothed = {x for x in SMOOTHED if wanted is None or x in wanted}
+    smoothed |= {x for name, needs in OF_SMOOTHED.items() if wanted is None or name in wanted for x in needs}
+    df = with_smoothers(bars, smoothed) if smoothed else bars
     adj = c("adj_close")
     spread = c("high") - c("low")
     df = df.withColumns(
@@ -131,18 +139,17 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     )
     df = df.withColumn("_run_row", F.row_number().over(Window.partitionBy("ticker", "_ha_run").orderBy("date")))
     df = df.withColumn("trend_strength_smoothed", F.greatest(F.lit(-60), F.least(F.lit(60), (c("_run_row") * c("_ha_dir")).cast("int"))))
-    if "rsi_14" in df.columns:
-        df = df.withColumns(
-            {
-                **{f"dist_ema_{n}_pct": 100 * _ratio(adj - c(f"ema_{n}"), c(f"ema_{n}")) for n in (20, 50, 200)},
-                "macd_hist": c("macd") - c("macd_signal"),
-                "_phi": full(F.max, adj, 20),
-                "_plo": full(F.min, adj, 20),
-                "_rhi": full(F.max, c("rsi_14"), 20),
-                "_rlo": full(F.min, c("rsi_14"), 20),
-                "regime_adjusted_rsi": c("rsi_14") - full(lambda x: F.percentile(x, 0.5), c("rsi_14"), 252),
-            }
-        )
+    made = {
+        **{f"dist_ema_{n}_pct": 100 * _ratio(adj - c(f"ema_{n}"), c(f"ema_{n}")) for n in (20, 50, 200)},
+        "macd_hist": c("macd") - c("macd_signal"),
+        "_phi": full(F.max, adj, 20),
+        "_plo": full(F.min, adj, 20),
+        "_rhi": full(F.max, c("rsi_14"), 20),
+        "_rlo": full(F.min, c("rsi_14"), 20),
+        "regime_adjusted_rsi": c("rsi_14") - full(lambda x: F.percentile(x, 0.5), c("rsi_14"), 252),
+    }
+    df = df.withColumns({name: x for name, x in made.items() if smoothed.issuperset(OF_SMOOTHED.get(name, ["rsi_14"]))})
+    if "rsi_14" in smoothed:
         df = df.withColumn(
             "momentum_div_flag",
             F.when((adj == c("_plo")) & (c("rsi_14") != c("_rlo")), 1)

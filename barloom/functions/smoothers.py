@@ -1,8 +1,8 @@
-"""Recursive smoothers of price series: one grouped pass per ticker computes all of them."""
+"""Recursive smoothers of price series: one grouped pass per ticker computes those that are asked for."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,39 +86,50 @@ def rsi(price: Series, n: int) -> list[float]:
     return [100.0 * g / (g + l) if g is not None and g + l > 0 else 50.0 for g, l in zip(gain, loss, strict=True)]
 
 
-COLUMNS = (
-    "ema_20", "ema_50", "ema_200", "macd", "macd_signal", "atr_14", "adx_14", "adx_directional_persistence",
-    "heikin_ashi_close_smooth_5", "rsi_14", "rsi_21", "supertrend_10_3",
-)
-
-
-def _one(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("date")
-    o, h, l, c, a = (rows[n].to_pylist() for n in ("open", "high", "low", "close", "adj_close"))  # noqa: E741
-    fast, slow = span(a, 12), span(a, 26)
-    macd = [None if x is None or y is None else x - y for x, y in zip(fast, slow, strict=True)]
-    adx, signed = directional(h, l, c)
-    out = {
-        **{f"ema_{n}": span(a, n) for n in (20, 50, 200)},
-        "macd": macd,
-        "macd_signal": span(macd, 9),
-        "atr_14": wilder(true_range(h, l, c), 14),
-        "adx_14": adx,
-        "adx_directional_persistence": signed,
-        "heikin_ashi_close_smooth_5": span([(w + x + y + z) / 4.0 for w, x, y, z in zip(o, h, l, c, strict=True)], 5),
-        "rsi_14": rsi(a, 14),
-        "rsi_21": rsi(a, 21),
-        "supertrend_10_3": supertrend(h, l, c),
-    }
-    for name in COLUMNS:
-        rows = rows.append_column(name, pa.array(out[name], pa.float64()))
-    return rows
-
-
-def with_smoothers(bars: DataFrame) -> DataFrame:
-    """``bars`` with all recursive columns: one shuffle on the ticker, whose history is one group.
+def _macd(rows: dict[str, Series]) -> list[float | None]:
+    fast, slow = span(rows["adj_close"], 12), span(rows["adj_close"], 26)
+    return [None if x is None or y is None else x - y for x, y in zip(fast, slow, strict=True)]
+
+
+def _bars(rows: dict[str, Series]) -> tuple[Series, Series, Series]:
+    return rows["high"], rows["low"], rows["close"]
+
+
+def _means(rows: dict[str, Series]) -> list[float]:
+    return [sum(x) / 4.0 for x in zip(rows["open"], *_bars(rows), strict=True)]
+
+
+#: What makes each column from a ticker's bars in order of date.
+MAKE: dict[str, Callable[[dict[str, Series]], list[float | None]]] = {
+    "ema_20": lambda r: span(r["adj_close"], 20),
+    "ema_50": lambda r: span(r["adj_close"], 50),
+    "ema_200": lambda r: span(r["adj_close"], 200),
+    "macd": _macd,
+    "macd_signal": lambda r: span(_macd(r), 9),
+    "atr_14": lambda r: wilder(true_range(*_bars(r)), 14),
+    "adx_14": lambda r: directional(*_bars(r))[0],
+    "adx_directional_persistence": lambda r: directional(*_bars(r))[1],
+    "heikin_ashi_close_smooth_5": lambda r: span(_means(r), 5),
+    "rsi_14": lambda r: rsi(r["adj_close"], 14),
+    "rsi_21": lambda r: rsi(r["adj_close"], 21),
+    "supertrend_10_3": lambda r: supertrend(*_bars(r)),
+}
+COLUMNS = tuple(MAKE)
+
+
+def with_smoothers(bars: DataFrame, columns: Iterable[str] = COLUMNS) -> DataFrame:
+    """``bars`` with the recursive ``columns``: one shuffle on the ticker, whose history is one group.
 
     Bars hold no null prices (``normalise`` drops them); a ticker's history is bounded by the calendar.
     """
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in bars.schema.fields] + [f"{c} double" for c in COLUMNS]
-    return bars.groupBy("ticker").applyInArrow(_one, ", ".join(fields))
+    names = [c for c in COLUMNS if c in set(columns)]
+
+    def each(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("date")
+        prices = {n: rows[n].to_pylist() for n in ("open", "high", "low", "close", "adj_close")}
+        for name in names:
+            rows = rows.append_column(name, pa.array(MAKE[name](prices), pa.float64()))
+        return rows
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in bars.schema.fields] + [f"{c} double" for c in names]
+    return bars.groupBy("ticker").applyInArrow(each, ", ".join(fields))
