@@ -157,6 +157,7 @@ def permuted_feature_ics(df: DataFrame, features: Sequence[str], outcome: str, n
         tickers, day = rows["ticker"].to_pylist(), rows["date"][0].as_py()
         y = rows["_y"].to_numpy()
         found = {"feature": [], "ics": []}
+        keys = np.array([[md5(f"{seed}|{d}|{day}|{t}".encode()).hexdigest() for t in tickers] for d in range(1, n + 1)], "S32")
         orders: dict[bytes, np.ndarray] = {}
         for f in features:
             x = rows[f].to_numpy().astype(float)
@@ -164,10 +165,7 @@ def permuted_feature_ics(df: DataFrame, features: Sequence[str], outcome: str, n
             if known.sum() < 3:
                 continue
             if known.tobytes() not in orders:
-                own = [t for t, k in zip(tickers, known, strict=True) if k]
-                orders[known.tobytes()] = np.array(
-                    [np.argsort([md5(f"{seed}|{d}|{day}|{t}".encode()).hexdigest() for t in own], kind="stable") for d in range(1, n + 1)]
-                )
+                orders[known.tobytes()] = np.argsort(keys[:, known], axis=1, kind="stable")
             a, b = (rankdata(v[known]) for v in (x, y))
             a, b = a - a.mean(), b - b.mean()
             size = np.sqrt((a @ a) * (b @ b))
