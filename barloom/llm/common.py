@@ -136,3 +136,16 @@ def drawn(key: Column, share: Column | float) -> Column:
 def buckets(rows: int, per_bucket: int) -> int:
     """How many buckets of about ``per_bucket`` rows hold ``rows`` rows."""
     return max(1, -(-rows // per_bucket))
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words between ASCII blanks of a text, some at a time, so that a very long text does not become one list."""
+    at = 0
+    while at < len(data):
+        cut = _SPACE.search(data, at + size) if at + size < len(data) else None
+        end = cut.start() if cut else len(data)
+        yield data[at:end].split()
+        at = end

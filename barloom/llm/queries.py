@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, licenses, mixing, packing, simhash, token_counts, topk, toxicity, url_filter
+from . import exact_dedup, langid, licenses, mixing, packing, periodic, quality, resample, simhash, token_counts, topk, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,6 +78,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents weighed towards the benchmark's distribution of 1- to 3-grams, and 5 % of them drawn."""
+    return resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some of which have a repeated end planted, and what is left without repeats."""
+    return periodic.planted_runs(_read(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels that are not held out."""
+    return quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), least=0.3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,10 +106,15 @@ QUERIES = {
         op8_mix_sources,
         op9_exact_dedup,
         op10_language_id,
+        op11_importance_resample,
+        op12_periodic_runs,
+        op13_quality,
     )
 }
 ORACLE_SQL = {
     "op5_url_filter": url_filter.ORACLE,
     "op7_exact_top_k": topk.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op11_importance_resample": resample.ORACLE,
+    "op12_periodic_runs": periodic.ORACLE,
 }
