@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import points_in
+from .windows import as_of
+
 
 def quarter_end(d: Column) -> Column:
     return F.last_day(F.add_months(F.trunc(d, "quarter"), 2))
@@ -17,7 +20,7 @@ def add_quarters(d: Column, n: Column) -> Column:
 
 
 def fold_bounds(
-    days: DataFrame, train_start: str, initial_train_end: str, val_quarters: int = 2, test_quarters: int = 1, embargo: int = 5, most: int = 400
+    days: DataFrame, train_start: str, initial_train_end: str, val_quarters: int = 2, test_quarters: int = 1, embargo: int = 5
 ) -> DataFrame:
     """fold_id, train_start, train_end, val_start, val_end, test_start, test_end, test_is_partial.
 
@@ -31,8 +34,9 @@ def fold_bounds(
     ends = spine.agg(F.min("date").alias("first"), F.max("date").alias("last"))
     start = F.greatest(F.lit(train_start).cast("date"), F.col("first"))
     k = F.col("fold_id").cast("int")
-    # the number of quarters that the data can hold bounds the folds; one row per fold
-    f = spine.sparkSession.range(most).select(F.col("id").alias("fold_id")).join(F.broadcast(ends))
+    # a fold for each quarter from the first end of training to the last date: one row per fold
+    ahead = F.greatest(F.lit(0), F.ceil(F.months_between("last", F.lit(initial_train_end).cast("date")) / 3).cast("long") + 2)
+    f = ends.withColumn("fold_id", F.explode(F.sequence(F.lit(0).cast("long"), ahead)))
     f = f.withColumn("train_q", add_quarters(quarter_end(F.lit(initial_train_end).cast("date")), k))
     f = f.withColumn("val_t", F.date_add("train_q", 1 + embargo))
     f = f.withColumn("val_q", add_quarters(quarter_end(F.col("val_t")), F.lit(val_quarters - 1)))
@@ -40,18 +44,14 @@ def fold_bounds(
     f = f.withColumn("test_q", add_quarters(quarter_end(F.col("test_t")), F.lit(test_quarters - 1)))
     f = f.withColumn("train_start", start).where("train_q <= add_months(last, 3)")
 
-    def snap(before: str, name: str) -> Column:
-        return F.max(F.when(F.col("date") <= F.col(before), F.col("date"))).alias(name)
-
-    def snap_up(after: str, name: str) -> Column:
-        return F.min(F.when(F.col("date") >= F.col(after), F.col("date"))).alias(name)
-
+    # each bound looks for the last trading day up to its target, or the first from it on
+    bounds = (("train_end", "train_q", False), ("val_start", "val_t", True), ("val_end", "val_q", False), ("test_start", "test_t", True), ("test_end", "test_q", False))
     keys = ["fold_id", "train_start", "test_q"]
-    # the folds are ``most`` rows at most: every date looks at all of them, in one aggregation
-    snapped = spine.join(F.broadcast(f)).groupBy(*keys).agg(
-        snap("train_q", "train_end"), snap_up("val_t", "val_start"), snap("val_q", "val_end"),
-        snap_up("test_t", "test_start"), snap("test_q", "test_end"),
-    )
+    sought = F.array(*[F.struct(F.lit(n).alias("name"), F.col(q).alias("target"), F.lit(up).alias("up")) for n, q, up in bounds])
+    sought = f.select(*keys, F.explode(sought).alias("b")).select(*keys, "b.*")
+    day = spine.select(F.col("date").alias("day"))
+    found = as_of(sought.where("NOT up"), day, "target", "day").unionByName(as_of(sought.where("up"), day, "target", "day", forward=True))
+    snapped = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("day"))).alias(n) for n, _, _ in bounds])
     skipped = F.col("train_end").isNull() | (F.col("train_end") < F.col("train_start"))
     room = (
         F.col("val_start").isNotNull() & F.col("test_start").isNotNull() & (F.col("val_end") >= F.col("val_start"))
@@ -71,7 +71,10 @@ def fold_bounds(
 
 
 def fold_rows(df: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Rows of ``df`` by (fold_id, role): each row in every window that holds its date. Bounds are a small table."""
+    """Rows of ``df`` by (fold_id, role): each row in every window that holds its date.
+
+    The distinct dates meet the windows by bins of time, and rows find their windows by an equality join on the date.
+    """
     roles = bounds.select(
         "fold_id",
         F.explode(
@@ -83,16 +86,15 @@ def fold_rows(df: DataFrame, bounds: DataFrame) -> DataFrame:
             )
         ).alias("w"),
     ).select("fold_id", "w.*")
-    return df.join(F.broadcast(roles), (F.col("date") >= F.col("lo")) & (F.col("date") <= F.col("hi"))).drop("lo", "hi")
+    dated = points_in(df.select("date").distinct(), roles, "date", "lo", "hi").drop("lo", "hi")
+    return df.join(dated, "date").select(*df.columns, "fold_id", "role")
 
 
 def route(dates: DataFrame, folds: DataFrame, embargo: int = 5) -> DataFrame:
     """date, fold_id, train_end: the latest fold whose training ended more than ``embargo`` days before, else null."""
-    d = dates.select("date").distinct()
-    free = F.date_add(F.col("train_end"), embargo) < F.col("date")
-    found = d.join(F.broadcast(folds.select("fold_id", "train_end")), free)
-    best = found.groupBy("date").agg(F.max_by(F.struct("fold_id", "train_end"), F.struct("train_end", "fold_id")).alias("f"))
-    return d.join(best, "date", "left").select("date", "f.fold_id", "f.train_end")
+    free = folds.groupBy("train_end").agg(F.max("fold_id").alias("fold_id")).withColumn("_free", F.date_add("train_end", embargo))
+    found = as_of(dates.select("date").distinct(), free, "date", "_free", strict=True)
+    return found.select("date", "fold_id", "train_end")
 
 
 def frozen_route(dates: DataFrame, folds: DataFrame, fold_id: int, embargo: int = 5) -> DataFrame:

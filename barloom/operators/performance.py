@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlap_join, points_in
 from .portfolio import returns
 from .windows import as_of
 
@@ -117,7 +118,7 @@ def bundle(values: DataFrame, benchmark: str) -> DataFrame:
 
 def window_breakdown(values: DataFrame, windows: DataFrame, least: int = 5) -> DataFrame:
     """Per named window (name, start, stop: a small table) and series: rows, return, yearly return, volatility, drawdown."""
-    v = values.join(windows, (F.col("date") >= F.col("start")) & (F.col("date") <= F.col("stop"))).drop("start", "stop")
+    v = points_in(values, windows, "date", "start", "stop").drop("start", "stop")
     by = ["name", "series"]
     r = returns(v, by)
     first, last = F.min_by("total_value", "date"), F.max_by("total_value", "date")
@@ -188,7 +189,7 @@ def counterfactual(contributed: DataFrame, bench: DataFrame, tops: Sequence[int]
 def overlapping_holds(periods: DataFrame, windows: DataFrame) -> DataFrame:
     """name, n_holds, n_tickers: holding periods that overlap each named window."""
     return (
-        periods.join(windows, (F.col("date") <= F.col("stop")) & (F.col("until") >= F.col("start")))
+        overlap_join(periods, windows, ("date", "until"), ("start", "stop"))
         .groupBy("name")
         .agg(F.count(F.lit(1)).alias("n_holds"), F.countDistinct("ticker").alias("n_tickers"))
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import points_in
 from .windows import as_of, full
 
 #: Rates of a delivery trade: fixed values.
@@ -45,8 +48,16 @@ def scores_as_of(rebalances: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def missing_scores(found: DataFrame, tickers: DataFrame) -> DataFrame:
-    """k, ticker: tickers of the universe without a score at a rebalance."""
-    return found.select("k").distinct().join(tickers.select("ticker")).join(found.where("score IS NOT NULL"), ["k", "ticker"], "left_anti")
+    """k, ticker: tickers of the universe without a score at a rebalance.
+
+    Scores are counted first, and the universe is laid out only for the rebalances that fall short of it.
+    """
+    universe = tickers.select("ticker").distinct()
+    known = found.join(universe, "ticker", "left_semi").groupBy("k").agg(F.countDistinct(F.when(F.col("score").isNotNull(), F.col("ticker"))).alias("n"))
+    size = universe.agg(F.count(F.lit(1)).alias("size"))
+    at_all = found.select("k").distinct().join(known, "k", "left")
+    short = at_all.join(F.broadcast(size), F.coalesce("n", F.lit(0)) < F.col("size")).select("k")
+    return short.join(universe).join(found.where("score IS NOT NULL"), ["k", "ticker"], "left_anti")
 
 
 def top_picks(found: DataFrame, n: int) -> DataFrame:
@@ -104,54 +115,81 @@ def legs(picks: DataFrame, bars: DataFrame) -> DataFrame:
     return both.select("strategy_id", "k", "date", "ticker", "is_pick", "was_pick", growth.alias("growth"), F.coalesce("adv", F.lit(0.0)).alias("adv"), "price")
 
 
-def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once."""
-    return F.transform(F.array(x), f)[0]
-
-
-def _step(acc: Column, s: Column, n: Column, fee: Column, scale: Column) -> Column:
-    """The state after one rebalance: cash, the values held, and the trades so far."""
-    before = F.transform(s["legs"], lambda leg: F.coalesce(F.try_element_at(acc["held"], leg["prev"]), F.lit(0.0)) * leg["growth"])
-
-    def traded(leg: Column, now: Column, equity: Column) -> Column:
-        goal = F.when(leg["is_pick"] == 1, equity / n).otherwise(0.0)
-
-        def charged(size: Column) -> Column:
-            side = F.when(size == 0.0, F.lit(None)).when(goal > now, "buy").otherwise("sell")
-            bps = F.when(size == 0.0, 0.0).otherwise(slippage_bps(size, leg["adv"]) * scale)
-            slip = size * bps / 1e4
-            # slippage counts twice: in the price of the trade and as a cost beside the charges
-            cost = F.when(size == 0.0, 0.0).otherwise(trade_costs(size, side, fee)["total"] + slip)
-            held = F.when(leg["is_pick"] == 1, F.when(size == 0.0, now).otherwise(goal)).otherwise(0.0)
-            return F.struct(
-                leg["ticker"].alias("ticker"), side.alias("side"), size.alias("trade_value"), cost.alias("cost"), bps.alias("slip_bps"),
-                held.alias("value_after"), (cost + slip).alias("paid"), leg["price"].alias("price"),
-            )
-
-        return _bound(F.when(F.abs(goal - now) >= 1.0, F.abs(goal - now)).otherwise(0.0), charged)
-
-    def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0.0), lambda x, y: x + y)
-
-    def after(legs: Column, equity: Column) -> Column:
-        cash = equity - total(F.transform(legs, lambda x: x["paid"] + x["value_after"]))
-        done = F.struct(s["k"].alias("k"), s["date"].alias("date"), equity.alias("equity_before"), cash.alias("cash_after"), legs.alias("legs"))
-        held = F.transform(legs, lambda x: x["value_after"])
-        return F.struct(cash.alias("cash"), held.alias("held"), F.concat(acc["done"], F.array(done)).alias("done"))
-
-    def with_values(now: Column) -> Column:
-        return _bound(
-            acc["cash"] + total(now),
-            lambda equity: _bound(F.zip_with(s["legs"], now, lambda leg, x: traded(leg, x, equity)), lambda legs: after(legs, equity)),
-        )
-
-    return _bound(before, with_values)
-
-
-DONE = (
-    "array<struct<k:int,date:date,equity_before:double,cash_after:double,legs:array<struct<ticker:string,side:string,trade_value:double,"
-    "cost:double,slip_bps:double,value_after:double,paid:double,price:double>>>>"
-)
+#: What one rebalance leaves of each leg.
+TRADE = "strategy_id string, k int, date date, ticker string, side string, trade_value double, cost double, slip_bps double, flag boolean, value_after double, cash_after double, equity_before double, price double"
+#: Columns of the legs that the fold reads.
+FOLDED = ("strategy_id", "k", "date", "ticker", "is_pick", "growth", "adv", "price", "n_positions", "brokerage", "slip_scale")
+
+
+def _total(x: np.ndarray) -> float:
+    """The sum in order."""
+    return float(np.cumsum(x)[-1]) if len(x) else 0.0
+
+
+class Fold:
+    """The cash and the held values of the strategy that is at hand, from rebalance to rebalance; no history is kept."""
+
+    def __init__(self, capital: float):
+        self.capital = capital
+        self.strategy: str | None = None
+
+    def step(self, legs: pa.Table) -> pa.RecordBatch:
+        """Trades of one rebalance: its equity, the legs' goals, costs and slippage, what is held and left in cash."""
+        strategy, ticker = legs["strategy_id"][0].as_py(), legs["ticker"].to_pylist()
+        if strategy != self.strategy:
+            self.strategy, self.cash, self.held = strategy, self.capital, {}
+        growth, adv = (legs[c].to_numpy() for c in ("growth", "adv"))
+        pick = legs["is_pick"].to_numpy() == 1
+        n, fee, scale = (float(legs[c][0].as_py()) for c in ("n_positions", "brokerage", "slip_scale"))
+        now = np.array([self.held.get(t, 0.0) for t in ticker]) * growth
+        equity = self.cash + _total(now)
+        goal = np.where(pick, equity / n, 0.0)
+        size = np.where(np.abs(goal - now) >= 1.0, np.abs(goal - now), 0.0)
+        traded, buy = size > 0.0, goal > now
+        share = np.divide(size, adv, out=np.full(len(size), np.inf), where=adv > 0)
+        (a, low), (b, mid), (c, high) = SLIPPAGE
+        bps = np.select([share < a, share <= b, share <= c], [low, mid, high], WORST_BPS) * scale * traded
+        slip = size * bps / 1e4
+        exchange = size * EXCHANGE
+        charges = fee + np.where(buy, 0.0, size * STT_SELL) + exchange + (fee + exchange) * GST + size * SEBI + np.where(buy, size * STAMP_BUY, 0.0)
+        # slippage counts twice: in the price of the trade and as a cost beside the charges
+        cost = np.where(traded, charges + slip, 0.0)
+        held = np.where(pick, np.where(traded, goal, now), 0.0)
+        self.cash = equity - _total(cost + slip + held)
+        self.held = dict(zip(ticker, held.tolist(), strict=True))
+        m = len(ticker)
+        side = pa.array(np.where(buy, "buy", "sell").tolist(), pa.string(), mask=~traded)
+        columns = [legs[x].combine_chunks() for x in ("strategy_id", "k", "date", "ticker")]
+        columns += [side, *(pa.array(x) for x in (size, cost, bps, traded & (bps >= WORST_BPS * scale), held, np.full(m, self.cash), np.full(m, equity)))]
+        return pa.RecordBatch.from_arrays([*columns, legs["price"].combine_chunks()], [x.split()[0] for x in TRADE.split(", ")])
+
+
+def _rebalances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The legs of one rebalance after the other, of rows sorted by strategy and rebalance: batches may end anywhere."""
+    waiting: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        k, strategy = table["k"].to_numpy(), np.array(table["strategy_id"].to_pylist(), object)
+        cuts = [0, *(1 + np.flatnonzero((k[1:] != k[:-1]) | (strategy[1:] != strategy[:-1]))).tolist(), len(k)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            part = table.slice(i, j - i)
+            if waiting and (waiting[0]["k"][0] != part["k"][0] or waiting[0]["strategy_id"][0] != part["strategy_id"][0]):
+                yield pa.concat_tables(waiting)
+                waiting = []
+            waiting.append(part)
+    if waiting:
+        yield pa.concat_tables(waiting)
+
+
+def _folded(capital: float):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold(capital)
+        for legs_of_one in _rebalances(batches):
+            yield fold.step(legs_of_one)
+
+    return each
 
 
 def rebalance(picks: DataFrame, bars: DataFrame, scenarios: DataFrame, capital: float = 1_000_000.0) -> DataFrame:
@@ -159,30 +197,14 @@ def rebalance(picks: DataFrame, bars: DataFrame, scenarios: DataFrame, capital:
 
     A rebalance splits the equity evenly over ``n_positions``; gaps under 1 are left alone, and what remains of a
     dropped name then is taken as cash. Prices, growth and turnover of all legs are joins and windows; what is left
-    is a recursion in the equity of a strategy, as its value at one rebalance follows from that before. It is one
-    aggregate over the array of a strategy's rebalances, whose legs point to their place in the rebalance before.
-    Strategies and scenarios run in parallel, and an array is as long as the calendar has rebalances.
-    ``scenarios`` has strategy_id, n_positions, brokerage and slip_scale.
+    is a recursion in the equity of a strategy, as its value at one rebalance follows from that before. Legs are dealt by strategy
+    and sorted by rebalance, and one pass over each partition folds them: it holds the legs of the current rebalance
+    and the values of the one before, so that a strategy of thousands of tickers over decades takes no more memory than one of its
+    rebalances. Strategies run in parallel. ``scenarios`` has strategy_id, n_positions, brokerage and slip_scale.
     """
-    rows = legs(picks, bars)
-    place = F.row_number().over(Window.partitionBy("strategy_id", "k").orderBy("ticker"))
-    rows = rows.withColumn("i", place)
-    earlier = F.lag("i").over(Window.partitionBy("strategy_id", "ticker").orderBy("k"))
-    rows = rows.withColumn("prev", F.when(F.col("was_pick") == 1, earlier))
-    leg = F.struct("i", "ticker", "is_pick", "growth", "adv", "price", F.coalesce("prev", F.lit(1 << 30)).alias("prev"))
-    steps = rows.groupBy("strategy_id", "k", "date").agg(F.array_sort(F.collect_list(leg)).alias("legs"))
-    steps = steps.groupBy("strategy_id").agg(F.array_sort(F.collect_list(F.struct("k", "date", "legs"))).alias("steps"))
-    steps = steps.join(scenarios.select("strategy_id", "n_positions", "brokerage", "slip_scale"), "strategy_id")
-    none = F.struct(F.lit(float(capital)).alias("cash"), F.array().cast("array<double>").alias("held"), F.array().cast(DONE).alias("done"))
-    n, fee, scale = F.col("n_positions").cast("double"), F.col("brokerage"), F.col("slip_scale")
-    done = F.aggregate("steps", none, lambda acc, s: _step(acc, s, n, fee, scale), lambda acc: acc["done"])
-    out = steps.select("strategy_id", "slip_scale", F.explode(done).alias("d")).select("strategy_id", "slip_scale", "d.*")
-    out = out.select("strategy_id", "slip_scale", "k", "date", "equity_before", "cash_after", F.explode("legs").alias("x"))
-    flag = F.col("x.side").isNotNull() & (F.col("x.slip_bps") >= WORST_BPS * F.col("slip_scale"))
-    return out.select(
-        "strategy_id", "k", "date", "x.ticker", "x.side", "x.trade_value", "x.cost", "x.slip_bps", flag.alias("flag"), "x.value_after",
-        "cash_after", "equity_before", "x.price",
-    )
+    rows = legs(picks, bars).join(scenarios.select("strategy_id", "n_positions", "brokerage", "slip_scale"), "strategy_id")
+    kept = rows.select(*FOLDED).withColumns({"strategy_id": F.col("strategy_id").cast("string"), "k": F.col("k").cast("int"), "growth": F.col("growth").cast("double")})
+    return kept.repartition("strategy_id").sortWithinPartitions("strategy_id", "k", "ticker").mapInArrow(_folded(float(capital)), TRADE)
 
 
 def daily_values(trades: DataFrame, bars: DataFrame) -> DataFrame:
@@ -193,8 +215,8 @@ def daily_values(trades: DataFrame, bars: DataFrame) -> DataFrame:
     days = bars.select("date").distinct()
     starts = trades.select("strategy_id", "k", F.col("date").alias("start")).distinct()
     until = F.lead("start").over(Window.partitionBy("strategy_id").orderBy("k"))
-    periods = starts.withColumn("until", until)
-    spans = periods.join(days, (F.col("date") >= F.col("start")) & (F.col("until").isNull() | (F.col("date") < F.col("until"))))
+    last = F.coalesce(F.date_sub(until, 1), F.lit("9999-12-31").cast("date"))
+    spans = points_in(days, starts.withColumn("last", last), "date", "start", "last")
     held = trades.where("value_after > 0").select("strategy_id", "k", "ticker", "value_after", F.col("price").alias("price_then"))
     rows = spans.select("strategy_id", "k", "date").join(held, ["strategy_id", "k"])
     prices = bars.select("ticker", F.col("date").alias("price_date"), F.col("adj_close").alias("price_now"))

@@ -37,3 +37,27 @@ def materialise(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system."""
+    where, system = _located(spark, path)
+    return system.exists(where)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders, such as are there."""
+    for path in paths:
+        where, system = _located(spark, path)
+        system.delete(where, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders right below a folder; none if it is not there."""
+    where, system = _located(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(where) if f.isDirectory()) if system.exists(where) else []

@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.bars import BARS, enforce, upsert
-from ..sources.scratch import materialise
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder is there, on whatever file system."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+from ..sources.scratch import exists, materialise
 
 
 def bar_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
