@@ -107,10 +107,10 @@ def o15_json(spark, sf_dir):
     return spark.read.schema("ticker string, first_date date, last_date date, n_rows long").json(path)
 
 
-def broken(spark, sf_dir):
+def broken(spark, sf_dir, panel=None):
     """Bars with rules broken where the day of the month says so, and some keys twice."""
     d = F.dayofmonth("date")
-    b = bars(spark, sf_dir).select(SHORT)
+    b = (bars(spark, sf_dir) if panel is None else panel).select(SHORT)
     b = b.withColumns(
         {
             "open": F.when(d == 1, -F.col("open")).otherwise(F.col("open")),
@@ -201,21 +201,6 @@ def runs(spark, sf_dir):
     return days(spark, sf_dir).select(F.col("date").alias("run_date"), status.alias("status"), F.lit("live").alias("source"))
 
 
-def d01_replace_dates(spark, sf_dir):
-    p = bars(spark, sf_dir).select("date", "ticker", "close")
-    new = p.where("date >= '2001-09-01' AND ticker < 'NATION_2'").withColumn("close", F.lit(0.0))
-    return rounded(D.replace_dates(p, new))
-
-
-def d02_pending_days(spark, sf_dir):
-    return D.pending_days(days(spark, sf_dir), runs(spark, sf_dir))
-
-
-def d03_replace_series(spark, sf_dir):
-    s = series(spark, sf_dir)
-    return rounded(D.replace_dates(s, s.where("series = 'mean' AND date < '1996-01-01'"), "series"), 3)
-
-
 def d04_latest(spark, sf_dir):
     return rounded(D.latest_by(bars(spark, sf_dir).select("date", "ticker", "close"), "date"))
 
@@ -251,13 +236,6 @@ def d09_picks(spark, sf_dir):
     return picked(spark, sf_dir).select("date", "ticker", "rank")
 
 
-def d10_backfill(spark, sf_dir):
-    """Days to fill in, after one seed row on the day before the first."""
-    todo = days(spark, sf_dir).join(runs(spark, sf_dir).select(F.col("run_date").alias("date")).where("month(date) <> 3"), "date", "left_anti")
-    seed = todo.agg(F.date_sub(F.min("date"), 1).alias("date"))
-    return seed.withColumn("kind", F.lit("seed")).unionByName(todo.withColumn("kind", F.lit("fill")))
-
-
 def d11_freshness(spark, sf_dir):
     return runs(spark, sf_dir).agg(F.max("run_date").alias("run_date"), F.max_by("status", "run_date").alias("status"))
 
@@ -364,8 +342,8 @@ QUERIES = {
         o01_scan_bars, o02_scan_index, o03_normalise, o04_upsert, o05_upsert_index, o06_enforce, o07_coverage, o08_watermarks, o09_sql_bars, o10_sql_features,
         o11_sql_labels, o12_feature_table, o13_label_table, o14_csv, o15_json, v01_missing_columns, v_all_rules, v11_store, c01_spine, c02_window,
         c03_regular_days, c04_special_flag, c05_neighbours, c06_schedule, c07_statistics, c08_date_range, c09_projection, c10_snap, c11_quarters,
-        d01_replace_dates, d02_pending_days, d03_replace_series, d04_latest, d05_runs_between, d06_cadence, d07_regime_label, d08_regime_inputs, d09_picks,
-        d10_backfill, d11_freshness, d12_value_curve, d13_basket, d14_timing, d15_last_window, d16_rank_movement, d17_chart_window, t06_fit_predict,
+        d04_latest, d05_runs_between, d06_cadence, d07_regime_label, d08_regime_inputs, d09_picks,
+        d11_freshness, d12_value_curve, d13_basket, d14_timing, d15_last_window, d16_rank_movement, d17_chart_window, t06_fit_predict,
         t07_t11_saved_model, t08_search, t09_importance, streaming_append, streaming_windows,
     )
 }
@@ -465,12 +443,6 @@ ORACLE_SQL = {
     ),
     "c10_snap": with_bars(DAYS, ODD, select="SELECT od.date, (SELECT max(dy.date) FROM dy WHERE dy.date <= od.date) AS on_or_before, (SELECT min(dy.date) FROM dy WHERE dy.date >= od.date) AS on_or_after FROM od"),
     "c11_quarters": with_bars(DAYS, select=f"SELECT date, {q_end('date')} AS quarter_end, {q_add(q_end('date'), '3')} AS three_on FROM dy"),
-    "d01_replace_dates": with_bars(
-        select="""SELECT date, ticker, round(CASE WHEN date >= DATE '2001-09-01' THEN 0 ELSE close END, 6) + 0.0 AS close FROM bars b
-        WHERE NOT (date >= DATE '2001-09-01' AND date IN (SELECT date FROM bars WHERE ticker < 'NATION_2') AND ticker >= 'NATION_2')"""
-    ),
-    "d02_pending_days": with_bars(DAYS, RUNS, select="SELECT date FROM dy WHERE date NOT IN (SELECT run_date FROM rn WHERE status = 'SUCCESS')"),
-    "d03_replace_series": with_bars(SERIES, select=f"SELECT series, date, {VALUE3} FROM ser WHERE series <> 'mean' OR date < DATE '1996-01-01'"),
     "d04_latest": with_bars(select="SELECT date, ticker, round(close, 6) + 0.0 AS close FROM bars WHERE date = (SELECT max(date) FROM bars)"),
     "d05_runs_between": with_bars(DAYS, RUNS, select="SELECT * FROM rn WHERE run_date > DATE '1999-01-01' AND run_date <= DATE '1999-12-31'"),
     "d06_cadence": with_bars(
@@ -485,7 +457,6 @@ ORACLE_SQL = {
     ),
     "d08_regime_inputs": with_bars(S1, S2, S3, S4, S5, S6, DAYS, INPUTS, select="SELECT date, seen, vol_regime, above, round(ret60, 6) + 0.0 AS ret60 FROM rin"),
     "d09_picks": with_bars(*PICKED, select="SELECT date, ticker, rank FROM pck WHERE rank <= 5"),
-    "d10_backfill": with_bars(DAYS, select="SELECT min(date) - 1 AS date, 'seed' AS kind FROM dy WHERE month(date) = 3 UNION ALL SELECT date, 'fill' FROM dy WHERE month(date) = 3"),
     "d11_freshness": with_bars(DAYS, RUNS, select="SELECT max(run_date) AS run_date, max_by(status, run_date) AS status FROM rn"),
     "d12_value_curve": with_bars(
         SERIES, select=f"SELECT series, date, {VALUE3}, CASE WHEN date < DATE '2000-01-01' THEN 'stored' ELSE 'live' END AS origin FROM ser"

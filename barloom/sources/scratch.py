@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,10 +37,28 @@ def new_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` below the shared folder and read it back, so that what follows does not compute it again."""
     spark, path = df.sparkSession, new_folder(df.sparkSession)
+    for tables in _OPEN:
+        tables.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written inside each ``discarded`` block that is open.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def discarded(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``materialise`` wrote inside, also if a step failed: for jobs whose result is written elsewhere."""
+    own: list[str] = []
+    _OPEN.append(own)
+    try:
+        yield
+    finally:
+        _OPEN.remove(own)
+        delete(spark, *own)
+
+
 def _located(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

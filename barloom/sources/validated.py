@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.validation import REQUIRED, missing_columns, rules
 from .bars import BARS, enforce, upsert
-from .scratch import delete, exists, materialise, new_folder
+from .scratch import delete, discarded, exists, materialise, new_folder
 
 DUPLICATES = "uniqueness.duplicates"
 QUARANTINE = "load string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BARS.fields) + ", broken array<string>"
@@ -97,8 +97,9 @@ def _publish(new: DataFrame, table: str) -> None:
         stored = spark.read.schema(BARS).parquet(table)
         touched = stored.join(new.select("ticker").distinct(), "ticker", "left_semi").select(new.columns)
         new = upsert(touched, new)
-    merged = materialise(new.repartition("ticker").sortWithinPartitions("date"))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(table)
+    with discarded(spark):
+        merged = materialise(new.repartition("ticker").sortWithinPartitions("date"))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(table)
 
 
 def read_bars(spark: SparkSession, table: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.bars import BARS, enforce, upsert
-from ..sources.scratch import exists, materialise
+from ..sources.scratch import discarded, exists, materialise
 
 
 def bar_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -28,8 +28,9 @@ def append_bars(bars: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
         stored = spark.read.schema(BARS).parquet(table) if exists(spark, table) else new.limit(0)
         tickers = new.select("ticker").distinct()
         merged = upsert(stored.join(tickers, "ticker", "left_semi").select(new.columns), new)
-        merged = materialise(merged.repartition("ticker").sortWithinPartitions("date"))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(table)
+        with discarded(spark):
+            merged = materialise(merged.repartition("ticker").sortWithinPartitions("date"))
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(table)
 
     return bars.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
