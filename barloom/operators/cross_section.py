@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank, change, full, nearest_quantile
+from .windows import average_rank, change, full
 
 
 def percentile_rank(x: Column, by: Sequence[str] = ("date",)) -> Column:
@@ -19,14 +19,17 @@ def percentile_rank(x: Column, by: Sequence[str] = ("date",)) -> Column:
 def winsorised_score(df: DataFrame, x: str, out: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Adds ``out``: x against mean and deviation of the values clipped to their quantiles of the date.
 
-    A null value enters mean and deviation as the lower quantile, and its own score is null; null if all are equal.
+    A null value enters mean and deviation as the lower quantile, and its own score is null; null if all are equal. The
+    quantiles, the values at index round((n - 1) q) of the sorted known ones, are picked by their place in the order of the date:
+    one sort, whatever the number of tickers, and no date is gathered.
     """
     day = Window.partitionBy("date")
-    a, b = nearest_quantile(F.col(x), low, day), nearest_quantile(F.col(x), high, day)
-    df = df.withColumns({"_a": a, "_b": b}).withColumn("_cut", F.least(F.greatest(x, "_a"), "_b"))
+    df = df.withColumns({"_place": F.row_number().over(day.orderBy(F.col(x).asc_nulls_last())), "_known": F.count(x).over(day)})
+    at = {name: F.max(F.when(F.col("_place") == F.round((F.col("_known") - 1) * q) + 1, F.col(x))).over(day) for name, q in (("_a", low), ("_b", high))}
+    df = df.withColumns(at).withColumn("_cut", F.least(F.greatest(x, "_a"), "_b"))
     df = df.withColumns({"_mu": F.avg("_cut").over(day), "_sd": F.stddev_samp("_cut").over(day)})
     score = F.when(F.col("_sd") > 0, (F.col(x) - F.col("_mu")) / F.col("_sd"))
-    return df.withColumn(out, score).drop("_a", "_b", "_cut", "_mu", "_sd")
+    return df.withColumn(out, score).drop("_place", "_known", "_a", "_b", "_cut", "_mu", "_sd")
 
 
 def sector_comparison(df: DataFrame, x: str, rank_as: str, distance_as: str) -> DataFrame:

@@ -40,20 +40,20 @@ def mean_correlation(bars: DataFrame, n: int = 60) -> DataFrame:
     """date, corr_regime_{n}d: mean Pearson correlation of all pairs of tickers over the last n dates of the spine.
 
     Tickers with a missing or constant return in the window are left out, and two must remain. With z-scores inside
-    each window, the sum over all pairs at one date follows from the square of the sum over tickers, so the work is
-    rows times n and no pair of tickers is ever formed.
+    each window, the sum over all pairs at one date follows from the square of the sum over tickers, so no pair of tickers is
+    ever formed. A full window is the ticker's last n rows; its z-scores are cells of (last date, date), which are added up within each
+    task before they are shuffled: dates times n cells leave a task, however many tickers it holds.
     """
     r = bars.select("date", "ticker", change(F.col("adj_close"), 1).alias("r"))
     spine = bars.select("date").distinct()
     spine = spine.withColumn("t", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")).cast("long"))
     r = r.join(spine, "date").where(F.col("r").isNotNull())
-    w = Window.partitionBy("ticker").orderBy("t").rangeBetween(-(n - 1), 0)
-    stats = r.select(
-        "ticker", F.col("t").alias("d"), F.count("r").over(w).alias("n"), F.avg("r").over(w).alias("mu"), F.stddev_pop("r").over(w).alias("sd")
-    ).where((F.col("n") == n) & (F.col("sd") > 0))
-    spread = r.select("ticker", "t", "r", F.explode(F.sequence("t", F.col("t") + (n - 1))).alias("d"))
-    z = spread.join(stats, ["ticker", "d"]).select("d", "t", "ticker", ((F.col("r") - F.col("mu")) / F.col("sd")).alias("z"))
-    sums = z.groupBy("d", "t").agg(F.sum("z").alias("s"), F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy("ticker").orderBy("t").rowsBetween(-(n - 1), 0)
+    seen = r.select("t", F.min("t").over(w).alias("first"), F.count("r").over(w).alias("n"), F.avg("r").over(w).alias("mu"), F.stddev_pop("r").over(w).alias("sd"), F.collect_list("r").over(w).alias("rs"))
+    # n rows on n dates in a row: no return of the window is missing
+    held = seen.where((F.col("n") == n) & (F.col("first") == F.col("t") - (n - 1)) & (F.col("sd") > 0))
+    cells = held.select(F.col("t").alias("d"), F.posexplode(F.transform("rs", lambda x: (x - F.col("mu")) / F.col("sd"))).alias("at", "z"))
+    sums = cells.groupBy("d", "at").agg(F.sum("z").alias("s"), F.count(F.lit(1)).alias("k"))
     k = F.max("k")
     mean = sums.groupBy("d").agg(
         F.when(k > 1, (F.sum(F.col("s") * F.col("s")) / float(n) - k) / (k * (k - 1))).alias(f"corr_regime_{n}d")

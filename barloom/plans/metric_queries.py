@@ -62,7 +62,7 @@ def m08_daily_rank_ic(spark, sf_dir):
 
 
 def m10_permuted_ics(spark, sf_dir):
-    return rounded(M.permuted_ics(predictions(spark, sf_dir), DRAWS))
+    return rounded(M.permuted_ics(materialise(predictions(spark, sf_dir)), DRAWS))
 
 
 def m11_permutation_p(spark, sf_dir):
