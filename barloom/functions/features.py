@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import change, forward_fill, full, lag, last_rows, nearest_quantile, over, run_id, so_far
+from ..operators.windows import change, dealt, forward_fill, full, lag, last_rows, median, nearest_quantile, over, run_id, so_far
 from .smoothers import COLUMNS as SMOOTHED
 from .smoothers import with_smoothers
 
@@ -45,7 +45,8 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     wanted = None if columns is None else set(columns)
     smoothed = {x for x in SMOOTHED if wanted is None or x in wanted}
     smoothed |= {x for name, needs in OF_SMOOTHED.items() if wanted is None or name in wanted for x in needs}
-    df = with_smoothers(bars, smoothed) if smoothed else bars
+    df = dealt(bars, "ticker")
+    df = with_smoothers(df, smoothed) if smoothed else df
     adj = c("adj_close")
     spread = c("high") - c("low")
     df = df.withColumns(
@@ -146,7 +147,7 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
         "_plo": full(F.min, adj, 20),
         "_rhi": full(F.max, c("rsi_14"), 20),
         "_rlo": full(F.min, c("rsi_14"), 20),
-        "regime_adjusted_rsi": c("rsi_14") - full(lambda x: F.percentile(x, 0.5), c("rsi_14"), 252),
+        "regime_adjusted_rsi": c("rsi_14") - median(c("rsi_14"), 252),
     }
     df = df.withColumns({name: x for name, x in made.items() if smoothed.issuperset(OF_SMOOTHED.get(name, ["rsi_14"]))})
     if "rsi_14" in smoothed:

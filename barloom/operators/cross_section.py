@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank, change, full
+from .windows import average_rank, change, dealt, full
 
 
 def percentile_rank(x: Column, by: Sequence[str] = ("date",)) -> Column:
@@ -47,8 +47,7 @@ def market_beta(bars: DataFrame, index: DataFrame, n: int = 60) -> DataFrame:
 
     The index is one row per date and so small that it joins by broadcast while it stays under Spark's own bound.
     """
-    day = Window.partitionBy(F.lit(1)).orderBy("date")  # one row per date: a dimension
-    market = index.select("date", (F.try_divide("index_close", F.lag("index_close").over(day)) - 1).alias("y"))
+    market = market_returns(index)
     own = bars.select("date", "ticker", change(F.col("adj_close"), 1).alias("x"))
     both = own.join(market, "date").where("x IS NOT NULL AND y IS NOT NULL")
     xy, x, y, yy = (full(F.avg, e, n) for e in (F.col("x") * F.col("y"), F.col("x"), F.col("y"), F.col("y") * F.col("y")))
@@ -57,6 +56,30 @@ def market_beta(bars: DataFrame, index: DataFrame, n: int = 60) -> DataFrame:
     return bars.select("date", "ticker").join(beta, ["date", "ticker"], "left")
 
 
+def with_beta(df: DataFrame, market: DataFrame, n: int = 60) -> DataFrame:
+    """``df`` (dealt by ticker) with beta_{n}d_nifty50, as ``market_beta``, but as windows of the partitioning it has.
+
+    ``market`` (date, y: the index's return) is a written table of one row a date, which Spark broadcasts below its bound. The last n
+    rows where both returns exist are those whose running number of such rows is at most n - 1 behind.
+    """
+    x, y = F.col("_x"), F.col("y")
+    both = df.join(market, "date", "left").withColumn("_x", change(F.col("adj_close"), 1))
+    both = both.withColumn("_both", x.isNotNull() & y.isNotNull())
+    so_far = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_nth", F.sum(F.col("_both").cast("long")).over(so_far))
+    w = Window.partitionBy("ticker").orderBy("_nth").rangeBetween(-(n - 1), 0)
+    xy, mx, my, yy = (F.avg(F.when(F.col("_both"), e)).over(w) for e in (x * y, x, y, y * y))
+    var = yy - my * my
+    beta = F.when(F.col("_both") & (F.col("_nth") >= n) & (var > 0), F.try_divide(xy - mx * my, var))
+    return both.withColumn(f"beta_{n}d_nifty50", beta).drop("_x", "y", "_both", "_nth")
+
+
+def market_returns(index: DataFrame) -> DataFrame:
+    """date, y: the change of the index against the date before; one row per date."""
+    day = Window.partitionBy(F.lit(1)).orderBy("date")
+    return index.select("date", (F.try_divide("index_close", F.lag("index_close").over(day)) - 1).alias("y"))
+
+
 def cross_section(features: DataFrame, special: DataFrame | None = None) -> DataFrame:
     """Ranks, scores and sector columns of a feature frame with ret_5d, realized_vol_20d, turnover and sector.
 
@@ -68,7 +91,7 @@ def cross_section(features: DataFrame, special: DataFrame | None = None) -> Data
     if special is not None:
         df = df.join(special.select("date", F.lit(True).alias("_special")), "date", "left")
         turnover = F.when(F.col("_special").isNull(), turnover)
-    df = df.withColumn("_turnover", turnover)
+    df = dealt(df.withColumn("_turnover", turnover), "date")
     df = df.withColumns(
         {
             "ret_5d_rank_universe": percentile_rank(F.col("ret_5d")),

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from .windows import average_rank, dealt
 
 EPS = 1e-15
 
@@ -122,11 +122,6 @@ def _orders(day: object, tickers: Sequence[str], n: int, seed: int) -> Iterator[
         yield np.array([[md5(f"{seed}|{d}|{day}|{t}".encode()).digest() for t in tickers] for d in draws], "S16")
 
 
-def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` dealt by ``keys`` over all shuffle partitions: a little data that much work is done on is not put together again."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def permuted_ics(df: DataFrame, n: int = 1000, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """draw, ic_mean, per group of ``by``: the mean daily coefficient when scores are dealt anew within each date, ``n`` times.
 
@@ -151,7 +146,7 @@ def permuted_ics(df: DataFrame, n: int = 1000, by: Sequence[str] = (), seed: int
         *keys, "ticker", F.col("predicted_proba").cast("double").alias("predicted_proba"), F.col("actual_return").cast("double").alias("actual_return")
     )
     shape = ", ".join([*(f"{c} {slim.schema[c].dataType.simpleString()}" for c in by), "ics array<double>"])
-    daily = _spread(slim, keys).groupBy(*keys).applyInArrow(each, shape)
+    daily = dealt(slim, *keys).groupBy(*keys).applyInArrow(each, shape)
     return daily.select(*by, F.posexplode("ics").alias("at", "ic")).groupBy(*by, (F.col("at") + 1).alias("draw")).agg(F.avg("ic").alias("ic_mean"))
 
 
@@ -197,7 +192,7 @@ def permuted_feature_ics(df: DataFrame, features: Sequence[str], outcome: str, n
         return pa.table({"feature": pa.array(found["feature"], pa.string()), "ics": pa.array(found["ics"], pa.list_(pa.float64()))})
 
     slim = df.select("date", "ticker", F.col(outcome).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features])
-    daily = _spread(slim, ["date"]).groupBy("date").applyInArrow(each, "feature string, ics array<double>")
+    daily = dealt(slim, "date").groupBy("date").applyInArrow(each, "feature string, ics array<double>")
     return daily.select("feature", F.posexplode("ics").alias("at", "ic")).groupBy("feature", (F.col("at") + 1).alias("draw")).agg(F.avg("ic").alias("ic_mean"))
 
 

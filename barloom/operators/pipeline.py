@@ -7,6 +7,24 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.features import per_ticker
+from ..sources.scratch import materialise
+from .cross_section import cross_section, market_returns, with_beta
+from .regime import mean_correlation, regime
+
+
+def all_features(bars: DataFrame, index: DataFrame, vix: DataFrame, special: DataFrame) -> DataFrame:
+    """date, ticker and every feature of ``METADATA``, special sessions masked: the assembled table of a written panel.
+
+    ``bars`` (with sector) is dealt by ticker once, for all windows, smoothers and beta, and by date once, for all
+    cross-sections. What has one row a date, index returns, regimes and special sessions, is written first and small: it is
+    joined where the rows are.
+    """
+    market, regimes = materialise(market_returns(index)), materialise(regime(bars, index, vix).join(mean_correlation(bars), "date", "left"))
+    section = cross_section(with_beta(per_ticker(bars), market), special)
+    joined = assemble(section, regimes)
+    names = [name for name, *_ in METADATA]
+    return mask_special(joined.select("date", "ticker", *names), materialise(special), masked_columns(joined.select(names)))
 
 
 def assemble(features: DataFrame, regimes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import change
+from .windows import change, dealt
 
 
 def regime(bars: DataFrame, index: DataFrame, vix: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def mean_correlation(bars: DataFrame, n: int = 60) -> DataFrame:
     ever formed. A full window is the ticker's last n rows; its z-scores are cells of (last date, date), which are added up within each
     task before they are shuffled: dates times n cells leave a task, however many tickers it holds.
     """
-    r = bars.select("date", "ticker", change(F.col("adj_close"), 1).alias("r"))
+    r = dealt(bars.select("date", "ticker", "adj_close"), "ticker").select("date", "ticker", change(F.col("adj_close"), 1).alias("r"))
     spine = bars.select("date").distinct()
     spine = spine.withColumn("t", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")).cast("long"))
     r = r.join(spine, "date").where(F.col("r").isNotNull())

@@ -15,6 +15,14 @@ def over(key: str | Sequence[str] = KEY, order: str = "date") -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all shuffle partitions, which the windows and groups of these keys then share.
+
+    Adaptive execution puts small partitions together by their bytes; rows that much work is done on are not to be.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def last_rows(n: int, key: str | Sequence[str] = KEY, order: str = "date") -> WindowSpec:
     """The current row and the n - 1 before it."""
     return over(key, order).rowsBetween(-(n - 1), 0)
@@ -47,6 +55,13 @@ def nearest_quantile(x: Column, q: float, w: WindowSpec, n: int | None = None) -
     return F.when(F.size(values) == n, at) if n else F.when(F.size(values) > 0, at)
 
 
+def median(x: Column, n: int) -> Column:
+    """The median of the last n rows; null until all n values are there. A bounded frame is sorted, no table of counts is kept."""
+    values = F.array_sort(F.collect_list(x).over(last_rows(n)))
+    low, high = F.element_at(values, (n + 1) // 2), F.element_at(values, n // 2 + 1)
+    return F.when(F.size(values) == n, (low + high) / 2)
+
+
 def average_rank(x: Column, by: Sequence[str]) -> Column:
     """Rank with ties at their mean; null for null."""
     ordered = Window.partitionBy(*by, x.isNull()).orderBy(x)

@@ -9,7 +9,7 @@ from ..operators import cross_section as X
 from ..operators import labels as L
 from ..operators import pipeline as P
 from ..operators import regime as R
-from .feature_queries import S1, S2, S3, S4, S5, S6, full
+from .feature_queries import S1, S2, S3, S4, S5, S6, SUPERTREND, WHOLE, full
 from .panel import bars, bars_once, fear_index, market_index, rounded, with_bars
 
 SECTION = ["ret_5d", "realized_vol_20d", "turnover", "sector"]
@@ -77,8 +77,13 @@ def assembled(panel):
     return P.assemble(X.cross_section(features, special_sessions(panel)), regimes(panel))
 
 
+def everything(panel):
+    """All features of a written panel."""
+    return P.all_features(panel, market_index(panel), fear_index(panel), special_sessions(panel))
+
+
 def p01_feature_join(spark, sf_dir):
-    return rounded(assembled(bars_once(spark, sf_dir)).select("date", "ticker", *ASSEMBLED))
+    return rounded(everything(bars_once(spark, sf_dir)), 4)
 
 
 def p02_special_mask(spark, sf_dir):
@@ -239,6 +244,12 @@ ASSEMBLY = (
   FROM f2 f LEFT JOIN ret_5d_z_winsor_c c ON f.date = c.date AND f.ticker = c.ticker LEFT JOIN rg ON f.date = rg.date)""",
 )
 NO_SPECIAL = "month(date) = 1 AND day(date) <= 7"
+BETA = (
+    "mk AS (SELECT date, index_close / lag(index_close) OVER (ORDER BY date) - 1 AS y FROM idx)",
+    "own AS (SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS x FROM bars)",
+    "xy AS (SELECT own.*, y FROM own JOIN mk ON own.date = mk.date WHERE x IS NOT NULL AND y IS NOT NULL)",
+    f"bt AS (SELECT date, ticker, ({full('avg', 'x * y', 60)} - {full('avg', 'x', 60)} * {full('avg', 'y', 60)}) AS cov, ({full('avg', 'y * y', 60)} - pow({full('avg', 'y', 60)}, 2)) AS vr FROM xy)",
+)
 PAIRS = f"""
 rr AS (SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM bars),
 sp AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM bars)),
@@ -252,6 +263,36 @@ mc AS (
   SELECT pr.t, avg(rho) AS m FROM pr JOIN ok p ON p.ticker = x AND p.t = pr.t AND p.n = 60 JOIN ok q ON q.ticker = y AND q.t = pr.t AND q.n = 60
   WHERE NOT isnan(rho) GROUP BY pr.t)"""
 
+#: All features by name, before special sessions are masked: ``af``.
+EVERYTHING = (
+    *FEATS,
+    SUPERTREND,
+    F2.replace("s2)", "feats)"),
+    *SCORE,
+    *VOL_SCORE,
+    REGIME,
+    PAIRS,
+    *BETA,
+    f"""af AS (
+  SELECT f.*, rs.ret_5d_z_winsor * rg.vix_pct_252d AS mean_reversion_strength_x_vix, CASE WHEN st.band.r THEN st.band.l ELSE st.band.u END AS supertrend_10_3,
+    rs.ret_5d_z_winsor, vs.vol_20d_z_winsor, CASE WHEN vr > 0 THEN cov / vr END AS beta_60d_nifty50, rg.vix_level, rg.vix_pct_252d, rg.nifty_above_sma_200, m AS corr_regime_60d
+  FROM (SELECT *, {percentile_sql('ret_5d')} AS ret_5d_rank_universe, {percentile_sql('realized_vol_20d')} AS vol_20d_rank_universe,
+      {percentile_sql('open_turnover')} AS turnover_rank_universe, {SECTOR_RANK} AS ret_5d_rank_sector,
+      CASE WHEN count(*) OVER (PARTITION BY date, sector) > 1 THEN ret_5d - median(ret_5d) OVER (PARTITION BY date, sector) END AS ret_5d_dist_sector_median FROM f2) f
+  JOIN t4 st USING (date, ticker) LEFT JOIN ret_5d_z_winsor_c rs USING (date, ticker) LEFT JOIN vol_20d_z_winsor_c vs USING (date, ticker) LEFT JOIN bt USING (date, ticker)
+  LEFT JOIN rg USING (date) LEFT JOIN sp USING (date) LEFT JOIN mc USING (t))""",
+)
+
+
+def whole_table(digits: int) -> str:
+    """The columns of ``af``, masked on special sessions and rounded."""
+    out = ["date", "ticker"]
+    for name, _, _, _, mask in P.METADATA:
+        x = f"CASE WHEN NOT ({NO_SPECIAL}) THEN {name} END" if mask else name
+        out.append(f"CAST({x} AS INT) AS {name}" if name in {*WHOLE, "nifty_above_sma_200"} else f"round({x}, {digits}) + 0.0 AS {name}")
+    return ", ".join(out)
+
+
 ORACLE_SQL = {
     "x01_return_rank": _ranked("ret_5d", "ret_5d_rank_universe"),
     "x02_vol_rank": _ranked("realized_vol_20d", "vol_20d_rank_universe"),
@@ -265,10 +306,7 @@ ORACLE_SQL = {
         FROM s2 WINDOW d AS (PARTITION BY date, sector)""",
     ),
     "x08_beta": with_bars(
-        "mk AS (SELECT date, index_close / lag(index_close) OVER (ORDER BY date) - 1 AS y FROM idx)",
-        "own AS (SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS x FROM bars)",
-        "xy AS (SELECT own.*, y FROM own JOIN mk ON own.date = mk.date WHERE x IS NOT NULL AND y IS NOT NULL)",
-        f"bt AS (SELECT date, ticker, ({full('avg', 'x * y', 60)} - {full('avg', 'x', 60)} * {full('avg', 'y', 60)}) AS cov, ({full('avg', 'y * y', 60)} - pow({full('avg', 'y', 60)}, 2)) AS vr FROM xy)",
+        *BETA,
         select="""SELECT bars.date, bars.ticker, round(CASE WHEN vr > 0 THEN cov / vr END, 4) + 0.0 AS beta_60d_nifty50
         FROM bars LEFT JOIN bt ON bars.date = bt.date AND bars.ticker = bt.ticker""",
     ),
@@ -287,7 +325,7 @@ ORACLE_SQL = {
         select="""SELECT c.date, c.ticker, round(ret_5d_z_winsor * vix_pct_252d, 6) + 0.0 AS mean_reversion_strength_x_vix
         FROM ret_5d_z_winsor_c c LEFT JOIN rg ON c.date = rg.date""",
     ),
-    "p01_feature_join": with_bars(*ASSEMBLY, select=f"SELECT date, ticker, {r6(*ASSEMBLED)} FROM asm"),
+    "p01_feature_join": with_bars(*EVERYTHING, select=f"SELECT {whole_table(4)} FROM af"),
     "p02_special_mask": with_bars(
         *ASSEMBLY,
         select=f"""SELECT date, ticker, {r6('ret_1d')},
