@@ -13,7 +13,7 @@ from ..operators import validation as V
 from ..operators.folds import add_quarters, fold_rows, quarter_end
 from ..sources import bars as S
 from ..sources.scratch import materialise, new_folder
-from ..streaming.append import append_bars, bar_stream, count_windows
+from ..streaming.append import append_bars, bar_stream, finish_windows
 from .feature_queries import S1, S2, S3, S4, S5, S6
 from .market_queries import NO_SPECIAL, special_sessions
 from .metric_queries import folds, q_add, q_end
@@ -322,18 +322,39 @@ def streaming_append(spark, sf_dir):
     return rounded(spark.read.schema(S.BARS).parquet(f"{folder}/table"))
 
 
+#: Days of events in an arrival, and the last of them; ids that arrive one too late, and ids that are sent twice.
+DAYS_A_LOAD, LAST_LOAD, TARDY, TWICE = 8, 3, 50, 7
+
+
+def arrivals(spark, sf_dir):
+    """Events with the load they arrive in: some days each, some events a load late and some twice."""
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    first = e.agg(F.to_date(F.min("ts")).alias("first"))
+    day = F.datediff(F.to_date("ts"), F.col("first"))
+    load = F.least(F.lit(LAST_LOAD), F.floor(day / DAYS_A_LOAD)) + F.when(F.col("event_id") % TARDY == 0, 1).otherwise(0)
+    e = e.join(F.broadcast(first)).withColumn("load", load.cast("int")).drop("first")
+    return e.unionByName(e.where(F.col("event_id") % TWICE == 0))
+
+
+def streamed(spark, sf_dir):
+    """The table of complete windows after all loads, each taken in by a run of its own, and what each run took."""
+    folder, taken = new_folder(spark), []
+    e = materialise(arrivals(spark, sf_dir))
+    for load in range(LAST_LOAD + 2):
+        e.where(F.col("load") == load).drop("load").write.parquet(f"{folder}/in/load-{load}")
+        stream = spark.readStream.schema("event_id long, ts timestamp, event_type string, value double").parquet(f"{folder}/in/*")
+        taken.append(finish_windows(stream, f"{folder}/out", f"{folder}/log"))
+    return spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{folder}/out"), taken
+
+
 def streaming_windows(spark, sf_dir):
-    """Hourly counts of events by a watermarked stream, read to its end.
+    """Hourly counts of events of the windows that are complete, without late rows and copies."""
+    return rounded(streamed(spark, sf_dir)[0], 3)
 
-    Events arrive in files by ranges of time, and all that is there is one batch: a later batch would take rows behind
-    its watermark for late. Each trigger replaces the table of counts in the shared folder.
-    """
-    folder = new_folder(spark)
-    e = read(spark, sf_dir, "events")
-    e.select("ts", "event_type", "value").repartitionByRange("ts").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{folder}/in")
-    count_windows(stream, f"{folder}/out", f"{folder}/log").awaitTermination()
-    return rounded(spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{folder}/out"), 3)
+
+def streaming_late_rows(spark, sf_dir):
+    """load, rows, late: what each run took in, and what it dropped as behind the watermark."""
+    return spark.createDataFrame([(i, t.rows, t.late) for i, t in enumerate(streamed(spark, sf_dir)[1])], "load int, rows long, late long")
 
 
 QUERIES = {
@@ -344,7 +365,7 @@ QUERIES = {
         c03_regular_days, c04_special_flag, c05_neighbours, c06_schedule, c07_statistics, c08_date_range, c09_projection, c10_snap, c11_quarters,
         d04_latest, d05_runs_between, d06_cadence, d07_regime_label, d08_regime_inputs, d09_picks,
         d11_freshness, d12_value_curve, d13_basket, d14_timing, d15_last_window, d16_rank_movement, d17_chart_window, t06_fit_predict,
-        t07_t11_saved_model, t08_search, t09_importance, streaming_append, streaming_windows,
+        t07_t11_saved_model, t08_search, t09_importance, streaming_append, streaming_windows, streaming_late_rows,
     )
 }
 
@@ -394,6 +415,11 @@ rb AS (SELECT date AS seen, index_close / lag(index_close, 60) OVER (ORDER BY da
 rin AS (SELECT dy.date, ra.seen, CAST(vol_regime AS INT) AS vol_regime, above, ret60 FROM dy LEFT JOIN (SELECT d.date, max(e.date) AS seen FROM dy d JOIN dy e ON e.date < d.date GROUP BY 1) z ON dy.date = z.date
   LEFT JOIN ra ON ra.seen = z.seen LEFT JOIN rb ON rb.seen = z.seen)"""
 PROJECT = "(SELECT max(w) FROM (SELECT CAST(w AS DATE) AS w FROM generate_series({d} + 1, {d} + 100, INTERVAL 1 DAY) g(w) WHERE isodow(w) < 6 AND CAST(w AS DATE) NOT IN (SELECT date FROM sps) ORDER BY w LIMIT 20))"
+ARRIVED = f"""WITH e0 AS (
+  SELECT event_id, ts, event_type, value, least({LAST_LOAD}, (CAST(ts AS DATE) - (SELECT CAST(min(ts) AS DATE) FROM events)) // {DAYS_A_LOAD}) + CASE WHEN event_id % {TARDY} = 0 THEN 1 ELSE 0 END AS load FROM events),
+e1 AS (SELECT * FROM e0 UNION ALL SELECT * FROM e0 WHERE event_id % {TWICE} = 0),
+wm AS (SELECT l.load, date_trunc('milliseconds', max(e1.ts)) - INTERVAL 10 MINUTE AS mark FROM (SELECT DISTINCT load FROM e1) l JOIN e1 ON e1.load < l.load GROUP BY 1),
+ev AS (SELECT e1.*, coalesce(ts <= mark, FALSE) AS late FROM e1 LEFT JOIN wm USING (load))"""
 VALUE3 = "round(total_value, 3) + 0.0 AS total_value"
 
 ORACLE_SQL = {
@@ -480,5 +506,7 @@ ORACLE_SQL = {
     ),
     "d17_chart_window": with_bars(SERIES, select=f"SELECT series, date, {VALUE3} FROM ser WHERE date >= (SELECT max(date) FROM ser) - 182"),
     "streaming_append": with_bars(select=f"SELECT {UPSERTED} FROM bars"),
-    "streaming_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) + 0.0 AS total FROM events GROUP BY 1, 2",
+    "streaming_windows": f"""{ARRIVED} SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) + 0.0 AS total
+      FROM (SELECT DISTINCT event_id, ts, event_type, value FROM ev WHERE NOT late) WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE GROUP BY 1, 2""",
+    "streaming_late_rows": f"{ARRIVED} SELECT CAST(load AS INT) AS load, count(*) AS rows, count(*) FILTER (WHERE late) AS late FROM ev GROUP BY load",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,21 +37,44 @@ def append_bars(bars: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     return bars.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Event-time counts and sums by type, with late data taken until the watermark passes."""
+def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", id_col: str = "event_id") -> DataFrame:
+    """Event-time counts and sums by type of the events, each id once, that are not behind the watermark.
+
+    The watermark of a batch is the latest time of all batches before, less ``late``. Rows at or behind it are dropped. Ids are
+    remembered until the watermark has passed them, so a copy is dropped as a copy or as late; a window is complete
+    when the watermark reaches its end, leaves in that batch, and its state goes.
+    """
     return (
         events.withWatermark("ts", late)
+        .dropDuplicatesWithinWatermark([id_col])
         .groupBy(F.window("ts", window).alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")
     )
 
 
-def count_windows(events: DataFrame, table: str, checkpoint: str, **options: str) -> StreamingQuery:
-    """Write the windowed counts to ``table``, as they are after each batch, until all that has arrived is counted."""
+@dataclass(frozen=True)
+class Taken:
+    """What a run took in: rows, rows behind the watermark, and rows of state left at its end."""
+
+    rows: int
+    late: int
+    state: int
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
 
-    counts = windowed_counts(events, **options).writeStream.outputMode("complete").foreachBatch(put)
-    return counts.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def finish_windows(events: DataFrame, table: str, checkpoint: str, **options: str) -> Taken:
+    """Take in what has arrived, append the windows that are complete to ``table``, and end.
+
+    A later run with the same checkpoint goes on from there: with its watermark, its open windows and the ids it remembers.
+    Files appear with the batch that made them, so a batch that is run again after a failure appends once.
+    """
+    out = windowed_counts(events, **options).writeStream.outputMode("append").format("parquet").option("path", table)
+    query = out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = [p for p in query.recentProgress if p["stateOperators"]]
+    operators = [o for p in found for o in p["stateOperators"]]
+    return Taken(
+        sum(p["numInputRows"] for p in found),
+        sum(o["numRowsDroppedByWatermark"] for o in operators),
+        sum(o["numRowsTotal"] for o in found[-1]["stateOperators"]) if found else 0,
+    )

@@ -11,7 +11,7 @@ from barloom import plans
 SOME = [
     "f01_returns", "f14_vol_regime", "f18_adx", "f22_supertrend", "f43_trend_strength", "x04_return_score", "x08_beta", "r05_mean_correlation", "p01_feature_join",
     "l04_demeaned_return", "t05_folds", "m08_daily_rank_ic", "m12_bundle", "m23_univariate", "b05_top_picks", "b07_flat_brokerage", "q09_bundle", "q17_counterfactual",
-    "o04_upsert", "v_all_rules", "c10_snap", "d07_regime_label", "d16_rank_movement", "streaming_append", "streaming_windows", "p05_metadata", "m19_significance",
+    "o04_upsert", "v_all_rules", "c10_snap", "d07_regime_label", "d16_rank_movement", "streaming_append", "streaming_windows", "streaming_late_rows", "p05_metadata", "m19_significance",
     "m25_extremes", "b09_trade_legs", "b12_equal_weight", "b15_sensitivity", "q07_p_value", "q15_attribution", "r06_wide_returns", "v12_published", "v12_quarantined", "v12_report", "d01_replace_dates", "d02_ledger", "d03_replace_series",
     "d10_backfill", "d10_positions", "d10_runs", "b10_portfolio", "q10_windows", "q18_overlap",
 ]
