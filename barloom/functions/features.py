@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import change, dealt, forward_fill, full, lag, last_rows, median, nearest_quantile, over, run_id, so_far
+from ..operators.windows import change, dealt, forward_fill, full, lag, last_rows, nearest, over, run_id, so_far, sorted_rows
 from .smoothers import COLUMNS as SMOOTHED
 from .smoothers import with_smoothers
 
@@ -40,13 +40,20 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
 
     The frame is a chain of projections, each with the windows whose inputs the one before has made; all share the
     partitioning by ticker, so there is one shuffle and one sort, and columns that nobody asks for are pruned. The
-    grouped pass of the recursive smoothers is part of the plan only if a feature needs it.
+    grouped pass of the recursive smoothers is part of the plan only if a feature needs it and ``bars`` does not bring its column.
+    Where the bars before are known by what they came to, ``bars`` has ``is_new`` and, in each ticker's last row that is not, ``seed``
+    (obv, accum_dist_line, consecutive_days_above_sma50): sums without a bound go on from there.
     """
     wanted = None if columns is None else set(columns)
     smoothed = {x for x in SMOOTHED if wanted is None or x in wanted}
     smoothed |= {x for name, needs in OF_SMOOTHED.items() if wanted is None or name in wanted for x in needs}
+    have = set(bars.columns)
     df = dealt(bars, "ticker")
-    df = with_smoothers(df, smoothed) if smoothed else df
+    df = with_smoothers(df, smoothed - have) if smoothed - have else df
+
+    def seeded(step: Column, name: str) -> Column:
+        return step if "seed" not in have else F.when(c("seed").isNotNull(), c(f"seed.{name}")).when(c("is_new"), step).otherwise(0)
+
     adj = c("adj_close")
     spread = c("high") - c("low")
     df = df.withColumns(
@@ -97,8 +104,8 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
             "stoch_k_14": F.when(c("_hh14") != c("_ll14"), 100 * _ratio(c("close") - c("_ll14"), c("_hh14") - c("_ll14"))),
             "williams_r_14": F.when(c("_hh14") != c("_ll14"), -100 * _ratio(c("_hh14") - c("close"), c("_hh14") - c("_ll14"))),
             "vol_ratio_20d": _ratio(c("_vol"), full(F.avg, c("_vol"), 20)),
-            "obv": F.sum(F.coalesce(F.signum(c("close") - c("_pc")), F.lit(0.0)) * c("_vol")).over(so_far()),
-            "accum_dist_line": F.sum(F.when(spread != 0, money).otherwise(0.0)).over(so_far()),
+            "obv": F.sum(seeded(F.coalesce(F.signum(c("close") - c("_pc")), F.lit(0.0)) * c("_vol"), "obv")).over(so_far()),
+            "accum_dist_line": F.sum(seeded(F.when(spread != 0, money).otherwise(0.0), "accum_dist_line")).over(so_far()),
             # with 20 rows the 1 % and 99 % quantiles nearest by index are the extremes, and clipping changes nothing
             "_vmean": full(F.avg, c("_vol"), 20),
             "_vstd": full(F.stddev_samp, c("_vol"), 20),
@@ -115,8 +122,7 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
             "gap_fill_rate_winsor": F.when(c("gap_fill_rate") < -2, -2.0).when(c("gap_fill_rate") > 2, 2.0).otherwise(c("gap_fill_rate")),
             "garman_klass_vol_20d": F.when(c("_gk20") > 0, F.sqrt("_gk20") * YEAR),
             "vol_of_vol_20d": full(F.stddev_samp, c("realized_vol_20d"), 20),
-            "_q33": nearest_quantile(c("realized_vol_20d"), 0.33, last_rows(252), 252),
-            "_q67": nearest_quantile(c("realized_vol_20d"), 0.67, last_rows(252), 252),
+            "_vols": sorted_rows(c("realized_vol_20d"), 252),
             "stoch_d_3": full(F.avg, c("stoch_k_14"), 3),
             "unusual_vol_z_20d": F.when(c("_vstd") != 0, (c("_vol") - c("_vmean")) / c("_vstd")),
             "_ha_dir": F.coalesce(forward_fill(F.when(c("_ha_move") != 0, c("_ha_move"))), F.lit(0.0)),
@@ -129,12 +135,12 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     )
     df = df.withColumns(
         {
-            "vol_regime": F.when(c("_q33").isNull(), None)
-            .when(c("realized_vol_20d") < c("_q33"), 0)
-            .when(c("realized_vol_20d") < c("_q67"), 1)
+            "vol_regime": F.when(c("_vols").isNull(), None)
+            .when(c("realized_vol_20d") < c("_vols")[nearest(252, 0.33)], 0)
+            .when(c("realized_vol_20d") < c("_vols")[nearest(252, 0.67)], 1)
             .otherwise(2),
             "up_streak_length": F.least(F.sum("_up").over(_in_run("_up_run")), F.lit(20)),
-            "consecutive_days_above_sma50": F.sum("_above50").over(_in_run("_above_run")),
+            "consecutive_days_above_sma50": F.sum(seeded(c("_above50"), "consecutive_days_above_sma50")).over(_in_run("_above_run")),
             "_ha_run": run_id(F.coalesce(c("_ha_dir") != lag(c("_ha_dir")), F.lit(True))),
         }
     )
@@ -147,10 +153,11 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
         "_plo": full(F.min, adj, 20),
         "_rhi": full(F.max, c("rsi_14"), 20),
         "_rlo": full(F.min, c("rsi_14"), 20),
-        "regime_adjusted_rsi": c("rsi_14") - median(c("rsi_14"), 252),
+        "_rsis": sorted_rows(c("rsi_14"), 252),
     }
     df = df.withColumns({name: x for name, x in made.items() if smoothed.issuperset(OF_SMOOTHED.get(name, ["rsi_14"]))})
     if "rsi_14" in smoothed:
+        df = df.withColumn("regime_adjusted_rsi", c("rsi_14") - (c("_rsis")[125] + c("_rsis")[126]) / 2)
         df = df.withColumn(
             "momentum_div_flag",
             F.when((adj == c("_plo")) & (c("rsi_14") != c("_rlo")), 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +21,14 @@ def all_features(bars: DataFrame, index: DataFrame, vix: DataFrame, special: Dat
     joined where the rows are.
     """
     market, regimes = materialise(market_returns(index)), materialise(regime(bars, index, vix).join(mean_correlation(bars), "date", "left"))
-    section = cross_section(with_beta(per_ticker(bars), market), special)
-    joined = assemble(section, regimes)
+    return assembled(with_beta(per_ticker(bars), market), regimes, materialise(special))
+
+
+def assembled(features: DataFrame, regimes: DataFrame, special: DataFrame) -> DataFrame:
+    """The columns of ``METADATA`` from per-ticker features with beta, and from written tables of one row a date."""
+    joined = assemble(cross_section(features, special), regimes)
     names = [name for name, *_ in METADATA]
-    return mask_special(joined.select("date", "ticker", *names), materialise(special), masked_columns(joined.select(names)))
+    return mask_special(joined.select("date", "ticker", *names), special, masked_columns(joined.select(names)))
 
 
 def assemble(features: DataFrame, regimes: DataFrame) -> DataFrame:
@@ -43,12 +47,6 @@ def mask_special(features: DataFrame, special: DataFrame, columns: Sequence[str]
     return df.withColumns({c: F.when(F.col("_special").isNull(), F.col(c)) for c in columns}).drop("_special")
 
 
-def recompute_since(bars: DataFrame, compute: Callable[[DataFrame], DataFrame], after: str, days: int = 500) -> DataFrame:
-    """Features of the dates after ``after`` only, from the bars of ``days`` calendar days before: the scan is pruned by date."""
-    recent = bars.where(F.col("date") > F.date_sub(F.lit(after).cast("date"), days))
-    return compute(recent).where(F.col("date") > F.lit(after).cast("date"))
-
-
 #: Name, module, source, rows that are looked back on (the current one included), whether special sessions mask it.
 METADATA: tuple[tuple[str, str, str, int, bool], ...] = (
     ("ret_1d", "price", "per_ticker", 2, False),
@@ -128,6 +126,31 @@ METADATA: tuple[tuple[str, str, str, int, bool], ...] = (
 )
 
 
+#: Windows of features: how many rows of which other feature they hold.
+WINDOWS_OF: dict[str, tuple[int, str]] = {
+    "vol_regime": (252, "realized_vol_20d"),
+    "vol_of_vol_20d": (20, "realized_vol_20d"),
+    "pct_days_above_sma200_252d": (252, "dist_sma_200_pct"),
+    "trend_persistence_60d": (60, "dist_sma_20_pct"),
+    "stoch_d_3": (3, "stoch_k_14"),
+    "range_expansion_20d": (20, "range_pct_close"),
+    "roc_consistency_20d": (20, "ret_5d"),
+    "volume_trend_alignment": (20, "ret_1d"),
+    "up_streak_length": (20, "ret_1d"),
+    "regime_adjusted_rsi": (252, "rsi_14"),
+    "momentum_div_flag": (20, "rsi_14"),
+    "beta_60d_nifty50": (60, "ret_1d"),
+    "corr_regime_60d": (60, "ret_1d"),
+}
+
+
+def closure(name: str) -> int:
+    """The rows of a ticker that a feature needs, the current one included: its window's, each with all that its input needs."""
+    own = next(rows for n, _, _, rows, _ in METADATA if n == name)
+    rows, of = WINDOWS_OF.get(name, (own, None))
+    return max(own, rows + closure(of) - 1 if of else rows)
+
+
 def metadata(spark: SparkSession) -> DataFrame:
     """The feature metadata as a table."""
     return spark.createDataFrame(list(METADATA), "name string, module string, source string, lookback int, mask_on_special boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -48,18 +49,15 @@ def change(x: Column, n: int) -> Column:
     return F.try_divide(x, lag(x, n)) - 1
 
 
-def nearest_quantile(x: Column, q: float, w: WindowSpec, n: int | None = None) -> Column:
-    """The value at index round((n - 1) * q) of the sorted non-null values of a frame (with n values, if given)."""
-    values = F.array_sort(F.collect_list(x).over(w))
-    at = F.element_at(values, F.round((F.size(values) - 1) * q).cast("int") + 1)
-    return F.when(F.size(values) == n, at) if n else F.when(F.size(values) > 0, at)
+def sorted_rows(x: Column, n: int) -> Column:
+    """The values of the last n rows in order; null until all n are there. Make it a column of its own: each use would sort again."""
+    values = F.collect_list(x).over(last_rows(n))
+    return F.when(F.size(values) == n, F.sort_array(values))
 
 
-def median(x: Column, n: int) -> Column:
-    """The median of the last n rows; null until all n values are there. A bounded frame is sorted, no table of counts is kept."""
-    values = F.array_sort(F.collect_list(x).over(last_rows(n)))
-    low, high = F.element_at(values, (n + 1) // 2), F.element_at(values, n // 2 + 1)
-    return F.when(F.size(values) == n, (low + high) / 2)
+def nearest(n: int, q: float) -> int:
+    """The index of the nearest of n sorted values to a quantile: half of the way counts up."""
+    return math.floor((n - 1) * q + 0.5)
 
 
 def average_rank(x: Column, by: Sequence[str]) -> Column:

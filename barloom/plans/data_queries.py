@@ -23,14 +23,6 @@ from .portfolio_queries import PICKS, SCHEDULE, SCORES, SERIES, START, picked, s
 SHORT = ["date", "ticker", "open", "high", "low", "close", "volume", "adj_close"]
 
 
-def o01_scan_bars(spark, sf_dir):
-    return rounded(S.scan(bars(spark, sf_dir).select(SHORT), "NATION_3", "1996-01-01", "1998-12-31"))
-
-
-def o02_scan_index(spark, sf_dir):
-    return rounded(S.scan(market_index(bars(spark, sf_dir)), None, "1996-01-01", "1998-12-31"))
-
-
 def o03_normalise(spark, sf_dir):
     """Events as a vendor's frame: odd names, no adjusted close, some prices missing."""
     e = read(spark, sf_dir, "events").select(
@@ -360,7 +352,7 @@ def streaming_late_rows(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        o01_scan_bars, o02_scan_index, o03_normalise, o04_upsert, o05_upsert_index, o06_enforce, o07_coverage, o08_watermarks, o09_sql_bars, o10_sql_features,
+        o03_normalise, o04_upsert, o05_upsert_index, o06_enforce, o07_coverage, o08_watermarks, o09_sql_bars, o10_sql_features,
         o11_sql_labels, o12_feature_table, o13_label_table, o14_csv, o15_json, v01_missing_columns, v_all_rules, v11_store, c01_spine, c02_window,
         c03_regular_days, c04_special_flag, c05_neighbours, c06_schedule, c07_statistics, c08_date_range, c09_projection, c10_snap, c11_quarters,
         d04_latest, d05_runs_between, d06_cadence, d07_regime_label, d08_regime_inputs, d09_picks,
@@ -423,8 +415,6 @@ ev AS (SELECT e1.*, coalesce(ts <= mark, FALSE) AS late FROM e1 LEFT JOIN wm USI
 VALUE3 = "round(total_value, 3) + 0.0 AS total_value"
 
 ORACLE_SQL = {
-    "o01_scan_bars": with_bars(select=f"SELECT {BAR_OUT.format(close='close')} FROM bars WHERE ticker = 'NATION_3' AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"),
-    "o02_scan_index": with_bars(select="SELECT date, round(index_close, 6) + 0.0 AS index_close FROM idx WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"),
     "o03_normalise": """SELECT CAST(ts AS DATE) AS date, event_type AS ticker, round(value, 6) + 0.0 AS open, round(value + 1, 6) + 0.0 AS high, round(value - 1, 6) + 0.0 AS low,
       round(value, 6) + 0.0 AS close, event_id AS volume, round(value, 6) + 0.0 AS adj_close FROM events WHERE event_id % 7 <> 0 AND value IS NOT NULL""",
     "o04_upsert": with_bars(select=f"SELECT {UPSERTED} FROM bars"),

@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.features import per_ticker
 from ..operators import cross_section as X
+from ..operators import incremental as U
 from ..operators import labels as L
 from ..operators import pipeline as P
 from ..operators import regime as R
+from ..sources.runs import RunTables
+from ..sources.scratch import new_folder
 from .feature_queries import S1, S2, S3, S4, S5, S6, SUPERTREND, WHOLE, full
 from .panel import bars, bars_once, fear_index, market_index, rounded, with_bars
 
@@ -94,9 +97,12 @@ def p02_special_mask(spark, sf_dir):
 
 
 def p04_incremental(spark, sf_dir):
-    panel = bars(spark, sf_dir)
-    new = P.recompute_since(panel, lambda p: per_ticker(p, ["dist_sma_20_pct", "ret_5d"]), "2001-06-01", days=500)
-    return rounded(new)
+    """The feature table after updates with the bars up to the ends of 1998 and of 2000, and with all: that of ``p01``."""
+    panel = bars_once(spark, sf_dir)
+    store, special = RunTables(spark, new_folder(spark)), special_sessions(panel)
+    for run, end in (("a", "1998-12-31"), ("b", "2000-12-31"), ("c", "2010-12-31")):
+        U.update(panel.where(F.col("date") <= end), special, store, run)
+    return rounded(store.read("features", U.FEATURES), 4)
 
 
 def p06_inspect(spark, sf_dir):
@@ -331,7 +337,7 @@ ORACLE_SQL = {
         select=f"""SELECT date, ticker, {r6('ret_1d')},
         round(CASE WHEN NOT ({NO_SPECIAL}) THEN vol_ratio_20d END, 6) + 0.0 AS vol_ratio_20d, {r6('rsi_14')} FROM asm""",
     ),
-    "p04_incremental": with_bars(S1, S2, select=f"SELECT date, ticker, {r6('dist_sma_20_pct', 'ret_5d')} FROM s2 WHERE date > DATE '2001-06-01'"),
+    "p04_incremental": with_bars(*EVERYTHING, select=f"SELECT {whole_table(4)} FROM af"),
     "p06_inspect": with_bars(S1, select=f"SELECT date, ticker, {r6('ret_1d', 'ret_5d')} FROM s1 WHERE ticker = (SELECT min(n_name) FROM nation) ORDER BY date DESC LIMIT 10"),
     "l01_forward_return": with_bars(LABELS, select=f"SELECT date, ticker, {r6(*[f'forward_ret_{h}d' for h in L.HORIZONS])} FROM lab"),
     "l02_universe_median": with_bars(LABELS, select="SELECT date, round(median(forward_ret_5d), 6) + 0.0 AS median_5d FROM lab GROUP BY date"),

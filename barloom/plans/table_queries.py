@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 
 from ..operators import backfill as K
 from ..operators import portfolio as B
-from ..operators.state import regime_inputs
 from ..functions.features import per_ticker
+from ..operators.labels import forward_labels
+from ..operators.state import regime_inputs
 from ..sources.runs import RunTables
 from ..sources.scratch import materialise, new_folder
+from ..sources.stored import joined, scan_panel, store_panel
 from ..sources.validated import read_bars, read_quarantine, save_bars
 from .data_queries import BAR_OUT, BROKEN, DAYS, INPUTS, RULES, RUNS, SHORT, VALUE3, broken, days, runs
 from .feature_queries import S1, S2, S3, S4, S5, S6
-from .panel import bars_once, market_index, rounded, with_bars
+from .market_queries import LABELS, r6
+from .panel import bars, bars_once, market_index, rounded, with_bars
 from .portfolio_queries import PICKS, SCHEDULE, SCORES, SERIES, _recursive, anchor, recursion_sql, scores, series
 
 TODAY = "2001-12-31"
@@ -49,6 +52,25 @@ def v12_report(spark, sf_dir):
     return spark.createDataFrame(rows, "load string, rule string, severity string, n long, published long, quarantined long")
 
 
+def o01_scan_bars(spark, sf_dir):
+    """Three years of one ticker, from bars stored by year and ticker."""
+    name = store_panel(bars(spark, sf_dir).select(SHORT))
+    return rounded(scan_panel(spark, name, "NATION_3", "1996-01-01", "1998-12-31").select(SHORT))
+
+
+def o02_scan_index(spark, sf_dir):
+    """Three years of the index, stored by year."""
+    return rounded(scan_panel(spark, store_panel(market_index(bars(spark, sf_dir))), None, "1996-01-01", "1998-12-31"))
+
+
+def o16_stored_training(spark, sf_dir):
+    """Features and labels, stored by year and ticker each, and joined where they are."""
+    panel = bars_once(spark, sf_dir)
+    features = store_panel(per_ticker(panel, ["ret_5d", "vol_ratio_20d"]))
+    labels = store_panel(forward_labels(panel, [5]).select("date", "ticker", "forward_ret_5d", "outperforms_universe_median_5d"))
+    return rounded(joined(spark, features, labels).where("forward_ret_5d IS NOT NULL"))
+
+
 CLOSES = "date date, ticker string, close double"
 
 
@@ -144,7 +166,7 @@ def d04_by_date(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        v12_published, v12_quarantined, v12_report, d01_replace_dates, d02_pending_days, d02_ledger, d03_replace_series, d10_backfill, d10_positions, d10_runs, d04_by_date,
+        o01_scan_bars, o02_scan_index, o16_stored_training, v12_published, v12_quarantined, v12_report, d01_replace_dates, d02_pending_days, d02_ledger, d03_replace_series, d10_backfill, d10_positions, d10_runs, d04_by_date,
     )
 }
 
@@ -190,6 +212,12 @@ TABLES = {
     "positions": "pos",
 }
 ORACLE_SQL = {
+    "o01_scan_bars": with_bars(select=f"SELECT {BAR_OUT.format(close='close')} FROM bars WHERE ticker = 'NATION_3' AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"),
+    "o02_scan_index": with_bars(select="SELECT date, round(index_close, 6) + 0.0 AS index_close FROM idx WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"),
+    "o16_stored_training": with_bars(
+        S1, S2, LABELS,
+        select=f"SELECT date, ticker, {r6('ret_5d', 'vol_ratio_20d', 'forward_ret_5d')}, outperforms_universe_median_5d FROM s2 JOIN lab USING (date, ticker) WHERE forward_ret_5d IS NOT NULL",
+    ),
     "v12_published": with_bars(
         BROKEN, LOADS,
         "al AS (SELECT 2 AS load, date, ticker, open, high, low, close, volume, adj_close FROM n2 UNION ALL SELECT 1, date, ticker, open, high, low, close, volume, adj_close FROM o1)",

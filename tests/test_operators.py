@@ -31,11 +31,29 @@ def panel(spark, n, tickers=2):
 
 def test_smoothers():
     assert S.ewm([None, 1.0, 3.0], 0.5, 2) == [None, None, 2.0]
-    assert S.rsi([1.0] * 20, 14) == [50.0] * 20
-    flat = S.directional([2.0] * 30, [1.0] * 30, [1.5] * 30)
+    made = lambda high, low, close: S.Smoothers(close, high, low, close, close)
+    assert made([1.0] * 20, [1.0] * 20, [1.0] * 20).rsi(14) == [50.0] * 20
+    flat = made([2.0] * 30, [1.0] * 30, [1.5] * 30).directional
     assert flat[0][12] is None and flat[0][13] == 0.0
-    assert S.supertrend([1.0] * 10, [1.0] * 10, [1.0] * 10) == [None] * 10
-    assert S.true_range([3.0, 5.0], [1.0, 4.0], [2.0, 4.5]) == [2.0, 3.0]
+    assert made([1.0] * 10, [1.0] * 10, [1.0] * 10).supertrend() == [None] * 10
+    assert made([3.0, 5.0], [1.0, 4.0], [2.0, 4.5]).true_range == [2.0, 3.0]
+
+
+@pytest.mark.parametrize("cut", [0, 1, 9, 10, 11, 60, 119])
+def test_smoothers_go_on_from_their_state(cut):
+    rng = random.Random(3)
+    close = [100.0]
+    for _ in range(119):
+        close.append(close[-1] + rng.uniform(-3, 3))
+    bars = {"open_": [c - 0.5 for c in close], "high": [c + rng.random() for c in close], "low": [c - 1 for c in close], "close": close, "adj_close": close}
+    whole = S.Smoothers(**bars)
+    state = {}
+    first = S.Smoothers(**{k: v[:cut] for k, v in bars.items()}, state=state)
+    a = {name: make(first) for name, make in S.MAKE.items()}
+    second = S.Smoothers(**{k: v[cut:] for k, v in bars.items()}, state=first.end())
+    for name, make in S.MAKE.items():
+        assert a[name] + make(second) == make(whole), name
+    assert second.end() == whole.end()
 
 
 def test_features_do_not_look_ahead(spark):
