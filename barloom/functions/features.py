@@ -133,12 +133,11 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
             **streak,
         }
     )
+    low, high = (c("_vols")[nearest(252, q)] for q in (0.33, 0.67))
+    regime = F.when(c("_vols").isNull(), None).when(c("realized_vol_20d") < low, 0).when(c("realized_vol_20d") < high, 1).otherwise(2)
+    df = df.withColumn("vol_regime", regime).drop("_vols")  # at once: later windows are not to carry the arrays
     df = df.withColumns(
         {
-            "vol_regime": F.when(c("_vols").isNull(), None)
-            .when(c("realized_vol_20d") < c("_vols")[nearest(252, 0.33)], 0)
-            .when(c("realized_vol_20d") < c("_vols")[nearest(252, 0.67)], 1)
-            .otherwise(2),
             "up_streak_length": F.least(F.sum("_up").over(_in_run("_up_run")), F.lit(20)),
             "consecutive_days_above_sma50": F.sum(seeded(c("_above50"), "consecutive_days_above_sma50")).over(_in_run("_above_run")),
             "_ha_run": run_id(F.coalesce(c("_ha_dir") != lag(c("_ha_dir")), F.lit(True))),
@@ -157,7 +156,7 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     }
     df = df.withColumns({name: x for name, x in made.items() if smoothed.issuperset(OF_SMOOTHED.get(name, ["rsi_14"]))})
     if "rsi_14" in smoothed:
-        df = df.withColumn("regime_adjusted_rsi", c("rsi_14") - (c("_rsis")[125] + c("_rsis")[126]) / 2)
+        df = df.withColumn("regime_adjusted_rsi", c("rsi_14") - (c("_rsis")[125] + c("_rsis")[126]) / 2).drop("_rsis")
         df = df.withColumn(
             "momentum_div_flag",
             F.when((adj == c("_plo")) & (c("rsi_14") != c("_rlo")), 1)
