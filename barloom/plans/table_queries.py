@@ -119,13 +119,13 @@ def d03_replace_series(spark, sf_dir):
 START, END, EVERY, TOP = "1999-01-04", "2001-06-30", 4, 5
 
 
-def filled(spark, sf_dir):
-    """A store after two backfills: of the days up to the middle of 2000, then of all; and the number of days written."""
+def filled(spark, sf_dir, ends=(("a", END),)):
+    """A store after a backfill up to each of ``ends`` (run, end), and the number of days that each wrote."""
     panel = bars_once(spark, sf_dir)
     store = RunTables(spark, new_folder(spark))
     f = per_ticker(panel, ["vol_regime", "dist_sma_20_pct"]).select("date", "ticker", "vol_regime", (F.col("dist_sma_20_pct") > 0).cast("int").alias("above"))
     inputs, known = materialise(regime_inputs(f, market_index(panel))), materialise(scores(panel))
-    written = [K.backfill(panel, known, inputs, store, run, START, end, EVERY, TOP) for run, end in (("a", "2000-06-30"), ("b", END), ("c", END))]
+    written = [K.backfill(panel, known, inputs, store, run, START, end, EVERY, TOP) for run, end in ends]
     return store, written
 
 
@@ -146,7 +146,7 @@ def d10_positions(spark, sf_dir):
 
 def d10_runs(spark, sf_dir):
     """The run rows, with the run that wrote each day and the days that each of three calls wrote: the last wrote none."""
-    store, written = filled(spark, sf_dir)
+    store, written = filled(spark, sf_dir, (("a", "2000-06-30"), ("b", END), ("c", END)))
     counts = spark.createDataFrame([(run, n) for run, n in zip("abc", written, strict=True)], "run string, days_written int")
     return store.ledger().select("date", "status", "n_picks", "source", "run").join(counts, "run", "full")
 

@@ -8,8 +8,9 @@ two tables has written no ledger row: readers see the run before, and the next r
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import delete, exists, subfolders
@@ -25,14 +26,18 @@ class RunTables:
         self._ledger = f"{self.root}/_ledger"
 
     def stage(self, run: str, tables: Mapping[str, DataFrame]) -> None:
-        """Write the tables of a run, for all keys their rows hold; nothing becomes visible. Rows without a key are not kept."""
-        for name, rows in tables.items():
-            if "run" in rows.columns:
-                raise ValueError("a table of runs has no column named run of its own")
-            own = rows.where(F.col(self.key).isNotNull()).withColumn("run", F.lit(run))
+        """Write the tables of a run, some at a time, for all keys their rows hold; nothing becomes visible. Rows without a key are not kept."""
+        if any("run" in rows.columns for rows in tables.values()):
+            raise ValueError("a table of runs has no column named run of its own")
+
+        def put(name: str) -> None:
+            own = tables[name].where(F.col(self.key).isNotNull()).withColumn("run", F.lit(run))
             out = own.repartition(self.key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             out.partitionBy(self.key, "run").parquet(f"{self.root}/{name}")
 
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(put, tables))
+
     def commit(self, run: str, keys: DataFrame) -> None:
         """Append one ledger row for each row of ``keys`` (the key, ``status``, any details): the run's rows become visible.
 
@@ -114,8 +119,3 @@ class RunTables:
                         gone.append(f"{self.root}/{table}/{key}/{run}")
         delete(self.spark, *gone)
         return len(gone)
-
-
-def next_of(keys: DataFrame, key: str = "date") -> DataFrame:
-    """Each key with the one after it, null for the last: one row for each key."""
-    return keys.select(key, F.lead(key).over(Window.partitionBy(F.lit(1)).orderBy(key)).alias("next"))
