@@ -152,16 +152,16 @@ def test_pipeline_stages(spark, small):
 def test_registration():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert "pipeline" in queries and set(sql) <= set(queries)
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in queries) == 1
 
 
-@pytest.mark.parametrize("name", ["op5_url_filter", "op7_exact_top_k", "op9_exact_dedup"])
+@pytest.mark.parametrize("name", ["op5_url_filter", "op7_exact_top_k", "op9_exact_dedup", "op11_importance_resample", "op12_periodic_runs"])
 def test_oracles(spark, sf_dir, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found = __spark_entry__.queries()[name](spark, sf_dir)
     names = sorted(found.columns)
