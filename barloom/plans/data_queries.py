@@ -10,13 +10,16 @@ from ..operators import labels as L
 from ..operators import state as D
 from ..operators import training as T
 from ..operators import validation as V
-from ..operators.folds import add_quarters, fold_rows, quarter_end
+from ..operators import folds as W
+from ..operators import metrics as M
+from ..operators.folds import add_quarters, quarter_end
+from ..operators.pipeline import METADATA
 from ..sources import bars as S
 from ..sources.scratch import materialise, new_folder
 from ..streaming.append import append_bars, bar_stream, finish_windows
 from .feature_queries import S1, S2, S3, S4, S5, S6
-from .market_queries import NO_SPECIAL, special_sessions
-from .metric_queries import folds, q_add, q_end
+from .market_queries import NO_SPECIAL, everything, special_sessions
+from .metric_queries import FOLDS, q_add, q_end
 from .panel import bars, bars_once, market_index, read, rounded, with_bars
 from .portfolio_queries import PICKS, SCHEDULE, SCORES, SERIES, START, picked, scores, series
 
@@ -259,47 +262,54 @@ def d17_chart_window(spark, sf_dir):
     return rounded(D.chart_window(series(spark, sf_dir), 182), 3)
 
 
-MODEL = ["ret_5d", "realized_vol_20d", "vol_ratio_20d", "dist_sma_20_pct"]
 LABEL = "outperforms_universe_median_5d"
-
-
-#: Settings of the search: depth and step of the trees.
-GRID = [{"depth": d, "step": step, "trees": 5} for d in (2, 3) for step in (0.1, 0.3)]
+#: What models learn from: all features of the assembled table, and the day of the week.
+MODEL = [*(name for name, *_ in METADATA), "day_of_week"]
 
 
 def fold_data(spark, sf_dir):
-    """The rows of all folds, by fold and role, written once."""
+    """The labelled rows with all features as a vector, written once, and the folds (one row each) with windows in them."""
     panel = bars_once(spark, sf_dir)
-    rows = per_ticker(panel, MODEL).join(L.forward_labels(panel, [5]), ["date", "ticker"]).where(f"{LABEL} IS NOT NULL")
-    return materialise(fold_rows(rows, folds(spark, sf_dir)))
+    labels = L.forward_labels(panel, [5]).select("date", "ticker", LABEL)
+    rows = everything(panel).withColumn("day_of_week", F.weekday("date")).join(labels, ["date", "ticker"])
+    rows = T.prepared(rows, MODEL, LABEL)
+    spans = W.fold_bounds(panel, **FOLDS).orderBy("fold_id").collect()
+    ends = rows.agg(F.min("date"), F.max("date")).first()
+    return rows, [f for f in spans if ends[0] is not None and ends[0] <= f["train_end"] and f["val_start"] <= ends[1]]
 
 
 def t06_fit_predict(spark, sf_dir):
     """Predictions of each fold's test window by its own model, which stops early on its validation window."""
 
     def work(fold, rows):
-        return T.predict(T.fit(rows, MODEL, LABEL), rows.where("role = 'test'"), MODEL, ["date", "ticker"])
+        return T.predict(T.fit(rows), rows.where("role = 'test'"), ["date", "ticker"])
 
-    return T.per_fold(fold_data(spark, sf_dir), work)
+    return T.per_fold(*fold_data(spark, sf_dir), work)
 
 
 def t07_t11_saved_model(spark, sf_dir):
     """Test predictions of the model of the last fold that has labelled test rows, saved and loaded again (T-11)."""
-    rows = fold_data(spark, sf_dir)
-    rows = rows.where(F.col("fold_id") == rows.where("role = 'test'").agg(F.max("fold_id")).first()[0])
-    path = new_folder(spark)
-    T.save(T.fit(rows, MODEL, LABEL), path)
-    return T.predict(T.load(path), rows.where("role = 'test'"), MODEL, ["date", "ticker"])
+    rows, spans = fold_data(spark, sf_dir)
+    last = rows.agg(F.max("date")).first()[0]
+    fold = next(f for f in reversed(spans) if f["test_start"] <= last)
+    windows, path = T.of_fold(rows, fold), new_folder(spark)
+    T.save(T.fit(windows), path, MODEL, label=LABEL, fold=fold.asDict())
+    return T.predict(T.load(path)[0], windows.where("role = 'test'"), ["date", "ticker"])
 
 
 def t08_search(spark, sf_dir):
-    """The log loss of each setting of the grid on each fold's validation window."""
-    return T.per_fold(fold_data(spark, sf_dir), lambda fold, rows: T.search(rows, MODEL, LABEL, GRID))
+    """Every trial of the adaptive search on each fold: 20 settings in three rounds, the best quarter of each with more trees."""
+    return T.search(*fold_data(spark, sf_dir), new_folder(spark), draws=(8, 6, 6))
 
 
 def t09_importance(spark, sf_dir):
     """Importances of each fold's model."""
-    return T.per_fold(fold_data(spark, sf_dir), lambda fold, rows: T.importances(T.fit(rows, MODEL, LABEL), MODEL, rows))
+    return T.per_fold(*fold_data(spark, sf_dir), lambda fold, rows: T.importances(T.fit(rows), MODEL, spark))
+
+
+def m17_model_importance(spark, sf_dir):
+    """The importances of the fitted models over folds: mean, deviation, folds and share of each feature."""
+    return M.importance_over_folds(t09_importance(spark, sf_dir))
 
 
 def streaming_append(spark, sf_dir):
@@ -357,7 +367,7 @@ QUERIES = {
         c03_regular_days, c04_special_flag, c05_neighbours, c06_schedule, c07_statistics, c08_date_range, c09_projection, c10_snap, c11_quarters,
         d04_latest, d05_runs_between, d06_cadence, d07_regime_label, d08_regime_inputs, d09_picks,
         d11_freshness, d12_value_curve, d13_basket, d14_timing, d15_last_window, d16_rank_movement, d17_chart_window, t06_fit_predict,
-        t07_t11_saved_model, t08_search, t09_importance, streaming_append, streaming_windows, streaming_late_rows,
+        t07_t11_saved_model, t08_search, t09_importance, m17_model_importance, streaming_append, streaming_windows, streaming_late_rows,
     )
 }
 

@@ -60,6 +60,7 @@ def test_models_of_all_folds(spark, sf_dir):
     found = plans.QUERIES["t09_importance"](spark, sf_dir).groupBy("fold_id").agg({"importance": "sum"}).collect()
     folds = plans.QUERIES["t05_folds"](spark, sf_dir).select("fold_id").collect()
     assert {r[0] for r in found} == {r[0] for r in folds} and all(abs(r[1] - 1) < 1e-6 for r in found)
+    assert plans.data_queries.MODEL[:-1] == [name for name, *_ in plans.data_queries.METADATA]
 
 
 def test_one_shuffle_of_the_panel_by_ticker(spark, sf_dir):
