@@ -42,8 +42,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after its personal data are replaced by marks."""
-    state = token_counts.count_tokens(_read(spark, sf_dir, "documents"), byte_vocabulary())
-    return token_counts.recount(token_counts.find_redactions(state), byte_vocabulary())
+    return token_counts.count_redacted(_read(spark, sf_dir, "documents"), byte_vocabulary())
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

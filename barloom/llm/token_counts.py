@@ -109,18 +109,51 @@ class Tree:
             node //= 2
 
 
-def apply_edit(counter: Counter, tree: Tree, text: str, start: int, stop: int, new: str) -> tuple[str, int]:
-    """The edited text, with ``tree`` brought up to date, and how many characters were encoded again.
+class Edited:
+    """A text that is edited from its end to its start: what lies right of the last edit are pieces, joined once at the end."""
+
+    def __init__(self, text: str):
+        self.text, self.free, self.size = text, len(text), len(text)
+        self.pieces: list[str] = []  # the rightmost first
+
+    def replace(self, start: int, stop: int, new: str) -> None:
+        """Put ``new`` for [start, stop), which ends where the edit before it starts, or further left."""
+        self.pieces += [self.text[stop : self.free], new]
+        self.size += len(new) - (stop - start)
+        self.free = start
+
+    def part(self, begin: int, end: int) -> str:
+        """The characters [begin, end) of the text as it is now; takes time in proportion to them and the edits in them."""
+        found, left = [self.text[begin : min(end, self.free)]], end - max(begin, self.free)
+        skip = max(0, begin - self.free)
+        for piece in reversed(self.pieces):
+            if left <= 0:
+                break
+            if skip >= len(piece):
+                skip -= len(piece)
+                continue
+            found.append(piece[skip : skip + left])
+            left -= len(found[-1])
+            skip = 0
+        return "".join(found)
+
+    def whole(self) -> str:
+        return "".join([self.text[: self.free], *reversed(self.pieces)])
+
+
+def apply_edit(counter: Counter, tree: Tree, text: Edited, start: int, stop: int, new: str) -> int:
+    """Edits ``text``, brings ``tree`` up to date, and gives how many characters were encoded again.
 
     Encoding starts at the block that holds the last ``CONTEXT`` characters before the edit, as a pre-token that
     ends further left looked at nothing that changed. It goes on over whole old blocks until the new pre-tokens have
     a boundary where an old block ends, ``CONTEXT`` characters or more past the edit; from there on all pre-tokens
     are as before. The first touched leaf takes the sums of all that was encoded; the other touched ones become empty.
     """
-    edited = text[:start] + new + text[stop:]
-    if not text:
-        tree.put(0, len(edited), sum(map(counter.count, counter.split(edited))))
-        return edited, len(edited)
+    size = text.size
+    text.replace(start, stop, new)
+    if not size:
+        tree.put(0, text.size, sum(map(counter.count, counter.split(text.whole()))))
+        return text.size
     first, begin = tree.find(max(0, start - CONTEXT))
     last, at = tree.find(max(stop, begin))
     end = at + tree.leaf(last)
@@ -128,10 +161,10 @@ def apply_edit(counter: Counter, tree: Tree, text: str, start: int, stop: int, n
     while True:
         # look a block further than what is kept, so that the end of the window changes nothing that counts
         more = end
-        if end < len(text):
+        if end < size:
             ahead, at = tree.find(end)
             more = at + tree.leaf(ahead)
-        parts = counter.split(edited[begin : more + shift])
+        parts = counter.split(text.part(begin, more + shift))
         bounds = begin + np.cumsum([0, *map(len, parts)])
         if more == end:
             break
@@ -142,7 +175,82 @@ def apply_edit(counter: Counter, tree: Tree, text: str, start: int, stop: int, n
     tree.put(first, end + shift - begin, sum(map(counter.count, parts)))
     for i in range(first + 1, last + 1):
         tree.put(i, 0, 0)
-    return edited, end + shift - begin
+    return end + shift - begin
+
+
+INTS = pa.list_(pa.int32())
+
+
+def counted(counter: Counter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of id and text with the counts and blocks of each text."""
+    for batch in batches:
+        chars, tokens = [], []
+        for text in batch["text"].to_pylist():
+            c, t = counter.blocks(text)
+            chars.append(c)
+            tokens.append(t)
+        yield pa.RecordBatch.from_arrays(
+            [batch["id"], batch["text"], pa.array([sum(t) for t in tokens], pa.int64()), pa.array(chars, INTS), pa.array(tokens, INTS)],
+            ["id", "text", "n_tokens", "block_chars", "block_tokens"],
+        )
+
+
+def redacted(patterns: Mapping[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with a text, and the edits that put marks for what the patterns match in it."""
+    find = regex.compile("|".join(f"(?P<p{i}>{p})" for i, p in enumerate(patterns.values())))
+    marks, kind = list(patterns), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())]))
+    for batch in batches:
+        edits = [
+            [{"start": m.start(), "stop": m.end(), "text": marks[int(m.lastgroup[1:])]} for m in find.finditer(t)]
+            for t in batch["text"].to_pylist()
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], [*batch.schema.names, "edits"])
+
+
+def recounted(counter: Counter, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a state with edits, after these: the state, with ``keep``, or the counts."""
+    for batch in batches:
+        n, after, chars, encoded, texts, blocks = [], [], [], [], [], []
+        rows = [batch[c].to_pylist() for c in ("text", "edits", "block_chars", "block_tokens", "n_tokens")]
+        for text, edits, block_chars, block_tokens, before in zip(*rows, strict=True):
+            taken, free = [], 0
+            for e in sorted(edits or (), key=lambda e: (e["start"], e["stop"])):
+                a, b = max(0, min(e["start"], len(text))), max(0, min(e["stop"], len(text)))
+                if a >= free and b >= a:
+                    taken.append((a, b, e["text"] or ""))
+                    free = b
+            work, now = 0, Edited(text)
+            if taken:
+                tree = Tree(block_chars, block_tokens)
+                for a, b, new in reversed(taken):  # from the right, so that positions further left stay true
+                    work += apply_edit(counter, tree, now, a, b, new)
+                before = tree.tokens
+                if keep:
+                    block_chars, block_tokens = tree.blocks
+            if keep:
+                texts.append(now.whole())
+                blocks.append((block_chars, block_tokens))
+            n.append(len(taken))
+            after.append(before)
+            chars.append(now.size)
+            encoded.append(work)
+        if keep:
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], pa.array(texts, pa.string()), pa.array(after, pa.int64()), *(pa.array([b[i] for b in blocks], INTS) for i in (0, 1))],
+                ["id", "text", "n_tokens", "block_chars", "block_tokens"],
+            )
+        else:
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["n_tokens"], *(pa.array(x, pa.int64()) for x in (n, after, chars, encoded))],
+                ["id", "n_tokens", "n_edits", "n_tokens_edited", "chars_edited", "chars_encoded"],
+            )
+
+
+COUNTS = "n_tokens long, n_edits long, n_tokens_edited long, chars_edited long, chars_encoded long"
+
+
+def slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,23 +261,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     whole; an empty table gives an empty result; extra columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
-        for batch in batches:
-            chars, tokens = [], []
-            for text in batch["text"].to_pylist():
-                c, t = counter.blocks(text)
-                chars.append(c)
-                tokens.append(t)
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["text"], pa.array([sum(t) for t in tokens], pa.int64()), pa.array(chars, ints), pa.array(tokens, ints)],
-                ["id", "text", "n_tokens", "block_chars", "block_tokens"],
-            )
-
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = slim.mapInArrow(each, f"id {kind}, {STATE}")
+    found = slim(docs, id_col, text_col).mapInArrow(lambda batches: counted(Counter(vocabulary), batches), f"id {kind}, {STATE}")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -178,20 +270,8 @@ def find_redactions(state: DataFrame, patterns: Mapping[str, str] = REDACTIONS)
 
     An empty text has no edits, and an empty table gives an empty result; other columns of the state come along.
     """
-    find = regex.compile("|".join(f"(?P<p{i}>{p})" for i, p in enumerate(patterns.values())))
-    marks = list(patterns)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text", pa.string())]))
-        for batch in batches:
-            edits = [
-                [{"start": m.start(), "stop": m.end(), "text": marks[int(m.lastgroup[1:])]} for m in find.finditer(t)]
-                for t in batch["text"].to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(edits, kind)], [*batch.schema.names, "edits"])
-
-    return state.mapInArrow(each, f"{fields}, edits {EDITS}")
+    return state.mapInArrow(lambda batches: redacted(patterns, batches), f"{fields}, edits {EDITS}")
 
 
 def recount(state: DataFrame, vocabulary: str, id_col: str = "doc_id", keep: bool = False) -> DataFrame:
@@ -207,48 +287,24 @@ def recount(state: DataFrame, vocabulary: str, id_col: str = "doc_id", keep: boo
     With ``keep`` the result is the state after the edits instead, as ``count_tokens`` gives it, for the next batch.
     """
     kind = state.schema[id_col].dataType.simpleString()
+    renamed = state.withColumnRenamed(id_col, "id").select("id", "text", "n_tokens", "block_chars", "block_tokens", "edits")
+    found = renamed.mapInArrow(lambda batches: recounted(Counter(vocabulary), keep, batches), f"id {kind}, {STATE if keep else COUNTS}")
+    return found.withColumnRenamed("id", id_col)
+
+
+def count_redacted(
+    docs: DataFrame, vocabulary: str, patterns: Mapping[str, str] = REDACTIONS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The counts of ``recount`` for the redactions of every document, with no state kept between: each text goes to Python once.
+
+    The rows equal those of ``recount(find_redactions(count_tokens(docs)))``. Null texts count as empty; rows that repeat an id,
+    or have none, each get their row; very long texts are counted whole, in time linear in their characters and edits; an
+    empty table gives an empty result; extra columns are ignored.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
-        for batch in batches:
-            n, after, chars, encoded, texts, blocks = [], [], [], [], [], []
-            rows = [batch[c].to_pylist() for c in ("text", "edits", "block_chars", "block_tokens", "n_tokens")]
-            for text, edits, block_chars, block_tokens, before in zip(*rows, strict=True):
-                taken, free = [], 0
-                for e in sorted(edits or (), key=lambda e: (e["start"], e["stop"])):
-                    a, b = max(0, min(e["start"], len(text))), max(0, min(e["stop"], len(text)))
-                    if a >= free and b >= a:
-                        taken.append((a, b, e["text"] or ""))
-                        free = b
-                work = 0
-                if taken:
-                    tree = Tree(block_chars, block_tokens)
-                    for a, b, new in reversed(taken):  # from the right, so that positions further left stay true
-                        text, k = apply_edit(counter, tree, text, a, b, new)
-                        work += k
-                    before = tree.tokens
-                    if keep:
-                        block_chars, block_tokens = tree.blocks
-                texts.append(text)
-                blocks.append((block_chars, block_tokens))
-                n.append(len(taken))
-                after.append(before)
-                chars.append(len(text))
-                encoded.append(work)
-            if keep:
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"], pa.array(texts, pa.string()), pa.array(after, pa.int64()), *(pa.array([b[i] for b in blocks], ints) for i in (0, 1))],
-                    ["id", "text", "n_tokens", "block_chars", "block_tokens"],
-                )
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["n_tokens"], *(pa.array(x, pa.int64()) for x in (n, after, chars, encoded))],
-                ["id", "n_tokens", "n_edits", "n_tokens_edited", "chars_edited", "chars_encoded"],
-            )
+        return recounted(counter, False, redacted(patterns, counted(counter, batches)))
 
-    renamed = state.withColumnRenamed(id_col, "id").select("id", "text", "n_tokens", "block_chars", "block_tokens", "edits")
-    if keep:
-        return renamed.mapInArrow(each, f"id {kind}, {STATE}").withColumnRenamed("id", id_col)
-    longs = "n_tokens long, n_edits long, n_tokens_edited long, chars_edited long, chars_encoded long"
-    return renamed.mapInArrow(each, f"id {kind}, {longs}").withColumnRenamed("id", id_col)
+    return slim(docs, id_col, text_col).mapInArrow(each, f"id {kind}, {COUNTS}").withColumnRenamed("id", id_col)

@@ -186,6 +186,36 @@ def test_token_counts_of_awkward_rows(spark):
     assert token_counts.recount(token_counts.find_redactions(token_counts.count_tokens(docs(spark, []), byte_vocabulary())), byte_vocabulary()).collect() == []
 
 
+def test_token_counts_in_one_pass(spark):
+    """Equal to the three steps, row for row, repeated and missing ids included, with Python entered once."""
+    frame = docs(spark, [*AWKWARD, (8, "mail a@b.org", "en", "a"), (None, "call +49 30 1234567", "en", "a")])
+    once = token_counts.count_redacted(frame, byte_vocabulary())
+    steps = token_counts.recount(token_counts.find_redactions(token_counts.count_tokens(frame, byte_vocabulary())), byte_vocabulary())
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    found = sorted(map(key, once.collect()))
+    assert found == sorted(map(key, steps.select(once.columns).collect())) and len(found) == len(AWKWARD) + 2
+    assert sorted(r[0] for r in found).count(8) == 3 and sum(r[0] == -1 for r in found) == 2 and sum(r[2] for r in found) == 2
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert token_counts.count_redacted(docs(spark, []), byte_vocabulary()).collect() == []
+
+
+def test_many_edits_of_a_long_text_take_linear_time():
+    """A text of 4 million characters with 40,000 edits: copies of it for each would be 160 billion characters."""
+    counter, rng = token_counts.Counter(byte_vocabulary()), random.Random(3)
+    text = "some words, 12 of them; and more\n" * 125_000
+    places = sorted(rng.sample(range(0, len(text), 50), 40_000))
+    tree, now, plain = token_counts.Tree(*counter.blocks(text)), token_counts.Edited(text), [text[: places[0]]]
+    for a, after in zip(places, [*places[1:], len(text)], strict=True):
+        plain += ["<x>", text[a + 7 : after]]
+    began, work = time.process_time(), 0
+    for a in reversed(places):
+        work += token_counts.apply_edit(counter, tree, now, a, a + 7, "<x>")
+    assert time.process_time() - began < 40 and work < 600 * len(places)
+    assert now.whole() == "".join(plain) and now.size == len(now.whole())
+    assert tree.tokens == sum(counter.blocks(now.whole())[1])
+
+
 def plain_top(rows, k):
     """rows: (id, vector), where ids may repeat."""
     q = [(i, [math.floor(64 * int(x)) if abs(x) > 1e300 else math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
