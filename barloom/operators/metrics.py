@@ -245,13 +245,21 @@ def importance_over_folds(per_fold: DataFrame) -> DataFrame:
     return t.withColumn("share", F.try_divide("mean", F.sum("mean").over(Window.partitionBy(F.lit(1)))))
 
 
-def decision(folds: DataFrame) -> DataFrame:
-    """Whether mean AUC and IC reach the least (0.52, 0.02) and the ideal (0.55, 0.04) over folds."""
+def decision(folds: DataFrame, p_values: DataFrame) -> DataFrame:
+    """Whether mean AUC and IC reach the least (0.52, 0.02) and the ideal (0.55, 0.04) over folds, and beat chance in all.
+
+    ``p_values`` holds the p_value of each fold's permutations; ``share_p10`` is the share of folds below 0.10, and all of
+    them must be, with at least one known, for ``beats_chance`` and ``passes``.
+    """
     one = folds.agg(F.avg("auc").alias("auc"), F.avg("ic_mean").alias("ic"))
-    return one.select(
-        "auc", "ic",
-        ((F.col("auc") >= 0.52) & (F.col("ic") >= 0.02)).alias("passes"),
+    chance = p_values.agg(F.avg((F.col("p_value") < 0.10).cast("double")).alias("share_p10"))
+    enough = (F.col("auc") >= 0.52) & (F.col("ic") >= 0.02)
+    beats = F.coalesce(F.col("share_p10") == 1, F.lit(False))
+    return one.crossJoin(chance).select(  # one row each
+        "auc", "ic", "share_p10",
+        enough.alias("reaches_least"),
         ((F.col("auc") >= 0.55) & (F.col("ic") >= 0.04)).alias("ideal"),
+        beats.alias("beats_chance"), (enough & beats).alias("passes"),
     )
 
 
@@ -277,6 +285,13 @@ def compare_versions(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str
     return joined.withColumns({f"{c}_delta": F.col(f"{c}_b") - F.col(f"{c}_a") for c in columns})
 
 
+def compare_calibration(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pooled calibrations of two versions by bucket: n, the gap of label and prediction of each, and how much smaller b's is."""
+    side = lambda t, v: t.select("bucket", F.col("n").alias(f"n_{v}"), (F.col("mean_label") - F.col("mean_predicted")).alias(f"gap_{v}"))
+    joined = side(a, "a").join(side(b, "b"), "bucket", "full")
+    return joined.withColumn("gap_reduced", F.abs("gap_a") - F.abs("gap_b"))
+
+
 def unpivoted(df: DataFrame, keep: Sequence[str], features: Sequence[str], outcomes: dict[int, str]) -> DataFrame:
     """``keep``, feature, x, horizon, y: a row for each feature and each horizon's outcome of a row, with both known."""
     x = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]

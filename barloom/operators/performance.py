@@ -186,6 +186,21 @@ def counterfactual(contributed: DataFrame, bench: DataFrame, tops: Sequence[int]
     return per.groupBy("top").agg((growth(F.col("r")) - 1).alias("total_return"))
 
 
+def counterfactual_growth(contributed: DataFrame, bench: DataFrame, tops: Sequence[int] = (1, 3, 5, 10)) -> DataFrame:
+    """top, cagr, alpha, alpha_drop: yearly growth without the best contributors, over the benchmark's, and what that loses.
+
+    Years have 365.25 days, from the first holding to the end of the last; the benchmark compounds its returns of the same
+    periods, and the loss is against nobody replaced (top 0, which is returned too).
+    """
+    yearly = lambda total: F.pow(1 + total, 1 / F.col("years")) - 1
+    span = contributed.agg((F.datediff(F.max("until"), F.min("date")) / 365.25).alias("years"))
+    index = bench.join(contributed.select("k").distinct(), "k").agg((growth(F.col("bench")) - 1).alias("index_return"))
+    found = counterfactual(contributed, bench, (0, *tops)).crossJoin(span.crossJoin(index))  # one row
+    found = found.select("top", yearly(F.col("total_return")).alias("cagr"), (yearly(F.col("total_return")) - yearly(F.col("index_return"))).alias("alpha"))
+    before = found.where("top = 0").select(F.col("alpha").alias("before"))
+    return found.crossJoin(before).select("top", "cagr", "alpha", (F.col("before") - F.col("alpha")).alias("alpha_drop"))  # one row
+
+
 def overlapping_holds(periods: DataFrame, windows: DataFrame) -> DataFrame:
     """name, n_holds, n_tickers: holding periods that overlap each named window."""
     return (
@@ -207,6 +222,14 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.max(gap).alias("max_abs"), F.max(F.try_divide(gap, F.abs("x"))).alias("max_rel"))
 
 
+def largest_gaps(a: DataFrame, b: DataFrame, n: int = 5) -> DataFrame:
+    """place, date, x, y, rel: the n common dates on which two value series differ most in proportion, ties to the earlier."""
+    both = a.select("date", F.col("total_value").alias("x")).join(b.select("date", F.col("total_value").alias("y")), "date")
+    both = both.withColumn("rel", F.try_divide(F.abs(F.col("x") - F.col("y")), F.abs("x"))).where("rel IS NOT NULL")
+    best = both.orderBy(F.round("rel", 9).desc(), "date").limit(n)
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.round("rel", 9).desc(), "date")))
+
+
 def spot_check(picks: DataFrame, others: DataFrame, target: str, tolerance: float = 5e-5) -> DataFrame:
     """date, same_set, same_order, same_score: two runs compared at the rebalance nearest to a date."""
     gap = F.abs(F.datediff(F.col("date"), F.lit(target).cast("date")))

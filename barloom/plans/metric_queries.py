@@ -123,11 +123,15 @@ def m18_pooled_calibration(spark, sf_dir):
     return rounded(M.pooled_calibration(M.calibration(tested(spark, sf_dir), 10, ["fold_id"])))
 
 
+def fold_p_values(t):
+    """The p value of each fold by the permutations of its own test rows."""
+    actual = M.ic_summary(M.information_coefficient(t, ["fold_id", "date"]), ["fold_id"])
+    return M.permutation_summary(M.permuted_ics(t, DRAWS, ["fold_id"]), actual, by=["fold_id"])
+
+
 def m19_significance(spark, sf_dir):
     """Over folds: how many beat chance by the permutations of their own test rows, and their p values."""
-    t = materialise(tested(spark, sf_dir))
-    actual = M.ic_summary(M.information_coefficient(t, ["fold_id", "date"]), ["fold_id"])
-    p = M.permutation_summary(M.permuted_ics(t, DRAWS, ["fold_id"]), actual, by=["fold_id"])
+    p = fold_p_values(materialise(tested(spark, sf_dir)))
     return rounded(
         p.agg(
             F.count_if(F.col("p_value") < 0.05).alias("n_p05"), F.count_if(F.col("p_value") < 0.10).alias("n_p10"),
@@ -137,7 +141,8 @@ def m19_significance(spark, sf_dir):
 
 
 def m20_decision(spark, sf_dir):
-    return rounded(M.decision(M.bundle(tested(spark, sf_dir), ["fold_id"])))
+    t = materialise(tested(spark, sf_dir))
+    return rounded(M.decision(M.bundle(t, ["fold_id"]), fold_p_values(t)))
 
 
 def m21_stability(spark, sf_dir):
@@ -149,6 +154,31 @@ def m22_compare(spark, sf_dir):
     return rounded(M.compare_versions(t.where("fold_id < 10"), t.where("fold_id > 1"), "fold_id", ["auc", "ic_mean"]))
 
 
+def versions(spark, sf_dir):
+    """Test rows of the two versions that are compared: all folds but the last ones, and all but the first two."""
+    t = materialise(tested(spark, sf_dir))
+    return t.where("fold_id < 10"), t.where("fold_id > 1")
+
+
+def m22_regimes(spark, sf_dir):
+    """The two versions side by side by regime."""
+    a, b = (M.bundle(t.where("vol_regime IS NOT NULL"), ["vol_regime"]) for t in versions(spark, sf_dir))
+    return rounded(M.compare_versions(a, b, "vol_regime", ["auc", "ic_mean"]))
+
+
+def m22_calibration_gap(spark, sf_dir):
+    """The two versions' pooled calibrations side by side."""
+    a, b = (M.pooled_calibration(M.calibration(t, 10, ["fold_id"])) for t in versions(spark, sf_dir))
+    return rounded(M.compare_calibration(a, b))
+
+
+def m22_importance_delta(spark, sf_dir):
+    """The two versions' mean importances side by side."""
+    t = materialise(importances(spark, sf_dir))
+    a, b = (M.importance_over_folds(t.where(w)) for w in ("fold_id < 10", "fold_id > 1"))
+    return rounded(M.compare_versions(a, b, "feature", ["mean"]))
+
+
 def univariate(spark, sf_dir):
     return M.univariate_ics(diagnosed(spark, sf_dir), UNIVARIATE, OUTCOMES)
 
@@ -208,7 +238,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             m14_per_fold, m15_over_folds, m16_regimes_over_folds, m17_importance, m18_pooled_calibration, m19_significance, m20_decision,
-            m21_stability, m22_compare, m23_univariate, m24_two_sided_p, m25_extremes, m26_modules, m27_dispersion, m27_eight_numbers,
+            m21_stability, m22_compare, m22_regimes, m22_calibration_gap, m22_importance_delta, m23_univariate, m24_two_sided_p, m25_extremes, m26_modules, m27_dispersion, m27_eight_numbers,
         )
     },
     "m28_prediction_distribution": _one(M.prediction_distribution),
@@ -411,9 +441,11 @@ ORACLE_SQL = {
         round(min(p), 6) + 0.0 AS min_p, round(max(p), 6) + 0.0 AS max_p, count(p) AS n_folds FROM pv""",
     ),
     "m20_decision": sql(
-        BOUNDS, FOLD_TABLE,
-        select="""SELECT round(avg(auc), 6) + 0.0 AS auc, round(avg(ic_mean), 6) + 0.0 AS ic, avg(auc) >= 0.52 AND avg(ic_mean) >= 0.02 AS passes,
-        avg(auc) >= 0.55 AND avg(ic_mean) >= 0.04 AS ideal FROM pf""",
+        BOUNDS, FOLD_TABLE, permuted_sql("tst", "fold_id"), f"ac AS ({summary_sql(ic_sql('fold_id, date', 'tst'), 'fold_id')})",
+        "pv AS (SELECT fold_id, avg(CAST(pm.ic_mean >= ac.ic_mean AS INT)) AS p FROM pm JOIN ac USING (fold_id) GROUP BY fold_id)",
+        "dc AS (SELECT avg(auc) AS auc, avg(ic_mean) AS ic, (SELECT avg(CAST(p < 0.10 AS INT)) FROM pv) AS share FROM pf)",
+        select="""SELECT round(auc, 6) + 0.0 AS auc, round(ic, 6) + 0.0 AS ic, round(share, 6) + 0.0 AS share_p10, auc >= 0.52 AND ic >= 0.02 AS reaches_least,
+        auc >= 0.55 AND ic >= 0.04 AS ideal, coalesce(share = 1, FALSE) AS beats_chance, auc >= 0.52 AND ic >= 0.02 AND coalesce(share = 1, FALSE) AS passes FROM dc""",
     ),
     "m21_stability": sql(
         BOUNDS, FOLD_TABLE,
@@ -428,6 +460,26 @@ ORACLE_SQL = {
         round(b.ic_mean, 6) + 0.0 AS ic_mean_b, round(b.auc - a.auc, 6) + 0.0 AS auc_delta, round(b.ic_mean - a.ic_mean, 6) + 0.0 AS ic_mean_delta
         FROM (SELECT * FROM pf WHERE fold_id < 10) a FULL JOIN (SELECT * FROM pf WHERE fold_id > 1) b ON a.fold_id = b.fold_id""",
     ),
+    "m22_regimes": sql(
+        BOUNDS, "va AS (SELECT * FROM tst WHERE fold_id < 10 AND vol_regime IS NOT NULL)", "vb AS (SELECT * FROM tst WHERE fold_id > 1 AND vol_regime IS NOT NULL)",
+        f"ba AS ({bundle_sql('vol_regime', 'va')})", f"bb AS ({bundle_sql('vol_regime', 'vb')})",
+        select="""SELECT CAST(coalesce(a.vol_regime, b.vol_regime) AS INT) AS vol_regime, round(a.auc, 6) + 0.0 AS auc_a, round(a.ic_mean, 6) + 0.0 AS ic_mean_a, round(b.auc, 6) + 0.0 AS auc_b,
+        round(b.ic_mean, 6) + 0.0 AS ic_mean_b, round(b.auc - a.auc, 6) + 0.0 AS auc_delta, round(b.ic_mean - a.ic_mean, 6) + 0.0 AS ic_mean_delta
+        FROM ba a FULL JOIN bb b ON a.vol_regime = b.vol_regime""",
+    ),
+    "m22_calibration_gap": sql(
+        BOUNDS, f"cg AS (SELECT fold_id, {CAL} AS bucket, label, predicted_proba FROM tst)",
+        *(f"g{v} AS (SELECT bucket, count(*) AS n, avg(label) - avg(predicted_proba) AS gap FROM cg WHERE fold_id {w} GROUP BY 1)" for v, w in (("a", "< 10"), ("b", "> 1"))),
+        select="""SELECT CAST(t.b AS INT) AS bucket, coalesce(ga.n, 0) AS n_a, round(ga.gap, 6) + 0.0 AS gap_a, coalesce(gb.n, 0) AS n_b, round(gb.gap, 6) + 0.0 AS gap_b,
+        round(abs(ga.gap) - abs(gb.gap), 6) + 0.0 AS gap_reduced FROM range(10) t(b) LEFT JOIN ga ON ga.bucket = t.b LEFT JOIN gb ON gb.bucket = t.b""",
+    ),
+    "m22_importance_delta": sql(
+        *DIAGNOSED, BOUNDS, "uff AS (SELECT fold_id, ul.* FROM ul JOIN fb ON date BETWEEN test_start AND test_end WHERE horizon = 5)",
+        f"im AS MATERIALIZED (SELECT fold_id, feature, abs(avg(ic)) AS importance FROM ({ic_sql('feature, fold_id, date', 'uff', 'x', 'y')}) GROUP BY 1, 2)",
+        "ia AS (SELECT feature, avg(importance) AS m FROM im WHERE fold_id < 10 GROUP BY 1)", "ib AS (SELECT feature, avg(importance) AS m FROM im WHERE fold_id > 1 GROUP BY 1)",
+        select="""SELECT coalesce(ia.feature, ib.feature) AS feature, round(ia.m, 6) + 0.0 AS mean_a, round(ib.m, 6) + 0.0 AS mean_b, round(ib.m - ia.m, 6) + 0.0 AS mean_delta
+        FROM ia FULL JOIN ib ON ia.feature = ib.feature""",
+    ),
     "m23_univariate": sql(*DIAGNOSED, UNI, select=f"SELECT feature, CAST(horizon AS INT) AS horizon, n, {UNI_OUT} FROM un"),
     "m25_extremes": sql(
         *DIAGNOSED, UNI.replace("un AS (", "un AS MATERIALIZED ("),

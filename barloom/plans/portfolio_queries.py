@@ -292,6 +292,14 @@ def q17_counterfactual(spark, sf_dir):
     return rounded(t.select("top", F.log1p("total_return").alias("log_growth")), 5)
 
 
+def q17_alpha(spark, sf_dir):
+    """Yearly growth, alpha and loss of alpha without the best contributors, as signed logarithms: they span many magnitudes."""
+    c = contributed(spark, sf_dir)
+    t = Q.counterfactual_growth(c, Q.period_benchmark(c, mean_values(spark, sf_dir)))
+    shown = [F.col("top"), F.log1p("cagr").alias("log_cagr"), *[(F.signum(x) * F.log1p(F.abs(x))).alias(f"log_{x}") for x in ("alpha", "alpha_drop")]]
+    return rounded(t.select(shown), 5)
+
+
 def q18_overlap(spark, sf_dir):
     return Q.overlapping_holds(Q.holding_periods(picked(spark, sf_dir), END), windows(spark))
 
@@ -307,6 +315,11 @@ def q20_parity(spark, sf_dir):
     return rounded(Q.parity(a, b), 3)
 
 
+def q20_largest_gaps(spark, sf_dir):
+    s = series(spark, sf_dir)
+    return rounded(Q.largest_gaps(s.where("series = 'index'"), s.where("series = 'mean'")), 3)
+
+
 def q21_spot_check(spark, sf_dir):
     return Q.spot_check(picked(spark, sf_dir, 5), picked(spark, sf_dir, 3), "1999-03-03")
 
@@ -327,8 +340,8 @@ QUERIES = {
         b01_fold_routing, b02_frozen_fold, b03_scores_as_of, b03_missing_tickers, b04_adv, b05_top_picks, b08_slippage, b09_trade_legs, b10_portfolio,
         b10_rebalance_log, b11_daily_mark, b12_equal_weight, b13_daily_returns, b14_rebased_index, b15_sensitivity, b16_held_positions, b17_live_index,
         b18_anchor, b19_complete_days, q05_max_drawdown, q06_calmar, q07_alpha_beta, q07_p_value, q08_information_ratio, q09_bundle, q10_windows, q11_headline,
-        q12_curve, q13_monthly, q13_monthly_table, q14_second_benchmark, q15_attribution, q16_period_benchmark, q17_counterfactual, q18_overlap,
-        q19_common_favourites, q20_parity, q21_spot_check, q22_top_and_bottom, q22_concentration,
+        q12_curve, q13_monthly, q13_monthly_table, q14_second_benchmark, q15_attribution, q16_period_benchmark, q17_counterfactual, q17_alpha, q18_overlap,
+        q19_common_favourites, q20_parity, q20_largest_gaps, q21_spot_check, q22_top_and_bottom, q22_concentration,
     )
 } | {
     "b06_costs": _costs(0.0),
@@ -617,6 +630,18 @@ ORACLE_SQL = {
           (SELECT unnest([1, 3, 5, 10]) AS top) GROUP BY 1, 2)""",
         select="SELECT top, round(sum(ln(1 + r)), 5) + 0.0 AS log_growth FROM pt GROUP BY top",
     ),
+    "q17_alpha": with_bars(
+        S1, SCHEDULE, SCORES, PICKS, PERIODS, SERIES, BENCH,
+        "rk AS (SELECT ticker, row_number() OVER (ORDER BY total_bps DESC, ticker) AS place FROM att)",
+        """pt AS (SELECT top, con.k, sum(CASE WHEN place <= top THEN weight * bench ELSE contribution END) AS r FROM con JOIN rk ON con.ticker = rk.ticker JOIN ben ON con.k = ben.k,
+          (SELECT unnest([0, 1, 3, 5, 10]) AS top) GROUP BY 1, 2)""",
+        "yr AS (SELECT date_diff('day', min(date), max(until)) / 365.25 AS years FROM con)",
+        "ix AS (SELECT exp(sum(ln(1 + bench)) / (SELECT years FROM yr)) - 1 AS g FROM ben)",
+        "cf AS (SELECT top, exp(sum(ln(1 + r)) / (SELECT years FROM yr)) - 1 AS cagr FROM pt GROUP BY top)",
+        "al AS (SELECT top, cagr, cagr - (SELECT g FROM ix) AS alpha, (SELECT cagr FROM cf WHERE top = 0) - cagr AS lost FROM cf)",
+        select="""SELECT top, round(ln(1 + cagr), 5) + 0.0 AS log_cagr, round(sign(alpha) * ln(1 + abs(alpha)), 5) + 0.0 AS log_alpha,
+        round(sign(lost) * ln(1 + abs(lost)), 5) + 0.0 AS log_alpha_drop FROM al""",
+    ),
     "q18_overlap": with_bars(
         S1, SCHEDULE, SCORES, PICKS, PERIODS, WINDOWS,
         select="SELECT name, count(*) AS n_holds, count(DISTINCT ticker) AS n_tickers FROM per JOIN win ON date <= stop AND until >= start GROUP BY name",
@@ -630,6 +655,13 @@ ORACLE_SQL = {
         select="""SELECT count(*) AS n, round(max(abs(a.total_value - b.total_value)), 3) + 0.0 AS max_abs, round(max(abs(a.total_value - b.total_value) / abs(a.total_value)), 3) + 0.0 AS max_rel
         FROM ser a JOIN ser b ON a.date = b.date WHERE a.series = 'index' AND b.series = 'mean'""",
     ),
+    "q20_largest_gaps": with_bars(
+        SERIES,
+        """lg AS (SELECT a.date, a.total_value AS x, b.total_value AS y, abs(a.total_value - b.total_value) / abs(a.total_value) AS rel
+        FROM ser a JOIN ser b ON a.date = b.date WHERE a.series = 'index' AND b.series = 'mean')""",
+        select="""SELECT CAST(row_number() OVER (ORDER BY round(rel, 9) DESC, date) AS INT) AS place, date, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(rel, 3) + 0.0 AS rel
+        FROM lg ORDER BY round(rel, 9) DESC, date LIMIT 5""",
+    ),
     "q21_spot_check": with_bars(
         S1, SCHEDULE, SCORES, PICKS,
         "nr AS (SELECT date FROM sch ORDER BY abs(date_diff('day', date, DATE '1999-03-03')), date LIMIT 1)",
