@@ -35,7 +35,7 @@ def _flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None, parts: int | None = None) -> DataFrame:
     """``bars`` with the features named in ``columns`` (all by default).
 
     The frame is a chain of projections, each with the windows whose inputs the one before has made; all share the
@@ -48,7 +48,7 @@ def per_ticker(bars: DataFrame, columns: Iterable[str] | None = None) -> DataFra
     smoothed = {x for x in SMOOTHED if wanted is None or x in wanted}
     smoothed |= {x for name, needs in OF_SMOOTHED.items() if wanted is None or name in wanted for x in needs}
     have = set(bars.columns)
-    df = dealt(bars, "ticker")
+    df = dealt(bars, "ticker", parts=parts)
     df = with_smoothers(df, smoothed - have) if smoothed - have else df
 
     def seeded(step: Column, name: str) -> Column:

@@ -80,7 +80,7 @@ def market_returns(index: DataFrame) -> DataFrame:
     return index.select("date", (F.try_divide("index_close", F.lag("index_close").over(day)) - 1).alias("y"))
 
 
-def cross_section(features: DataFrame, special: DataFrame | None = None) -> DataFrame:
+def cross_section(features: DataFrame, special: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Ranks, scores and sector columns of a feature frame with ret_5d, realized_vol_20d, turnover and sector.
 
     Turnover of special sessions is left out. Windows of one partitioning share its shuffle: by date, then by date
@@ -91,7 +91,7 @@ def cross_section(features: DataFrame, special: DataFrame | None = None) -> Data
     if special is not None:
         df = df.join(special.select("date", F.lit(True).alias("_special")), "date", "left")
         turnover = F.when(F.col("_special").isNull(), turnover)
-    df = dealt(df.withColumn("_turnover", turnover), "date")
+    df = dealt(df.withColumn("_turnover", turnover), "date", parts=parts)
     df = df.withColumns(
         {
             "ret_5d_rank_universe": percentile_rank(F.col("ret_5d")),

@@ -11,22 +11,24 @@ from ..functions.features import per_ticker
 from ..sources.scratch import materialise
 from .cross_section import cross_section, market_returns, with_beta
 from .regime import mean_correlation, regime
+from .windows import parts_for
 
 
 def all_features(bars: DataFrame, index: DataFrame, vix: DataFrame, special: DataFrame) -> DataFrame:
     """date, ticker and every feature of ``METADATA``, special sessions masked: the assembled table of a written panel.
 
     ``bars`` (with sector) is dealt by ticker once, for all windows, smoothers and beta, and by date once, for all
-    cross-sections. What has one row a date, index returns, regimes and special sessions, is written first and small: it is
+    cross-sections, over as many parts as its rows are worth. What has one row a date, index returns, regimes and special sessions, is written first and small: it is
     joined where the rows are.
     """
-    market, regimes = materialise(market_returns(index)), materialise(regime(bars, index, vix).join(mean_correlation(bars), "date", "left"))
-    return assembled(with_beta(per_ticker(bars), market), regimes, materialise(special))
+    parts = parts_for(bars)
+    market, regimes = materialise(market_returns(index)), materialise(regime(bars, index, vix).join(mean_correlation(bars, parts=parts), "date", "left"))
+    return assembled(with_beta(per_ticker(bars, parts=parts), market), regimes, materialise(special), parts)
 
 
-def assembled(features: DataFrame, regimes: DataFrame, special: DataFrame) -> DataFrame:
+def assembled(features: DataFrame, regimes: DataFrame, special: DataFrame, parts: int | None = None) -> DataFrame:
     """The columns of ``METADATA`` from per-ticker features with beta, and from written tables of one row a date."""
-    joined = assemble(cross_section(features, special), regimes)
+    joined = assemble(cross_section(features, special, parts), regimes)
     names = [name for name, *_ in METADATA]
     return mask_special(joined.select("date", "ticker", *names), special, masked_columns(joined.select(names)))
 

@@ -36,7 +36,7 @@ def regime(bars: DataFrame, index: DataFrame, vix: DataFrame) -> DataFrame:
     return spine.join(level, "date", "left").join(trend, "date", "left")
 
 
-def mean_correlation(bars: DataFrame, n: int = 60) -> DataFrame:
+def mean_correlation(bars: DataFrame, n: int = 60, parts: int | None = None) -> DataFrame:
     """date, corr_regime_{n}d: mean Pearson correlation of all pairs of tickers over the last n dates of the spine.
 
     Tickers with a missing or constant return in the window are left out, and two must remain. With z-scores inside
@@ -44,7 +44,7 @@ def mean_correlation(bars: DataFrame, n: int = 60) -> DataFrame:
     ever formed. A full window is the ticker's last n rows; its z-scores are cells of (last date, date), which are added up within each
     task before they are shuffled: dates times n cells leave a task, however many tickers it holds.
     """
-    r = dealt(bars.select("date", "ticker", "adj_close"), "ticker").select("date", "ticker", change(F.col("adj_close"), 1).alias("r"))
+    r = dealt(bars.select("date", "ticker", "adj_close"), "ticker", parts=parts).select("date", "ticker", change(F.col("adj_close"), 1).alias("r"))
     spine = bars.select("date").distinct()
     spine = spine.withColumn("t", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("date")).cast("long"))
     r = r.join(spine, "date").where(F.col("r").isNotNull())

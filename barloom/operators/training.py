@@ -11,10 +11,10 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import delete, exists, materialise
+from ..sources.scratch import delete, detached, exists, materialise
 from .metrics import log_loss
 
 #: Stands for a missing value: below all others, so that a split can part the rows without one.
@@ -37,32 +37,41 @@ TRIALS = (
 
 
 def prepared(rows: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ("date", "ticker")) -> DataFrame:
-    """``keep``, label and the features as one vector, written once by ranges of date: folds are filters on it.
+    """``keep``, label and the features as one vector, written by ranges of date and in order of ``keep``: folds are filters on it.
 
-    Rows without a label take no part. Missing and not-a-number features become ``MISSING``.
+    Rows without a label take no part. Missing and not-a-number features become ``MISSING``. The rows are written before they are
+    dealt: finding the ranges reads them once more. Their order is fixed, as the samples of a fit go by it.
     """
     values = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None)), F.lit(MISSING)) for f in features]
     found = rows.where(F.col(label).isNotNull()).select(*keep, F.col(label).cast("double").alias("label"), array_to_vector(F.array(*values)).alias("features"))
-    return materialise(found.repartitionByRange("date"))
+    return materialise(materialise(found).repartitionByRange("date").sortWithinPartitions(*keep))
 
 
-def of_fold(rows: DataFrame, fold: Row) -> DataFrame:
-    """The rows in the windows of one fold, with ``role``: the dates reach the scan, and nothing is stored once a fold."""
-    role = reduce(
+def role_in(fold: Row) -> Column:
+    """The window of a fold that holds the date, or null."""
+    return reduce(
         lambda rest, r: F.when(F.col("date").between(fold[f"{r}_start"], fold[f"{r}_end"]), F.lit(r)).otherwise(rest), ("test", "val", "train"), F.lit(None)
     )
-    return rows.where(F.col("date").between(fold["train_start"], fold["test_end"])).withColumn("role", role).where("role IS NOT NULL")
 
 
-def windows(rows: DataFrame, folds: Sequence[Row], most: int = 50_000) -> list[DataFrame]:
-    """The rows of each fold in as few partitions as hold ``most`` of them each.
+def of_fold(rows: DataFrame, fold: Row) -> DataFrame:
+    """The rows in the windows of one fold, with ``role``: the dates reach the scan, and nothing is stored once a fold."""
+    return rows.where(F.col("date").between(fold["train_start"], fold["test_end"])).withColumn("role", role_in(fold)).where("role IS NOT NULL")
+
+
+def windows(rows: DataFrame, folds: Sequence[Row], most: int = 50_000, hold: bool = False) -> list[DataFrame]:
+    """The rows of each fold in as few partitions as hold ``most`` of them each; with ``hold``, small folds as tables.
 
     Fits of many folds and settings run side by side, and each is a long chain of short jobs, so that spare partitions cost
-    tasks and nothing else; large folds keep as many partitions as they have.
+    tasks and nothing else; large folds keep as many partitions as they have. With ``hold``, for many fits of each fold, folds of
+    one partition are written as such: no fit plans, scans and filters again, or ships that plan with each task. Large ones
+    stay filters on the written rows.
     """
-    dates = materialise(rows.groupBy("date").agg(F.count(F.lit(1)).alias("n")).coalesce(1))  # one row a date
-    sizes = [of_fold(dates, f).agg(F.sum("n")).first()[0] or 0 for f in folds]
-    return [of_fold(rows, f).coalesce(max(1, -(-n // most))) for f, n in zip(folds, sizes, strict=True)]
+    if not folds:
+        return []
+    sizes = rows.agg(*[F.count(role_in(f)) for f in folds]).first()
+    found = [of_fold(rows, f).coalesce(max(1, -(-n // most))) for f, n in zip(folds, sizes, strict=True)]
+    return [detached(w) if hold and n <= most else w for w, n in zip(found, sizes, strict=True)]
 
 
 def fit(rows: DataFrame, early: bool = True, trees: int = 20, featureShare: float = 1.0, **setting: float) -> GBTClassificationModel:
@@ -139,7 +148,7 @@ def search(
     Only losses come to the driver, one number a trial. A fold without train or val rows is an error.
     """
     spark, ids = rows.sparkSession, [f["fold_id"] for f in folds]
-    of = dict(zip(ids, windows(rows, folds), strict=True))
+    of = dict(zip(ids, windows(rows, folds, hold=True), strict=True))
     known: dict[int, list[Row]] = {k: [] for k in ids}  # the last loss of every trial of the rounds that are over
     first = 0
     with ThreadPoolExecutor(parallel) as pool:
@@ -149,7 +158,8 @@ def search(
             for rung, trees in enumerate(budgets):
                 place = f"{path}/round={number}/rung={rung}"
                 if not exists(spark, f"{place}/_SUCCESS"):
-                    todo = [(k, t, setting) for k in ids for t, setting in running[k]]
+                    # neighbours in the list are of different folds: fits that run side by side differ in size
+                    todo = [(k, *trial) for trials in zip(*running.values(), strict=True) for k, trial in zip(ids, trials, strict=True)]
                     losses = list(pool.map(lambda w: score(of[w[0]], trees, w[2]), todo))
                     done = [
                         Row(fold_id=k, trial=t, round=number, rung=rung, trees=trees, **setting, val_log_loss=loss)

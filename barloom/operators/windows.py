@@ -16,12 +16,21 @@ def over(key: str | Sequence[str] = KEY, order: str = "date") -> WindowSpec:
     return Window.partitionBy(key).orderBy(order)
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` over all shuffle partitions, which the windows and groups of these keys then share.
+def dealt(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
+    """``df`` dealt by ``keys`` over ``parts``, or all shuffle partitions, which the windows and groups of these keys then share.
 
     Adaptive execution puts small partitions together by their bytes; rows that much work is done on are not to be.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def parts_for(written: DataFrame, least: int = 1_000) -> int:
+    """The shuffle partitions, but no more than hold ``least`` rows each of a written table, whose footers tell its rows.
+
+    A task that starts a long chain of windows costs far more than its rows do while they are few: a session set up for large
+    inputs is not to cut a small panel into hundreds of them.
+    """
+    return max(1, min(int(written.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-written.count() // least)))
 
 
 def last_rows(n: int, key: str | Sequence[str] = KEY, order: str = "date") -> WindowSpec:

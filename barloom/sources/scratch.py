@@ -43,6 +43,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def detached(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the shared folder: the same rows and partitions, without the plan that made them.
+
+    For small tables that many short jobs start from: each job sends what it starts from to its tasks.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 #: Tables written inside each ``discarded`` block that is open.
 _OPEN: list[list[str]] = []
 

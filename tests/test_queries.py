@@ -71,3 +71,20 @@ def test_one_shuffle_of_the_panel_by_ticker(spark, sf_dir):
     panel = materialise(plans.feature_queries.bars(spark, sf_dir))
     plan = per_ticker(panel, ["ret_5d", "realized_vol_20d", "vol_of_vol_20d", "obv", "stoch_d_3"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_small_panel_is_not_cut_by_the_session(spark, sf_dir):
+    """A session set up for large inputs has many shuffle partitions; the assembled table has as many as its panel is worth."""
+    from barloom.operators.windows import parts_for
+    from barloom.plans.market_queries import everything
+    from barloom.plans.panel import bars_once
+
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        panel = bars_once(spark, sf_dir)
+        plan = everything(panel)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and ", 64), REPARTITION_BY_NUM" not in plan
+        assert parts_for(panel) == -(-panel.count() // 1000) and parts_for(panel, 1) == 64 and parts_for(panel.where("ticker IS NULL")) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)

@@ -4,6 +4,7 @@ from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from barloom.operators import training as T
 from barloom.sources.scratch import new_folder
@@ -58,6 +59,29 @@ def test_a_saved_model_gives_the_same_predictions(spark, rows):
     assert T.importances(model, ["a", "b"], spark).first()["feature"] == "a"
 
 
+def test_rows_are_computed_once_and_stand_in_order(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return float(x)
+
+    frame = spark.createDataFrame([(DAY(i * 37 % 60), f"T{i * 7 % 10}", i) for i in range(400)], "date date, ticker string, i int").repartition(3)
+    frame = frame.dropDuplicates(["date", "ticker"]).withColumn("a", F.udf(seen, "double")("i"))
+    rows = T.prepared(frame.withColumn("y", F.lit(1)), ["a"], "y")
+    found = [[(r["date"], r["ticker"]) for r in part] for part in rows.rdd.glom().collect()]
+    assert made.value == sum(map(len, found)) > 0  # not once for the ranges and once more for the table
+    assert all(part == sorted(part) for part in found)
+
+
+def test_small_folds_of_a_search_are_tables_and_large_ones_filters(rows):
+    plain, small, large = (T.windows(rows, FOLDS, **how)[1] for how in ({}, {"hold": True}, {"hold": True, "most": 50}))
+    text = [w._jdf.queryExecution().executedPlan().toString() for w in (plain, small, large)]
+    assert "parquet" in text[0] and "parquet" not in text[1] and "parquet" in text[2]
+    assert [tuple(r) for r in small.collect()] == [tuple(r) for r in plain.collect()]
+    assert T.trial_loss(small, 2, {"subsamplingRate": 0.6}) == T.trial_loss(plain, 2, {"subsamplingRate": 0.6})
+
+
 def plain_loss(window, trees, setting):
     """Stands for a fit: least at depth 4 and a small step, less with more trees."""
     return abs(setting["maxDepth"] - 4) + setting["stepSize"] + 1 / trees
